@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "ordered", "features", "profiling", "evaluation", "domain"]
+MODULES = ["sources", "cleaning", "ordered", "features", "profiling", "evaluation", "domain", "modelling", "plans", "live"]
 
 
 def load():

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.series import Series
+from strataflow.session import checkpoint_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def workdir(spark: SparkSession) -> str:
+    """A new folder under the shared checkpoint folder for files a query writes."""
+    return f"{checkpoint_root(spark)}/run-{uuid.uuid4().hex}"
+
+
 def rounded(df: DataFrame, digits: int = 6, only: Iterable[str] | None = None) -> DataFrame:
     """Round computed doubles; adding zero turns a negative zero into zero."""
     chosen = list(only) if only is not None else [c for c, t in df.dtypes if t == "double"]
@@ -125,9 +131,3 @@ NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 def each(template: str, names: Iterable[str], joiner: str = ", ") -> str:
     return joiner.join(template.format(c=c) for c in names)
-
-
-def close_enough(a: object, b: object) -> bool:
-    if isinstance(a, float) and isinstance(b, float):
-        return a == b or (math.isnan(a) and math.isnan(b))
-    return a == b

@@ -156,7 +156,7 @@ def kick_patterns(df: DataFrame, series: SeriesLike, score: str, threshold: floa
     variance = F.try_divide(F.sum("_squares"), F.sum("_gaps")) - mean * mean
     patterns = runs.groupBy(*keys).agg(
         mean.alias("mean_interval"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std_interval"),
+        F.when(mean.isNotNull(), F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("std_interval"),
         F.min("_low").alias("min_interval"),
         F.max("_high").alias("max_interval"),
         F.avg("_length").alias("mean_duration"),
