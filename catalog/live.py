@@ -12,7 +12,8 @@ from .base import query, r, rounded, table, workdir
 
 def stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    return live.open_stream(spark, f"{sf}/events.parquet", schema)
+    # a pattern, so that the table may be one file or a folder of files
+    return live.open_stream(spark, f"{sf}/events.parque[t]", schema)
 
 
 def finish(spark, df, mode: str = "append"):

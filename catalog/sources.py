@@ -15,7 +15,7 @@ from .base import EVENTS_SQL, line, query, r, rounded, table, tele, workdir
 def a01(spark, sf):
     path = workdir(spark)
     df = table(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(" é")).alias("c_name"), "c_acctbal")
-    df.write.option("header", True).option("encoding", "latin-1").csv(path)
+    df.write.option("header", True).option("encoding", "iso-8859-1").csv(path)
     return files.read_formation_csv(spark, path).withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 

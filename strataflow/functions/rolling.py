@@ -93,23 +93,20 @@ def smoothing_weights(size: int, degree: int) -> np.ndarray:
     return basis @ np.linalg.pinv(basis)
 
 
-def smooth(frame: Frame, c: str, length: Column, size: int = 7, degree: int = 2) -> Column:
-    """Savitzky-Golay smoothing; near both ends the first or last full window's fit is used."""
-    weights, half = smoothing_weights(size, degree), size // 2
-
-    def weigh(offsets, row):
-        total = None
-        for k, w in zip(offsets, weights[row]):
-            value = F.col(c) if k == 0 else shifted(frame, c, -k)
-            term = F.lit(float(w)) * value
-            total = term if total is None else total + term
-        return total
-
-    position, left = F.col(frame.row), length - 1 - F.col(frame.row)
-    chosen = None
-    for i in range(half):
-        head = weigh(range(-i, size - i), i)
-        tail = weigh(range(-(size - 1 - i), i + 1), size - 1 - i)
-        chosen = F.when(position == i, head) if chosen is None else chosen.when(position == i, head)
-        chosen = chosen.when(left == i, tail)
-    return chosen.otherwise(weigh(range(-half, half + 1), half))
+def smoothing_window(frame: Frame, columns: list[str], length: str, size: int, degree: int) -> dict[str, Column]:
+    """The rows of the polynomial fit of each row, and the weights of the row's place in it.
+
+    Inside the series the fit is centred; near both ends it is the first or last full
+    window.  One collected window serves all columns.
+    """
+    reach = size - 1
+    around = F.collect_list(F.struct(*columns)).over(frame.window.rowsBetween(-reach, reach))
+    position = F.col(frame.row)
+    start = F.greatest(F.lit(0), F.least(position - size // 2, F.col(length) - size))
+    first = F.greatest(F.lit(0), position - reach)
+    rows = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in smoothing_weights(size, degree)])
+    return {"_around": around, "_skip": (start - first).cast("int"), "_weights": F.element_at(rows, (position - start + 1).cast("int"))}
+
+
+def weighted_sum(column: str, size: int) -> Column:
+    return F.expr(" + ".join(f"_around[_skip + {i}].`{column}` * _weights[{i}]" for i in range(size)))

@@ -148,14 +148,14 @@ def smooth(df: DataFrame, series: SeriesLike, columns: Sequence[str], size: int
     work = forward_fill(work, layout, list(names.values()))
     work = _series_counts(work, layout, {"_length": F.lit(1), **{enough[c]: F.col(c) for c in columns}})
 
-    def build(f: Frame) -> dict[str, Column]:
-        return {
-            c: F.when(F.col(enough[c]) > size, R.smooth(f, n, F.col("_length"), size, degree)).otherwise(F.col(c))
-            for c, n in names.items()
-        }
-
-    out = over_series(work, layout, build, back=size - 1, ahead=size - 1)
-    return out.select(*df.columns)
+    seen = over_series(
+        work, layout, lambda f: R.smoothing_window(f, list(names.values()), "_length", size, degree),
+        back=size - 1, ahead=size - 1,
+    )
+    smoothed = {
+        c: F.when(F.col(enough[c]) > size, R.weighted_sum(n, size)).otherwise(F.col(c)) for c, n in names.items()
+    }
+    return seen.select(*[smoothed.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
 def _series_counts(df: DataFrame, layout, counted: dict[str, Column]) -> DataFrame:

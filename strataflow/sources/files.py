@@ -12,8 +12,8 @@ from ..channels import LABEL_NAMES
 from ..operators.clean import basic_clean, parse_timestamps
 from ..stats import gather
 
-# fixed value: encodings tried in this order; latin-1 reads any byte, so it ends the search
-ENCODINGS = ["utf-8", "latin-1", "iso-8859-1", "cp1252"]
+# fixed value: utf-8 is tried first; latin-1 (iso-8859-1) reads any byte, so it ends the search
+ENCODINGS = ["utf-8", "iso-8859-1"]
 FORMATS = ("csv", "parquet", "json")
 
 
