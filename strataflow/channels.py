@@ -94,10 +94,13 @@ def rename_channels(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 
 def finite(column: Column | str) -> Column:
-    """NaN and infinities become NULL, which is this library's only missing marker."""
-    c = F.col(column) if isinstance(column, str) else column
-    d = c.cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), c)
+    """NaN and infinities become NULL, which is this library's only missing marker.
+
+    NaN sorts above infinity, so one comparison covers both.
+    """
+    if isinstance(column, str):
+        return F.expr(f"CASE WHEN abs(`{column}`) < double('Infinity') THEN `{column}` END")
+    return F.when(F.abs(column.cast("double")) < F.lit(float("inf")), column)
 
 
 def drop_nonfinite(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:

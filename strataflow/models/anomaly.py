@@ -207,11 +207,15 @@ def fit_isolation_forest(
     share = min(1.0, 4.0 * size / n) if n else 0.0
     candidates = min(1.0, trees * 4.0 * size / n) if n else 0.0
     pool = data.sample(False, candidates, seed) if candidates < 1.0 else data
-    # a row drawn into the pool takes part in tree t with the remaining probability
+    # a pool row takes part in trees·keep trees on average: a random first tree, then even strides
     keep = share / candidates if candidates else 0.0
-    spread = pool.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_draw", F.rand(seed))
-    if keep < 1.0:
-        spread = spread.where(F.col("_draw") < keep)
+    drawn = pool.withColumn("_copies", F.floor(F.lit(trees * keep) + F.rand(seed))).where("_copies > 0")
+    drawn = drawn.withColumn("_first", F.floor(F.rand(seed + 1) * trees))
+    stride = F.greatest(F.lit(1), F.floor(F.lit(trees) / F.col("_copies")))
+    spread = drawn.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_copy"))
+    spread = spread.withColumns(
+        {"_tree": F.pmod(F.col("_first") + F.col("_copy") * stride, F.lit(trees)).cast("int"), "_draw": F.rand(seed + 2)}
+    )
     per_tree = Window.partitionBy("_tree").orderBy("_draw")
     chosen = spread.withColumn("_rank", F.row_number().over(per_tree)).where(F.col("_rank") <= size)
     limit = max(1, math.ceil(math.log2(max(size, 2))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..channels import EPSILON
@@ -160,14 +160,12 @@ def smooth(df: DataFrame, series: SeriesLike, columns: Sequence[str], size: int
 
 def _series_counts(df: DataFrame, layout, counted: dict[str, Column]) -> DataFrame:
     """Non-NULL counts per series, attached to every row."""
-    from pyspark.sql import Window
-
     if not layout.chunked:
         keyed = Window.partitionBy(*layout.keys)
         return df.withColumns({n: F.count(c).over(keyed) for n, c in counted.items()})
     if not layout.keys:
         got = df.agg(*[F.count(c).alias(n) for n, c in counted.items()]).first()
-        return df.withColumns({n: F.lit(got[n]) for n in counted})
+        return df.withColumns({n: F.lit(got[n]).cast("long") for n in counted})
     same = F.struct(*layout.keys)
     sizes = df.groupBy(same.alias("_series")).agg(*[F.count(c).alias(n) for n, c in counted.items()])
     return df.withColumn("_series", same).join(sizes, "_series").drop("_series")

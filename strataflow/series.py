@@ -187,7 +187,7 @@ def number_rows(df: DataFrame, series: SeriesLike, name: str = "_row", length: s
     if not length:
         return numbered
     if not layout.keys:
-        return numbered.withColumn(length, F.lit(df.count()))
+        return numbered.withColumn(length, F.lit(df.count()).cast("long"))
     same = F.struct(*layout.keys)
     sizes = df.groupBy(same.alias("_series")).agg(F.count(F.lit(1)).alias(length))
     return numbered.withColumn("_series", same).join(sizes, "_series").drop("_series")
