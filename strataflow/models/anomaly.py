@@ -9,14 +9,13 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.clean import require_columns
 from ..operators.scale import FittedScale, fit_scale
 from ..stats import gather, quantile
-from .common import assemble, linear
+from .common import at_least_parallel, linear, principal_axes, second_moments
 
 
 def _save(model, path: str, spark: SparkSession, metadata: dict) -> None:
@@ -34,6 +33,15 @@ def _normal_rows(df: DataFrame, features: Sequence[str], label: str | None) -> D
     return normal.select(*[F.col(c).cast("double").alias(c) for c in features]).dropna()
 
 
+def _score_quantile(model, data: DataFrame, share: float) -> float:
+    """Quantile of the model's scores; they are kept, as the quantile reads them more than once."""
+    scores = model.transform(data).select("score").persist()
+    try:
+        return float(quantile(scores, "score", share))
+    finally:
+        scores.unpersist()
+
+
 # ---- reconstruction error ---------------------------------------------------------
 
 
@@ -93,18 +101,12 @@ def fit_pca_detector(
     """Fit on normal rows; the threshold is a percentile of their own error."""
     features = list(features)
     normal = _normal_rows(df, features, label)
-    scaling = fit_scale(normal, "standard", features)
-    scaled = assemble(scaling.apply(normal), features, "scaled")
-    pca = PCA(k=len(features), inputCol="scaled", outputCol="latent").fit(scaled)
-    shares = pca.explainedVariance.toArray()
+    mean, std, correlation = second_moments(normal, features)
+    values, axes = principal_axes(correlation)
+    shares = values / values.sum()
     k = min(len(features), int(np.searchsorted(np.cumsum(shares), variance, side="right")) + 1)
     detector = PcaDetector(
-        features,
-        [float(scaling.parameters[f][0]) for f in features],
-        [float(scaling.parameters[f][1]) or 1.0 for f in features],
-        pca.pc.toArray()[:, :k].tolist(),
-        float(shares[:k].sum()),
-        float("inf"),
+        features, [float(v) for v in mean], [float(v) or 1.0 for v in std], axes[:, :k].tolist(), float(shares[:k].sum()), float("inf"),
     )
     detector.threshold = float(quantile(detector.transform(normal).select("spe"), "spe", percentile / 100))
     return detector
@@ -132,26 +134,32 @@ class IsolationForest:
 
     def transform(self, df: DataFrame, output: str = "prediction", score: str = "score") -> DataFrame:
         require_columns(df, self.features)
-        trees = [{k: np.array(v) for k, v in t.items()} for t in self.nodes]
+        # leaves lead back to themselves, so every row takes the same number of steps
+        trees, steps = [], 0
+        for t in self.nodes:
+            left, right = np.array(t["left"]), np.array(t["right"])
+            leaf = np.where(left < 0)[0]
+            left[leaf], right[leaf] = leaf, leaf
+            ways = np.stack([left, right], axis=1).ravel().astype(np.int32)
+            trees.append((np.array(t["feature"], dtype=np.int32), np.array(t["cut"]), ways, np.array(t["depth"])))
+        steps = max(1, math.ceil(math.log2(max(self.sample, 2))))
         scale = float(_path_length(self.sample)) or 1.0
 
         @F.pandas_udf("double")
         def isolation(*columns: pd.Series) -> pd.Series:
             x = np.column_stack([c.to_numpy(float) for c in columns])
-            rows = np.arange(len(x))
+            flat, start = x.ravel(), np.arange(len(x), dtype=np.int32) * x.shape[1]
             total = np.zeros(len(x))
-            for t in trees:
-                at = np.zeros(len(x), dtype=int)
-                moving = t["left"][at] >= 0
-                while moving.any():
-                    here = at[moving]
-                    goes_left = x[rows[moving], t["feature"][here]] < t["cut"][here]
-                    at[moving] = np.where(goes_left, t["left"][here], t["right"][here])
-                    moving = t["left"][at] >= 0
-                total += t["depth"][at]
+            for feature, cut, ways, depth in trees:
+                at = np.zeros(len(x), dtype=np.int32)
+                for _ in range(steps):
+                    right = flat.take(start + feature.take(at)) >= cut.take(at)
+                    at = ways.take(2 * at + right)
+                total += depth.take(at)
             return pd.Series(2.0 ** (-total / len(trees) / scale))
 
         inputs = [F.coalesce(F.col(f).cast("double"), F.lit(m)) for f, m in zip(self.features, self.means)]
+        df = at_least_parallel(df)
         return df.withColumn(score, isolation(*inputs)).withColumn(output, (F.col(score) > F.lit(self.threshold)).cast("int"))
 
     def save(self, path: str, spark: SparkSession, **metadata: object) -> None:
@@ -228,7 +236,7 @@ def fit_isolation_forest(
     forest = IsolationForest(
         features, [float(got[f]) for f in features], size, [json.loads(g["node"]) for g in grown], float("inf")
     )
-    forest.threshold = float(quantile(forest.transform(data).select("score"), "score", 1 - contamination))
+    forest.threshold = _score_quantile(forest, data, 1 - contamination)
     return forest
 
 
@@ -261,6 +269,7 @@ class OneClassMargin:
             return pd.Series(-(fourier(np.column_stack([c.to_numpy(float) for c in columns])) @ weights))
 
         inputs = [F.coalesce(F.col(f).cast("double"), F.lit(m)) for f, m in zip(self.features, self.centre)]
+        df = at_least_parallel(df)
         return df.withColumn(score, strangeness(*inputs)).withColumn(output, (F.col(score) > F.lit(self.threshold)).cast("int"))
 
     def save(self, path: str, spark: SparkSession, **metadata: object) -> None:
@@ -292,7 +301,7 @@ def fit_one_class(
         rng.normal(0.0, math.sqrt(2 * gamma), (len(features), dimensions)).tolist(),
         rng.uniform(0, 2 * math.pi, dimensions).tolist(), [0.0] * dimensions, float("inf"),
     )
-    data = data.persist()
+    data = at_least_parallel(data).persist()
     try:
         fourier = model._map
         weights, offset = np.zeros(dimensions), 0.0
@@ -326,7 +335,7 @@ def fit_one_class(
             weights = (1 - rate) * weights + rate * gradient / (nu * n)
             offset = offset + rate * (1.0 - count / (nu * n)) * float(np.linalg.norm(weights)) * 0.1
         model.weights = [float(v) for v in weights]
-        model.threshold = float(quantile(model.transform(data).select("score"), "score", 1 - nu))
+        model.threshold = _score_quantile(model, data, 1 - nu)
     finally:
         data.unpersist()
     return model

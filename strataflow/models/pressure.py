@@ -11,15 +11,12 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import require_columns
-from ..operators.scale import FittedScale, fit_scale
-from ..stats import gather, literal_table
-from .common import assemble, linear
+from ..stats import literal_table
+from .common import linear, principal_axes, second_moments
 
 
 @dataclass
@@ -68,61 +65,56 @@ class LinearModel:
         return LinearModel(**json.loads(spark.read.text(path).first()[0])["model"])
 
 
-def _to_inputs(kind, features, target, scaling: FittedScale, weights: np.ndarray, intercept: float, **extra) -> LinearModel:
+def _to_inputs(kind, features, target, mean, std, weights: np.ndarray, intercept: float, **extra) -> LinearModel:
     """Rewrite coefficients over scaled inputs as coefficients over the raw inputs."""
-    centre = np.array([scaling.parameters[f][0] for f in features])
-    width = np.array([scaling.parameters[f][1] or 1.0 for f in features])
-    raw = weights / width
-    return LinearModel(kind, list(features), target, float(intercept - centre @ raw), [float(v) for v in raw], **extra)
+    raw = weights / np.where(std > 0, std, 1.0)
+    return LinearModel(kind, list(features), target, float(intercept - mean @ raw), [float(v) for v in raw], **extra)
+
+
+def _moments(df: DataFrame, features: list[str], target: str):
+    """Scaled second moments of the inputs and their covariance with the target, in one pass."""
+    known = require_columns(df, [*features, target]).select(
+        *[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("double").alias(target)
+    ).dropna()
+    mean, std, correlation = second_moments(known, [*features, target])
+    gram, cross = correlation[:-1, :-1], correlation[:-1, -1] * std[-1]
+    return mean[:-1], std[:-1], gram, cross, mean[-1]
 
 
 def fit_pcr(df: DataFrame, features: Sequence[str], target: str, components: int = 4) -> LinearModel:
-    """Standardise, project on the leading principal components, ordinary least squares."""
+    """Standardise, project on the leading principal components, ordinary least squares.
+
+    The components are uncorrelated, so each has its own least-squares coefficient.
+    """
     features = list(features)
-    known = require_columns(df, [*features, target]).dropna()
-    scaling = fit_scale(known, "standard", features)
-    scaled = assemble(scaling.apply(known), features, "scaled")
-    k = min(components, len(features))
-    pca = PCA(k=k, inputCol="scaled", outputCol="latent").fit(scaled)
-    fitted = LinearRegression(featuresCol="latent", labelCol=target).fit(
-        pca.transform(scaled).select("latent", F.col(target).cast("double").alias(target))
-    )
-    loadings = pca.pc.toArray()
-    gamma = fitted.coefficients.toArray()
+    mean, std, gram, cross, middle = _moments(df, features, target)
+    values, axes = principal_axes(gram)
+    k = min(components, int((values > 1e-12).sum()))
+    axes_k = axes[:, :k]
+    gamma = (axes_k.T @ cross) / values[:k]
     return _to_inputs(
-        "pcr", features, target, scaling, loadings @ gamma, fitted.intercept,
-        loadings=loadings.tolist(), component_weights=[float(v) for v in gamma],
-        explained=[float(v) for v in pca.explainedVariance.toArray()],
+        "pcr", features, target, mean, std, axes_k @ gamma, middle, loadings=axes_k.tolist(),
+        component_weights=[float(v) for v in gamma], explained=[float(v) for v in values[:k] / values.sum()],
     )
 
 
 def fit_pls(df: DataFrame, features: Sequence[str], target: str, components: int = 4) -> LinearModel:
-    """Partial least squares from one aggregation of the cross products of scaled columns."""
+    """Partial least squares on the same moments."""
     features = list(features)
-    known = require_columns(df, [*features, target]).dropna()
-    scaling = fit_scale(known, "standard", features)
-    scaled = scaling.apply(known)
     p = len(features)
-    wanted = {"y": F.avg(target)}
-    for i, a in enumerate(features):
-        wanted[f"y\0{i}"] = F.covar_pop(F.col(a), F.col(target).cast("double"))
-        for j in range(i, p):
-            wanted[f"{i}\0{j}"] = F.covar_pop(F.col(a), F.col(features[j]))
-    got = gather(scaled, wanted)
-    gram = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            gram[i, j] = gram[j, i] = got[f"{i}\0{j}"]
-    cross = np.array([got[f"y\0{i}"] for i in range(p)])
+    mean, std, gram, cross, middle = _moments(df, features, target)
     directions, loads, gains = [], [], []
     for _ in range(min(components, p)):
         length = np.linalg.norm(cross)
         if length < 1e-12:
             break
-        r = cross / length
+        w = cross / length
+        r = w.copy()
         for d, load in zip(directions, loads):
-            r = r - (load @ (cross / length)) * d
+            r = r - (load @ w) * d
         spread = r @ gram @ r
+        if spread < 1e-12:
+            break
         load, gain = gram @ r / spread, (r @ cross) / spread
         cross = cross - load * gain * spread
         directions.append(r)
@@ -130,7 +122,7 @@ def fit_pls(df: DataFrame, features: Sequence[str], target: str, components: int
         gains.append(gain)
     weights = np.array(directions).T @ np.array(gains) if directions else np.zeros(p)
     return _to_inputs(
-        "pls", features, target, scaling, weights, got["y"],
+        "pls", features, target, mean, std, weights, middle,
         loadings=np.array(loads).T.tolist() if loads else [], component_weights=[float(g) for g in gains],
     )
 
@@ -138,9 +130,7 @@ def fit_pls(df: DataFrame, features: Sequence[str], target: str, components: int
 def explained_variance(df: DataFrame, features: Sequence[str], components: int = 10) -> DataFrame:
     """Explained and cumulative variance of the principal components of scaled columns."""
     features = list(features)
-    known = require_columns(df, features).dropna()
-    scaled = assemble(fit_scale(known, "standard", features).apply(known), features, "scaled")
-    pca = PCA(k=min(components, len(features)), inputCol="scaled", outputCol="latent").fit(scaled)
-    shares = pca.explainedVariance.toArray()
+    values, _ = principal_axes(second_moments(require_columns(df, features).dropna(), features)[2])
+    shares = (values / values.sum())[:components]
     rows = [(f"PC{j + 1}", float(v), float(c)) for j, (v, c) in enumerate(zip(shares, np.cumsum(shares)))]
     return literal_table(df.sparkSession, rows, "component string, explained double, cumulative double")

@@ -70,22 +70,26 @@ HISTORY = 50
 
 def _features(values: np.ndarray, start: int, window: int, lags: Sequence[int]) -> dict[str, np.ndarray]:
     """Features of ``values[start:]`` with everything before as history."""
-    out: dict[str, list[float]] = {f"lag_{k}": [] for k in lags}
-    out |= {n: [] for n in ("rate", "mean", "std", "low", "high", "trend")}
-    x = np.arange(5) - 2.0
-    for i in range(start, len(values)):
-        for k in lags:
-            out[f"lag_{k}"].append(values[i - k] if i >= k else np.nan)
-        out["rate"].append(values[i] - values[i - 1] if i else np.nan)
-        part = values[i - window + 1: i + 1] if i >= window - 1 else np.array([])
-        whole = len(part) == window and not np.isnan(part).any()
-        out["mean"].append(part.mean() if whole else np.nan)
-        out["std"].append(part.std(ddof=1) if whole else np.nan)
-        out["low"].append(part.min() if whole else np.nan)
-        out["high"].append(part.max() if whole else np.nan)
-        five = values[i - 4: i + 1] if i >= 4 else np.array([])
-        out["trend"].append(float(x @ five) / 10 if len(five) == 5 and not np.isnan(five).any() else np.nan)
-    return {n: np.array(v, dtype=float) for n, v in out.items()}
+    longest = max(window, 5, *[k + 1 for k in lags])
+    padded = np.concatenate([np.full(longest, np.nan), values])
+
+    def view(n: int) -> np.ndarray:
+        """The last n values of every emitted row, NaN before the series begins."""
+        return np.lib.stride_tricks.sliding_window_view(padded, n)[longest - n + 1 + start:]
+
+    def back(k: int) -> np.ndarray:
+        return padded[longest + start - k: len(padded) - k]
+
+    part = view(window)
+    return {
+        **{f"lag_{k}": back(k) for k in lags},
+        "rate": back(0) - back(1),
+        "mean": part.mean(axis=1),
+        "std": part.std(axis=1, ddof=1),
+        "low": part.min(axis=1),
+        "high": part.max(axis=1),
+        "trend": view(5) @ (np.arange(5) - 2.0) / 10,
+    }
 
 
 def ordered_features(
