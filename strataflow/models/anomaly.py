@@ -180,8 +180,12 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list
         if parent >= 0:
             node[side][parent] = me
         part = x[rows]
-        spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(rows) else np.array([], dtype=int)
-        if depth >= limit or len(rows) <= 1 or not len(spread):
+        split = depth < limit and len(rows) > 1
+        if split:
+            low, high = part.min(axis=0), part.max(axis=0)
+            spread = np.flatnonzero(high > low)
+            split = len(spread) > 0
+        if not split:
             node["feature"].append(0)
             node["cut"].append(0.0)
             node["left"].append(-1)
@@ -189,7 +193,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list
             node["depth"].append(depth + float(_path_length(len(rows))))
             continue
         f = int(rng.choice(spread))
-        cut = float(rng.uniform(part[:, f].min(), part[:, f].max()))
+        cut = float(rng.uniform(low[f], high[f]))
         node["feature"].append(f)
         node["cut"].append(cut)
         node["left"].append(0)
@@ -224,6 +228,8 @@ def fit_isolation_forest(
     spread = spread.withColumns(
         {"_tree": F.pmod(F.col("_first") + F.col("_copy") * stride, F.lit(trees)).cast("int"), "_draw": F.rand(seed + 2)}
     )
+    # a fixed number of partitions: the rows are few, the growing is the work
+    spread = spread.repartition(trees, "_tree")
     per_tree = Window.partitionBy("_tree").orderBy("_draw")
     chosen = spread.withColumn("_rank", F.row_number().over(per_tree)).where(F.col("_rank") <= size)
     limit = max(1, math.ceil(math.log2(max(size, 2))))
