@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..channels import EPSILON
 from ..functions import rolling as R
 from ..series import Frame, SeriesLike, accumulate, number_rows, over_series
+from ..session import materialise
 from ..stats import quantile
 from .clean import forward_fill
 
@@ -164,8 +165,10 @@ def _series_counts(df: DataFrame, layout, counted: dict[str, Column]) -> DataFra
         keyed = Window.partitionBy(*layout.keys)
         return df.withColumns({n: F.count(c).over(keyed) for n, c in counted.items()})
     if not layout.keys:
+        df = materialise(df)
         got = df.agg(*[F.count(c).alias(n) for n, c in counted.items()]).first()
         return df.withColumns({n: F.lit(got[n]).cast("long") for n in counted})
+    df = materialise(df)
     same = F.struct(*layout.keys)
     sizes = df.groupBy(same.alias("_series")).agg(*[F.count(c).alias(n) for n, c in counted.items()])
     return df.withColumn("_series", same).join(sizes, "_series").drop("_series")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..channels import FORMATION_CHANNELS, FORMATION_TARGET, KICK_CHANNELS, numeric_columns
 from ..operators import clean, features, impute, ordered, scale
 from ..series import Layout, Series, SeriesLike
+from ..session import materialise
 
 
 def _frame_columns(series: SeriesLike) -> list[str]:
@@ -34,6 +35,12 @@ def first_of_duplicates(df: DataFrame, series: SeriesLike, channels: Sequence[st
     return grouped.select(*group, *[F.col(f"_first.{c}").alias(c) for c in extra])
 
 
+def _settled(df: DataFrame, series: SeriesLike) -> tuple[DataFrame, Layout]:
+    """Measure the cleaned rows; large ones are written once, as several passes follow."""
+    layout = series.measure(df)
+    return (materialise(df) if layout.chunked else df), layout
+
+
 def _channels(df: DataFrame, wanted: Sequence[str]) -> list[str]:
     return [c for c in wanted if c in df.columns]
 
@@ -73,12 +80,11 @@ def prepare_formation(
     values = [*channels, target]
     data = clean.require_columns(df, [*frame, *[c for c in values if c not in frame]])
     data = first_of_duplicates(data, series, values)
-    data = clean.remove_iqr_outliers(data, values, 1.5)
+    data, layout = _settled(clean.remove_iqr_outliers(data, values, 1.5), series)
     constant = [c for c in clean.constant_columns(data, values) if c not in frame]
     data = data.drop(*constant)
     fitted = impute.fit_fill(data, "median", _channels(data, values))
     data = fitted.apply(data)
-    layout = series.measure(data)
     chosen = _channels(data, derived)
     data = ordered.derivative_features(data, layout, chosen)
     data = ordered.rolling_features(data, layout, chosen, (5, 10))
@@ -97,14 +103,13 @@ def prepare_kick(
     values = [c for c in dict.fromkeys(channels)]
     data = clean.require_columns(df, [*frame, *[c for c in values if c not in frame]])
     data = first_of_duplicates(data, series, values)
-    data = clean.remove_iqr_outliers(data, values, 2.0)
+    data, layout = _settled(clean.remove_iqr_outliers(data, values, 2.0), series)
     constant = [c for c in clean.constant_columns(data, values) if c not in frame]
     data = data.drop(*constant)
     present = _channels(data, values)
     gaps = impute.columns_with_gaps(data, present)
     if gaps:
         data = impute.impute_knn(data, gaps)
-    layout = series.measure(data)
     chosen = _channels(data, derived)
     data = ordered.lag_features(data, layout, chosen, (1, 2, 3))
     data = ordered.rolling_features(data, layout, chosen, (5, 10, 20))
@@ -140,6 +145,8 @@ def drilling_features(df: DataFrame, series: SeriesLike, task: str = "formation"
         out = ordered.lag_features(out, layout, _channels(df, ["ActiveGL", "FIn", "FOut", "MRFlow"]), (1, 2, 3, 5))
     else:
         raise ValueError(f"unknown task {task}")
+    if layout.chunked:
+        out = materialise(out)
     return impute.fill_with_means(out, numeric_columns(out, frame))
 
 

@@ -7,8 +7,9 @@ through range buckets and cut into chunks of fixed length; each chunk carries
 copies of the few neighbouring rows its windows look at, so a well holding a third
 of the data is spread over many tasks and results stay exact.
 
-All choices are made from aggregates of the data and turned into literals, so a
-lost task is recomputed to the same rows.
+All choices are made from aggregates of the data and turned into literals, and the
+rows of a cut series are stored in the shared checkpoint folder before they are read
+twice, so a lost task is recomputed to the same rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .session import materialise
+
 ROWS_PER_TASK = 1 << 21
 MAX_BUCKETS = 8192
 
@@ -130,12 +133,14 @@ def accumulate(
     series: SeriesLike,
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Add running totals and last-known values along each series.
 
     ``sums`` are inclusive running sums, ``lasts`` carry the latest non-NULL value
     forward.  Long series use totals per range bucket plus a running value inside
-    the bucket, so no task sees a whole series.
+    the bucket, so no task sees a whole series.  ``stored`` says that ``df`` is a plain
+    table read, which need not be written again.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     layout = series.measure(df)
@@ -147,7 +152,9 @@ def accumulate(
 
     place = ["_series", "_bucket", "_part"]
     inside = {f"_in_{i}": c for i, c in enumerate([*sums.values(), *lasts.values()])}
-    rows = _bucketed(df.withColumns(inside), layout)
+    # the rows are read for the totals and again for the running values; stored once, a
+    # chain of such steps stays linear instead of doubling with every step
+    rows = _bucketed((df if stored else materialise(df)).withColumns(inside), layout)
     in_sum = list(inside)[: len(sums)]
     in_last = list(inside)[len(sums):]
     position = F.struct(*layout.order)
@@ -183,7 +190,8 @@ def number_rows(df: DataFrame, series: SeriesLike, name: str = "_row", length: s
         if length:
             added[length] = F.count(F.lit(1)).over(keyed)
         return df.withColumns(added)
-    numbered = accumulate(df, layout, sums={name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)
+    df = materialise(df)
+    numbered = accumulate(df, layout, {name: F.lit(1).cast("long")}, stored=True).withColumn(name, F.col(name) - 1)
     if not length:
         return numbered
     if not layout.keys:

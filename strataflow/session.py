@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,3 +48,14 @@ def checkpoint_root(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="run-ckpt-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table to the shared checkpoint folder and go on from there.
+
+    Used between the passes of long plans, so later passes read the table instead of
+    repeating its shuffles, and a lost executor costs only its own tasks.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
