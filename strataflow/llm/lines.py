@@ -1,15 +1,16 @@
 """Near-duplicate lines by an exact set-similarity join, in built-in functions alone.
 
 A line is the set of its lower-cased words. Words are ordered by rarity over all documents, then lines whose sets reach a
-Jaccard similarity of SIMILARITY must share at least two words among their rarest few (the prefix). Pairs pass length and
-positional filters, must share two prefix words, and are then verified on the whole sets. A line goes if any earlier
-line (by doc_id, then line number) is as similar.
+Jaccard similarity of SIMILARITY share a word among their rarest few (the prefix). Pairs that meet under such a word
+pass length and positional filters and a bitmap filter (the sets' parity bitmaps differ in no more bits than the sets in
+words), and are then verified on the whole sets. A line goes if any earlier line (by doc_id, then line number) is as similar.
 
 Equal sets are one entry, so copies cost a row each. Where many similar lines meet under a word, each is first
 compared with the earliest one there; only lines that this leaves in doubt meet all others. Nothing is cut off.
 
 Rarity is counted in a table of RARITY_BUCKETS hashed words, a fixed size; the order needs only be one and the same for
-all lines, so words that share a bucket cost time, never results. Words are told apart by 64-bit hashes of which 56 bits count.
+all lines, so words that share a bucket cost time, never results. Words are told apart by 56 bits of a hash, and sets by
+64 bits of a hash of their words.
 """
 
 from __future__ import annotations
@@ -26,24 +27,26 @@ RARITY_BUCKETS = 8192
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), BLANKS), lambda w: w != "")
+    """Words of a lower-cased line; a blank line has the empty word alone."""
+    return F.split(F.btrim(F.lower(line), F.lit(" \t\n\x0b\f\r")), BLANKS)
 
 
 def rarity(docs: DataFrame) -> Column:
     """An array of the binary magnitude of the frequency of each bucket of words, as a literal."""
     bucket = F.pmod(F.xxhash64("word"), F.lit(RARITY_BUCKETS)).cast("int")
-    words = docs.select(F.explode(_words(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("word"))
+    words = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("word"))
     counts = {r["b"]: r["n"] for r in words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most RARITY_BUCKETS rows
     return F.split(F.lit(",".join(str(int(counts.get(b, 0)).bit_length()) for b in range(RARITY_BUCKETS))), ",").cast("array<int>")
 
 
 def _lines(docs: DataFrame, rare: Column) -> DataFrame:
     """(doc_id, row, line, ids): the words of every line with any, rarest first; magnitude above, hash below."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    split = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split(text, "\n")).alias("line", "t"))
-    hashes = F.array_distinct(F.transform(_words(F.col("t")), lambda w: F.xxhash64(w)))
-    coded = F.transform("h", lambda h: F.shiftleft(F.get(F.col("rare"), F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
-    return split.select("doc_id", "row", "line", hashes.alias("h"), rare.alias("rare")).where(F.size("h") > 0).select("doc_id", "row", "line", F.sort_array(coded).alias("ids"))
+    split = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    coded = F.transform(
+        F.transform(_words(F.col("t")), lambda w: F.xxhash64(w)),
+        lambda h: F.shiftleft(F.get(rare, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))),
+    )
+    return split.where(F.col("t").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "row", "line", F.sort_array(F.array_distinct(coded)).alias("ids"))
 
 
 def _overlap(a: Column, b: Column, similarity: float) -> Column:
@@ -51,20 +54,16 @@ def _overlap(a: Column, b: Column, similarity: float) -> Column:
     return F.ceil(F.lit(similarity / (1 + similarity)) * (a + b) - F.lit(1e-9))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rare: Column, similarity: float) -> DataFrame:
-    """Of (a, b), those whose whole sets are similar. Only the lines that stand in a pair are read again."""
-    asked = materialise(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig", "first"), "sig").select("sig", "first.*"))
-    wanted = asked.select("doc_id", "row").distinct()
-    own = docs.select("doc_id", "text").withColumn("row", F.xxhash64("text")).join(wanted.withColumnRenamed("doc_id", "_d").withColumnRenamed("row", "_r"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left_semi")
-    found = _lines(own.select("doc_id", "text"), rare).select(_signature().alias("sig"), "ids").join(asked.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
-    found = materialise(found)
-    met = pairs.join(found.toDF("a", "ia"), "a").join(found.toDF("b", "ib"), "b")
-    common = F.size(F.array_intersect("ia", "ib"))
-    return met.where(common >= _overlap(F.size("ia"), F.size("ib"), similarity)).select("a", "b")
-
-
-def _signature() -> Column:
-    return F.struct(F.xxhash64("ids").alias("x"), F.hash("ids").alias("y"), F.size("ids").alias("n"))
+def _later(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rare: Column, similarity: float) -> DataFrame:
+    """(x): of pairs (a, b) whose whole sets are similar, the later one. Only lines that stand in a pair are read again."""
+    asked = materialise(pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct().join(sets.select("x", "first"), "x"))
+    wanted = asked.select(F.col("first.doc_id").alias("_d"), F.col("first.row").alias("_r")).distinct()
+    own = docs.withColumn("row", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left_semi")
+    found = _lines(own.select("doc_id", "text"), rare).withColumn("x", F.xxhash64("ids"))
+    found = materialise(found.join(asked, "x").where(F.struct("doc_id", "row", "line").eqNullSafe(F.col("first"))).select("x", "first", "ids").dropDuplicates(["x"]))
+    met = pairs.join(found.toDF("a", "fa", "ia"), "a").join(found.toDF("b", "fb", "ib"), "b")
+    alike = met.where(F.size(F.array_intersect("ia", "ib")) >= _overlap(F.size("ia"), F.size("ib"), similarity))
+    return alike.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("x")).distinct()
 
 
 def later_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -72,41 +71,44 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Lines without words are never listed. Rows that repeat a doc_id and its text are one document.
     """
-    docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rare = rarity(docs)
-    size = F.size("ids")
-    # two common words among the rarest n - needed + 2, if at least two must be common
-    least = F.ceil(F.lit(similarity) * size - F.lit(1e-9)).cast("int")
-    prefix = F.slice("ids", F.lit(1), F.least(size, size - least + 2))
-    place = F.struct("doc_id", "row", "line").alias("first")
-    lines = materialise(_lines(docs, rare).select("doc_id", "row", "line", _signature().alias("sig"), prefix.alias("prefix")).distinct())
+    n = F.size("ids")
+    least = F.ceil(F.lit(similarity) * n - F.lit(1e-9)).cast("int")
+    parity = F.aggregate("ids", F.lit(0), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1), h.bitwiseAND(F.lit(31)).cast("int"))))
     # sets under this size are similar to none but themselves
-    smallest = next(n for n in range(1, 10_000) if n / (n + 1) >= similarity - 1e-9)
-    sets = materialise(lines.groupBy("sig").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("prefix").alias("prefix")))
-    long = sets.where(F.col("sig.n") >= smallest)
-    # same order for everyone: the earliest line of a set
-    tokens = long.select("sig", "first", F.posexplode("prefix").alias("at", "word"))
-    shared = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("first", "sig", "at")).alias("c")).where(F.col("n") > 1)
-    met = materialise(tokens.join(shared.select("word", "c"), "word"))
-    n, m = F.col("sig.n"), F.col("c.sig.n")
-
-    def may(n: Column, m: Column, i: Column, j: Column) -> Column:
-        need = _overlap(n, m, similarity)
-        return (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - F.lit(1e-9)) & (F.least(i, j) + F.least(n - i, m - j) >= need)
-
-    def twice(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("a", "b")
-
-    centred = met.where((F.col("sig") != F.col("c.sig")) & may(n, m, F.col("at"), F.col("c.at"))).select(F.col("sig").alias("a"), F.col("c.sig").alias("b"))
-    done = materialise(_verified(materialise(twice(centred)), sets, docs, rare, similarity).select(F.col("a").alias("sig")).distinct())
-    doubt = met.join(done, "sig", "left_anti").where(F.col("sig") != F.col("c.sig")).select("word", F.col("sig").alias("a"), F.col("first").alias("fa"), F.col("at").alias("i"))
-    index = met.select("word", F.col("sig").alias("b"), F.col("first").alias("fb"), F.col("at").alias("j"))
-    others = doubt.join(index, "word").where((F.col("fb") < F.col("fa")) & may(F.col("a.n"), F.col("b.n"), F.col("i"), F.col("j"))).select("a", "b")
-    late = materialise(twice(others))
-    more = _verified(late, sets, docs, rare, similarity).select(F.col("a").alias("sig")).distinct()
-    gone = materialise(done.union(more).distinct().withColumn("gone", F.lit(True)))
-    told = sets.where(F.col("n") > 1).select("sig", "first").join(gone, "sig", "full_outer").select("sig", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    return lines.join(told, "sig").where(F.col("gone") | (F.struct("doc_id", "row", "line") > F.col("first"))).select("doc_id", "row", "line")
+    smallest = next(k for k in range(1, 10_000) if k / (k + 1) >= similarity - 1e-9)
+    long = n >= smallest
+    lines = materialise(_lines(docs, rare).select(
+        "doc_id", "row", "line", F.xxhash64("ids").alias("x"), n.alias("n"), F.when(long, parity).alias("bits"),
+        # the join's key is a shorter hash of the word: what it confuses, the later filters tell apart
+        F.when(long, F.transform(F.slice("ids", F.lit(1), n - least + 1), lambda h: F.hash(h))).alias("prefix"),
+    ).distinct())
+    sets = materialise(lines.groupBy("x").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    order = F.coalesce("first.doc_id", F.lit(-(1 << 63)))
+    tokens = sets.where(F.col("prefix").isNotNull()).select("x", order.alias("d"), "n", "bits", F.posexplode("prefix").alias("at", "word"))
+    # n and place fit one number, which the shuffle carries in fewer bytes
+    tokens = tokens.select("word", "x", "d", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("na"))
+    size, place = lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))
+
+    def may(p: str, q: str) -> Column:
+        na, nb, i, j = size(F.col(f"{p}na")), size(F.col(f"{q}na")), place(F.col(f"{p}na")), place(F.col(f"{q}na"))
+        need = _overlap(na, nb, similarity)
+        alike = F.bit_count(F.col(f"{p}bits").bitwiseXOR(F.col(f"{q}bits")).bitwiseAND(F.lit((1 << 32) - 1))) <= na + nb - 2 * need
+        return alike & (F.least(na, nb) >= F.lit(similarity) * F.greatest(na, nb) - F.lit(1e-9)) & (F.least(i, j) + F.least(na - i, nb - j) >= need)
+
+    def named(p: str) -> DataFrame:
+        return tokens.select("word", *[F.col(c).alias(p + c) for c in ("x", "d", "bits", "na")])
+
+    centres = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("d", "x", "bits", "na")).alias("c")).where("k > 1").select("word", F.col("c.x").alias("cx"), F.col("c.bits").alias("cbits"), F.col("c.na").alias("cna"))
+    near = materialise(named("t").join(centres, "word").where((F.col("tx") != F.col("cx")) & may("t", "c")).select(F.col("tx").alias("a"), F.col("cx").alias("b")).distinct())
+    done = materialise(_later(near, sets, docs, rare, similarity))
+    doubt = named("p").join(done.withColumnRenamed("x", "px"), "px", "left_anti")
+    others = doubt.join(named("q"), "word").where((F.col("px") != F.col("qx")) & (F.col("qd") <= F.col("pd")) & may("p", "q")).select(F.col("px").alias("a"), F.col("qx").alias("b")).distinct()
+    fresh = materialise(others.join(near, ["a", "b"], "left_anti"))
+    gone = materialise(done.union(_later(fresh, sets, docs, rare, similarity)).distinct().withColumn("gone", F.lit(True)))
+    told = sets.where(F.col("copies") > 1).select("x", "first").join(gone, "x", "full_outer").select("x", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    return lines.select("doc_id", "row", "line", "x").join(told, "x").where(F.col("gone") | (F.struct("doc_id", "row", "line") > F.col("first"))).select("doc_id", "row", "line")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
