@@ -75,7 +75,7 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rare = rarity(docs)
     n = F.size("ids")
     least = F.ceil(F.lit(similarity) * n - F.lit(1e-9)).cast("int")
-    parity = F.aggregate("ids", F.lit(0), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1), h.bitwiseAND(F.lit(31)).cast("int"))))
+    parity = F.aggregate("ids", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
     # sets under this size are similar to none but themselves
     smallest = next(k for k in range(1, 10_000) if k / (k + 1) >= similarity - 1e-9)
     long = n >= smallest
@@ -94,7 +94,7 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def may(p: str, q: str) -> Column:
         na, nb, i, j = size(F.col(f"{p}na")), size(F.col(f"{q}na")), place(F.col(f"{p}na")), place(F.col(f"{q}na"))
         need = _overlap(na, nb, similarity)
-        alike = F.bit_count(F.col(f"{p}bits").bitwiseXOR(F.col(f"{q}bits")).bitwiseAND(F.lit((1 << 32) - 1))) <= na + nb - 2 * need
+        alike = F.bit_count(F.col(f"{p}bits").bitwiseXOR(F.col(f"{q}bits"))) <= na + nb - 2 * need
         return alike & (F.least(na, nb) >= F.lit(similarity) * F.greatest(na, nb) - F.lit(1e-9)) & (F.least(i, j) + F.least(na - i, nb - j) >= need)
 
     def named(p: str) -> DataFrame:
