@@ -85,7 +85,8 @@ def linked(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """
     if bits > 3:
         raise ValueError("two segments with one bit left out find at most three differing bits")
-    keyed = _keyed(prints)
+    # a small table still makes 66 rows a print: spread it over all tasks
+    keyed = _keyed(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("c0"), F.max("fp").alias("c1"), F.min_by("fp", F.xxhash64("fp")).alias("c2")).where(F.col("n") > 1)
     met = materialise(keyed.join(counts.select("key", *[f"c{i}" for i in range(CENTRES)]), "key"))
     stars = [met.where((F.col("fp") != F.col(f"c{i}")) & _near("fp", f"c{i}", bits)).select(F.col("fp").alias("a"), F.col(f"c{i}").alias("b")) for i in range(CENTRES)]
