@@ -88,7 +88,9 @@ def l05(spark, sf):
     return rounded(finish(spark, live.running_quality(s, "y", "p"), "complete"))
 
 
-@query("l06_repeat_suppression")
+@query("l06_repeat_suppression", sql="""
+WITH o AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type, value ORDER BY ts) AS before FROM events)
+SELECT user_id, event_type, value FROM o WHERE before IS NULL OR ts - before > INTERVAL 300 SECOND""")
 def l06(spark, sf):
     kept = live.drop_repeats(stream(spark, sf), "ts", ["user_id", "event_type", "value"])
     return finish(spark, kept.select("user_id", "event_type", "value"))

@@ -183,8 +183,8 @@ def raise_alerts(
 
 
 def recent_alerts(alerts: DataFrame, order: Sequence[str], limit: int = 50) -> DataFrame:
-    """Latest alerts; the retention bound caps the request as the alert log itself is capped."""
-    return alerts.orderBy(*[F.desc(c) for c in order]).limit(min(limit, rules.ALERT_RETENTION))
+    """The latest ``limit`` alerts."""
+    return alerts.orderBy(*[F.desc(c) for c in order]).limit(limit)
 
 
 def alert_statistics(alerts: DataFrame, kind: str = "alert_type") -> DataFrame:

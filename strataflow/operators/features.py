@@ -43,8 +43,8 @@ def group_interactions(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> Da
     return pair_interactions(df, pairs)
 
 
-def polynomial_features(df: DataFrame, columns: Sequence[str], degree: int = 2, limit: int = 5) -> DataFrame:
-    """Products up to ``degree`` of the first ``limit`` columns, named like ``poly_a^2`` and ``poly_a b``."""
+def polynomial_features(df: DataFrame, columns: Sequence[str], degree: int = 2, limit: int | None = None) -> DataFrame:
+    """Products up to ``degree`` of all columns, or of the first ``limit``, named like ``poly_a^2`` and ``poly_a b``."""
     inputs = [c for c in columns if c in df.columns][:limit]
     added: dict[str, Column] = {}
     for d in range(2, degree + 1):
@@ -57,8 +57,8 @@ def polynomial_features(df: DataFrame, columns: Sequence[str], degree: int = 2,
     return df.withColumns(added) if added else df
 
 
-def power_features(df: DataFrame, columns: Sequence[str], squared: int = 3, crossed: int = 5) -> DataFrame:
-    """Squares and roots of the leading columns; products and ratios among the first five."""
+def power_features(df: DataFrame, columns: Sequence[str], squared: int | None = None, crossed: int | None = None) -> DataFrame:
+    """Squares and roots of all columns, or the first ``squared``; products and ratios among all, or the first ``crossed``."""
     added: dict[str, Column] = {}
     for a, b in combinations(columns[:crossed], 2):
         added[f"{a}_x_{b}"] = F.col(a) * F.col(b)

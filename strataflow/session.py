@@ -42,7 +42,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only a session without that setting (unit tests) gets a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if not named:
         named = tempfile.mkdtemp(prefix="run-ckpt-")

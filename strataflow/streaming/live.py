@@ -172,7 +172,33 @@ def running_quality(stream: DataFrame, label: str, prediction: str) -> DataFrame
 
 
 def drop_repeats(stream: DataFrame, time: str, columns: Sequence[str], lifetime: str = "300 seconds") -> DataFrame:
-    """Keep the first of equal inputs within the lifetime."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
-    timed = stream.withColumn("_time", F.col(time).cast("timestamp")).withColumn("_input", F.md5(text))
-    return timed.withWatermark("_time", lifetime).dropDuplicatesWithinWatermark(["_input"]).drop("_input", "_time")
+    """Keep an input unless an equal one was kept within the lifetime before or after it.
+
+    Rows of a batch are taken in order of time, so one batch and many give the same rows. The state of an input
+    is the time of its last kept row; it goes once the watermark is past it by the lifetime. Nulls equal nulls.
+    """
+    names = stream.columns
+    span = int(pd.Timedelta(lifetime).value // 1000)
+    fields = stream.schema
+
+    def keep(_key, frames, state):
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames), ignore_index=True).sort_values("_us", kind="stable")
+        chosen = []
+        for at in rows["_us"].tolist():
+            chosen.append(last is None or abs(at - last) > span)
+            if chosen[-1]:
+                last = at if last is None else max(last, at)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + span // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield rows.loc[chosen, names]
+
+    def work(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        yield from keep(key, frames, state)
+
+    timed = stream.withColumn("_time", F.col(time).cast("timestamp")).withColumn("_us", F.unix_micros("_time"))
+    grouped = timed.withWatermark("_time", lifetime).groupBy(*columns)
+    return grouped.applyInPandasWithState(work, fields, "last long", "append", "EventTimeTimeout")
