@@ -74,9 +74,8 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance, base 2, between a histogram of counts and shares that sum to 1."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+def distance(counts: Column, reference: list[float], total: Column) -> Column:
+    """Jensen-Shannon distance, base 2, between a histogram of counts with their total, and shares that sum to 1."""
     shares = F.transform(counts, lambda x: x / F.greatest(total, F.lit(1)))
     part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
     terms = F.zip_with(shares, F.array(*[F.lit(float(x)) for x in reference]), lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2))
@@ -105,9 +104,9 @@ def judged(docs: DataFrame, max_chars: float = MAX_CHARS, max_words: float = MAX
     """
     measures = materialise(measured(docs))
     known = references(measures)
-    far = lambda c, k: F.least(*d) if len(d := [distance(F.col(c), known[x][k]) for x in sorted(known)]) > 1 else (d[0] if d else F.lit(None).cast("double"))
+    far = lambda c, k, n: F.least(*d) if len(d := [distance(F.col(c), known[x][k], F.col(n)) for x in sorted(known)]) > 1 else (d[0] if d else F.lit(None).cast("double"))
     out = measures.withColumn("base_failed", base_failed()).withColumns({
-        "char_distance": F.when(F.col("n_chars") >= min_chars, far("classes", 0)), "word_distance": F.when(F.col("n_words") >= min_words, far("common", 1)),
+        "char_distance": F.when(F.col("n_chars") >= min_chars, far("classes", 0, "n_chars")), "word_distance": F.when(F.col("n_words") >= min_words, far("common", 1, "n_words")),
     })
     close = (F.coalesce("char_distance", F.lit(0.0)) <= max_chars) & (F.coalesce("word_distance", F.lit(0.0)) <= max_words)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", (~F.col("base_failed") & close).alias("kept"))

@@ -42,7 +42,7 @@ def test_quality_counts(spark, odd):
 
 def test_distance_is_jensen_shannon(spark):
     p, q = [3, 0, 1], [0.25, 0.5, 0.25]
-    got = spark.range(1).select(quality.distance(F.array(*[F.lit(x).cast("long") for x in p]), q)).first()[0]
+    got = spark.range(1).select(quality.distance(F.array(*[F.lit(x).cast("long") for x in p]), q, F.lit(4))).first()[0]
     a, b = np.array(p) / 4, np.array(q)
     m = (a + b) / 2
     kl = lambda x: sum(u * np.log2(u / v) for u, v in zip(x, m) if u > 0)
