@@ -20,15 +20,18 @@ from pyspark.sql import functions as F
 
 from strataflow.session import materialise
 
-from .common import BLANKS, unused
+from .common import unused
 
 SIMILARITY = 0.9
 RARITY_BUCKETS = 8192
 
 
 def _words(line: Column) -> Column:
-    """Words of a lower-cased line; a blank line has the empty word alone."""
-    return F.split(F.btrim(F.lower(line), F.lit(" \t\n\x0b\f\r")), BLANKS)
+    """Words of a lower-cased text. Blanks become spaces first: splitting at one character needs no pattern."""
+    spaced = F.lower(line)
+    for blank in "\t\n\x0b\f\r":
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def rarity(docs: DataFrame) -> Column:
@@ -39,14 +42,27 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(int(counts.get(b, 0)).bit_length()) for b in range(RARITY_BUCKETS))), ",").cast("array<int>")
 
 
-def _lines(docs: DataFrame, rare: Column) -> DataFrame:
-    """(doc_id, row, line, ids): the words of every line with any, rarest first; magnitude above, hash below."""
+def _split(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, line, t): every line with any word."""
     split = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return split.where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _ids(line: Column, rare: Column) -> Column:
+    """The set of a line's words, rarest first. Elements are known not to be null, so they sort as plain numbers."""
     coded = F.transform(
-        F.transform(_words(F.col("t")), lambda w: F.xxhash64(w)),
-        lambda h: F.shiftleft(F.get(rare, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))),
+        F.transform(_words(line), lambda w: F.xxhash64(w)),
+        lambda h: F.coalesce(
+            F.shiftleft(F.get(rare, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))),
+            F.lit(0).cast("long"),
+        ),
     )
-    return split.where(F.col("t").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "row", "line", F.sort_array(F.array_distinct(coded)).alias("ids"))
+    return F.sort_array(F.array_distinct(coded))
+
+
+def _lines(docs: DataFrame, rare: Column) -> DataFrame:
+    """(doc_id, row, line, ids): the words of every line with any, rarest first; magnitude above, hash below."""
+    return _split(docs).select("doc_id", "row", "line", _ids(F.col("t"), rare).alias("ids"))
 
 
 def _overlap(a: Column, b: Column, similarity: float) -> Column:
@@ -59,8 +75,9 @@ def _later(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rare: Column, sim
     asked = materialise(pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct().join(sets.select("x", "first"), "x"))
     wanted = asked.select(F.col("first.doc_id").alias("_d"), F.col("first.row").alias("_r")).distinct()
     own = docs.withColumn("row", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left_semi")
-    found = _lines(own.select("doc_id", "text"), rare).withColumn("x", F.xxhash64("ids"))
-    found = materialise(found.join(asked, "x").where(F.struct("doc_id", "row", "line").eqNullSafe(F.col("first"))).select("x", "first", "ids").dropDuplicates(["x"]))
+    at = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    found = _split(own.select("doc_id", "text")).join(asked, at).select("x", "first", "t").dropDuplicates(["x"])
+    found = materialise(found.select("x", "first", _ids(F.col("t"), rare).alias("ids")))
     met = pairs.join(found.toDF("a", "fa", "ia"), "a").join(found.toDF("b", "fb", "ib"), "b")
     alike = met.where(F.size(F.array_intersect("ia", "ib")) >= _overlap(F.size("ia"), F.size("ib"), similarity))
     return alike.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("x")).distinct()
@@ -79,11 +96,12 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # sets under this size are similar to none but themselves
     smallest = next(k for k in range(1, 10_000) if k / (k + 1) >= similarity - 1e-9)
     long = n >= smallest
+    # rows that repeat a document list its lines again: an entry equal to the first one is never later than it
     lines = materialise(_lines(docs, rare).select(
         "doc_id", "row", "line", F.xxhash64("ids").alias("x"), n.alias("n"), F.when(long, parity).alias("bits"),
         # the join's key is a shorter hash of the word: what it confuses, the later filters tell apart
         F.when(long, F.transform(F.slice("ids", F.lit(1), n - least + 1), lambda h: F.hash(h))).alias("prefix"),
-    ).distinct())
+    ))
     sets = materialise(lines.groupBy("x").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
     order = F.coalesce("first.doc_id", F.lit(-(1 << 63)))
     tokens = sets.where(F.col("prefix").isNotNull()).select("x", order.alias("d"), "n", "bits", F.posexplode("prefix").alias("at", "word"))
@@ -108,7 +126,7 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     fresh = materialise(others.join(near, ["a", "b"], "left_anti"))
     gone = materialise(done.union(_later(fresh, sets, docs, rare, similarity)).distinct().withColumn("gone", F.lit(True)))
     told = sets.where(F.col("copies") > 1).select("x", "first").join(gone, "x", "full_outer").select("x", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    return lines.select("doc_id", "row", "line", "x").join(told, "x").where(F.col("gone") | (F.struct("doc_id", "row", "line") > F.col("first"))).select("doc_id", "row", "line")
+    return lines.select("doc_id", "row", "line", "x").join(told, "x").where(F.col("gone") | (F.struct("doc_id", "row", "line") > F.col("first"))).select("doc_id", "row", "line").distinct()
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
