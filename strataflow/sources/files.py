@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,15 +52,16 @@ def read_kick_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.Str
 def read_many_csv(spark: SparkSession, pattern: str, data_type: str = "auto") -> DataFrame:
     """All files of a pattern with their ``source_file``; files may differ in their columns.
 
-    Files are grouped by header line, each group is one scan, and the groups are
-    united by column name.
+    Files are grouped by header line and encoding, each group is one scan, and the groups are
+    united by column name. The encoding is found for each file by itself.
     """
     lines = spark.read.text(pattern).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"),
     )
-    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "id").alias("header"))
-    groups = first.groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
+    head = F.when(F.col("start") == 0, F.struct("id", "value"))
+    first = lines.groupBy("path").agg(F.min(head)["value"].alias("header"), F.bool_or(~F.is_valid_utf8("value")).alias("other"))
+    groups = first.groupBy("header", "other").agg(F.collect_list("path").alias("paths")).orderBy("header", "other").collect()
     parts = []
     for group in groups:
         by_kind: dict[str, list[str]] = {}
@@ -70,7 +71,7 @@ def read_many_csv(spark: SparkSession, pattern: str, data_type: str = "auto") ->
                 kind = "kick" if "kick" in path.rsplit("/", 1)[-1].lower() else "formation"
             by_kind.setdefault(kind, []).append(path)
         for kind, paths in sorted(by_kind.items()):
-            raw = read_csv(spark, sorted(paths)).withColumn("source_file", F.col("_metadata.file_name"))
+            raw = read_csv(spark, sorted(paths), encoding=ENCODINGS[int(group["other"])]).withColumn("source_file", F.col("_metadata.file_name"))
             if kind == "kick" and "Kick" not in raw.columns:
                 alias = next((n for n in LABEL_NAMES if n in raw.columns), None)
                 raw = raw.withColumnRenamed(alias, "Kick") if alias else raw
@@ -113,29 +114,29 @@ def read_jdbc(
     )
 
 
-_NUMBERS = r"^\s*[-+]?[0-9.][-+0-9.eE]*(\s+[-+]?[0-9.][-+0-9.eE]*)*\s*$"
-
-
 def read_las(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Well logs: one row per depth sample with the curves as a map.
 
-    Lines are read in parallel.  Sample lines are the purely numeric ones; the few
-    header lines of each file give its curve names, missing marker, well and location.
-    Wrapped files (a sample spread over several lines) are rejected.
+    Lines are read in parallel.  The few section titles of a file tell where its ``~A`` part begins:
+    every later line up to the next title is a sample, whose values are cast one by one, so text and NaN become null.
+    Lines before it give the curve names, missing marker, well and location.
+    Blank lines and comments are passed over; wrapped files (a sample spread over several lines) are rejected.
     """
     lines = spark.read.text(paths).select(
         F.trim("value").alias("text"), F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"),
     )
-    numeric = F.col("text").rlike(_NUMBERS)
-    # a header is a few dozen lines per file
-    along = Window.partitionBy("path").orderBy("start", "id")
-    section = F.when(F.col("text").startswith("~"), F.upper(F.substring("text", 2, 1)))
+    at, title = F.struct("start", "id"), F.col("text").startswith("~")
+    lines = lines.where((F.col("text") != "") & ~F.col("text").startswith("#"))
+    # the few titles of each file, in order; a line belongs to the last title before it
+    titles = lines.where(title).groupBy("path").agg(
+        F.array_sort(F.collect_list(F.struct(at.alias("at"), F.upper(F.substring("text", 2, 1)).alias("letter")))).alias("titles")
+    )
+    placed = lines.where(~title).join(titles, "path")
+    placed = placed.withColumn("section", F.try_element_at(F.filter("titles", lambda t: t["at"] < at), F.lit(-1))["letter"]).drop("titles")
     header = (
-        lines.where(~numeric & (F.col("text") != "") & ~F.col("text").startswith("#"))
-        .withColumn("section", F.last(section, ignorenulls=True).over(along))
-        .where(~F.col("text").startswith("~"))
+        placed.where("section <> 'A'")
         .withColumn("name", F.trim(F.split_part("text", F.lit("."), F.lit(1))))
         .withColumn("value", F.trim(F.regexp_extract("text", r"^[^.]*\.\S*\s*(.*?)\s*:[^:]*$", 1)))
     )
@@ -153,15 +154,17 @@ def read_las(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         F.coalesce(F.col("missing").try_cast("double"), F.lit(-999.25)).alias("missing"),
         F.when(F.col("wrap").startswith("YES"), F.raise_error(F.lit("wrapped LAS files are not supported"))).alias("_w"),
     )
-    samples = lines.where(numeric).select("path", "source_file", F.split("text", r"\s+").alias("v"))
+    samples = placed.where("section = 'A'").select("path", "source_file", F.split("text", r"\s+").alias("v"))
     joined = samples.join(about, "path").where(F.col("_w").isNull())
     values = F.transform(
-        "v", lambda x: F.when(x.try_cast("double") != F.col("missing"), x.try_cast("double"))
+        "v", lambda x: F.when((x.try_cast("double") != F.col("missing")) & ~F.isnan(x.try_cast("double")), x.try_cast("double"))
     )
     return joined.select("source_file", "well_name", "location", "names", values.alias("values")).select(
         "source_file", "well_name", "location",
         F.try_element_at("values", F.lit(1)).alias("depth"),
-        F.map_from_arrays(F.slice("names", 2, F.size("names") - 1), F.slice("values", 2, F.size("names") - 1)).alias("curves"),
+        F.map_from_entries(F.transform(
+            F.slice("names", 2, F.greatest(F.size("names") - 1, F.lit(0))), lambda name, i: F.struct(name, F.get("values", i + 1))
+        )).alias("curves"),
     )
 
 

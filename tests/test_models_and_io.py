@@ -221,6 +221,21 @@ def test_las_files(spark, tmp_path):
         files.read_las(spark, str(tmp_path / "x.las")).collect()
 
 
+def test_las_samples_are_found_by_place(spark, tmp_path):
+    """Text, NaN, short rows and number-like lines of other sections."""
+    extra = LAS.format(wrap="NO").replace("~A  DEPTH", "~O\n 1 2 3\n~A  DEPTH") + " 101.5  NaN  2.5\n 102.0  bad  2.6\n\n 102.5  7\n"
+    (tmp_path / "w.las").write_text(extra)
+    rows = files.las_table(files.read_las(spark, str(tmp_path / "w.las")), ["GR", "RHOB"]).orderBy("depth").collect()
+    assert [(r.depth, r.GR, r.RHOB) for r in rows[3:]] == [(101.5, None, 2.5), (102.0, None, 2.6), (102.5, 7.0, None)] and len(rows) == 6
+
+
+def test_many_files_have_their_own_encodings(spark, tmp_path):
+    for name, code in (("a.csv", "utf-8"), ("b.csv", "iso-8859-1")):
+        (tmp_path / name).write_bytes(f"id,place\n1,été {name}\n".encode(code))
+    df = files.read_many_csv(spark, str(tmp_path / "*.csv"), "formation")
+    assert sorted(r.place for r in df.collect()) == ["été a.csv", "été b.csv"]
+
+
 def test_sinks(spark, tmp_path, formation):
     for fmt, codec in (("csv", "gzip"), ("parquet", "snappy"), ("json", None)):
         path = files.write_table(formation, str(tmp_path / fmt), fmt, codec)
