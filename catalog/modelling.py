@@ -125,7 +125,7 @@ query("h05_forest_classifier")(_classification("random_forest", numTrees=20, max
 query("h06_boosted_regressor")(_regression("gradient_boosting", maxIter=10, maxDepth=4))
 query("h06_boosted_classifier")(_classification("gradient_boosting", maxIter=10, maxDepth=4))
 query("h14_logistic")(_classification("logistic"))
-query("h15_linear_svc")(_classification("svc", maxIter=20))
+query("h15_linear_svc")(_classification("svc"))
 
 
 @query("h07_pls")
@@ -204,7 +204,7 @@ def h13(spark, sf):
 def h16(spark, sf):
     df = flagged(spark, sf)
     pca = anomaly.fit_pca_detector(df, _K, "Kick")
-    forest = anomaly.fit_isolation_forest(df, _K, trees=50)
+    forest = anomaly.fit_isolation_forest(df, _K)
     scored = forest.transform(pca.transform(df, "pca", "pca_score"), "forest", "forest_score")
     voted = ensemble.vote(scored, {"pca": "pca", "forest": "forest"})
     return ensemble.mean_score(voted, {"pca": "pca_score", "forest": "forest_score"}).select("l_orderkey", "Kick", "prediction", "score")
@@ -224,7 +224,7 @@ def h19_random(spark, sf):
 
 @query("h20_cross_validation")
 def h20(spark, sf):
-    return evaluate.cross_validate(priced(spark, sf), _X, _Y, ["linear", "decision_tree"], ["l_orderkey", "l_linenumber"], folds=3)
+    return evaluate.cross_validate(priced(spark, sf), _X, _Y, ["linear", "decision_tree"], ["l_orderkey", "l_linenumber"])
 
 
 @query("h20_time_series_scores", sql=f"""

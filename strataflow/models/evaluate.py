@@ -8,12 +8,13 @@ from collections.abc import Callable, Mapping, Sequence
 import numpy as np
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import mse, r2, regression_columns
 from ..operators.split import hash_number, random_sample
-from ..series import SeriesLike
+from ..series import Series, SeriesLike, number_rows
+from ..session import materialise
 from ..stats import gather, literal_table
 from . import supervised
 from .common import assemble
@@ -193,39 +194,41 @@ def time_series_scores(df: DataFrame, series: SeriesLike, target: str, fitter: F
 
 
 def permutation_importance(
-    df: DataFrame, model, target: str, keys: Sequence[str], repeats: int = 5, rows: int = 1000
+    df: DataFrame, model, target: str, keys: Sequence[str], repeats: int = 5, rows: int | None = None, seed: int = supervised.SEED
 ) -> DataFrame:
-    """Mean rise of the squared error when one feature is shuffled.
+    """Mean rise of the squared error when one feature is shuffled, over all rows; ``rows`` asks for a sample instead.
 
-    As in the method described, a sample of at most ``rows`` rows is used, so the
-    windows below are bounded by it.
+    Rows are numbered once in the order of a hash of their keys. Each repeat takes a feature's values from the rows
+    a drawn distance further on, around the end, so every value is used once and no repeat needs a sort of its own.
     """
     features = list(model.features)
-    base = random_sample(df.select(*keys, *features, target), keys, rows).select(*features, target)
-    numbered = base.withColumn("_i", F.row_number().over(Window.orderBy(*features, target)))
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats)])
-    )
-    copies = numbered.withColumn("_c", cells).select("*", "_c.*").drop("_c")
-    copies = copies.withColumn("_key", F.xxhash64("feature", "repeat", "_i"))
-    place = Window.partitionBy("feature", "repeat")
-    copies = copies.withColumn("_j", F.row_number().over(place.orderBy("_key", "_i")))
-    givers = copies.select(
-        F.col("feature"), F.col("repeat"), F.col("_j").alias("_i"), *[F.col(f).alias(f"_g_{f}") for f in features]
-    )
-    swapped = copies.drop("_j", "_key").join(givers, ["feature", "repeat", "_i"])
-    shuffled = swapped.withColumns(
+    base = df.select(*dict.fromkeys([*keys, *features, target]))
+    if rows is not None:
+        base = random_sample(base, keys, rows)
+    order = Series((), ("_hash", *keys))
+    numbered = materialise(number_rows(base.withColumn("_hash", hash_number(*keys)), order, "_i", "_n").select(*features, target, "_i", "_n"))
+    rng = random.Random(seed)
+    cells = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.lit(k).alias("repeat"), F.lit(rng.random()).alias("share")) for f in features for k in range(repeats)
+    ])
+    copies = numbered.withColumn("_c", F.explode(cells)).select("*", "_c.*").drop("_c")
+    step = F.lit(1) + F.floor(F.col("share") * (F.col("_n") - F.lit(1)))
+    copies = copies.withColumn("_from", F.pmod(F.col("_i") + step, F.col("_n")))
+    givers = numbered.select(F.col("_i").alias("_from"), *[F.col(f).alias(f"_g_{f}") for f in features])
+    shuffled = copies.join(givers, "_from").withColumns(
         {f: F.when(F.col("feature") == f, F.col(f"_g_{f}")).otherwise(F.col(f)) for f in features}
     )
     plain = numbered.select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), *features, target)
     both = plain.unionByName(shuffled.select("feature", "repeat", *features, target))
     scored = model.transform(both)
+    # one row per feature and repeat
     errors = scored.groupBy("feature", "repeat").agg(mse(F.col(target).cast("double"), F.col("prediction")).alias("e")).collect()
-    start = next(r["e"] for r in errors if r["feature"] == "")
+    start = next((r["e"] for r in errors if r["feature"] == ""), None)
     out = []
     for f in features:
-        rises = [r["e"] - start for r in errors if r["feature"] == f]
-        out.append((f, float(np.mean(rises)), float(np.std(rises))))
+        rises = [r["e"] - start for r in errors if r["feature"] == f and r["e"] is not None]
+        if rises:
+            out.append((f, float(np.mean(rises)), float(np.std(rises))))
     out.sort(key=lambda t: -t[1])
     return literal_table(df.sparkSession, out, "feature string, importance double, deviation double")
 
