@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags. Every block has the path of open tags from the root. Text length and
 marks of punctuation are summed per path and divided by the path's number of text nodes; both ratios are smoothed over
 the blocks in page order, fused, and weighed by what the path's tags and classes say. Paths whose fused ratio passes a
-threshold (a share of the page's deviation) are content, and their blocks are the text.
+threshold (a share of the page's deviation) are content, and their blocks are the text. Parts that their tag, class or
+role names as navigation, advertisement and the like, and hidden ones, are left out before; a main or article part weighs
+more than what stands beside it, no more.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ PAGE_WORDS = frozenset("header notice notices alert legal search form".split())
 MAIN_WORDS = frozenset("article content post entry story main body".split())
 #: Blocks on either side that smooth a block's ratios; the threshold as a share of their deviation.
 REACH, SHARE = 2, 0.15
+#: Weight of the fused ratio of blocks outside the page's main or article, where it has one.
+BESIDE = 0.25
 #: Of a path's characters, the share inside links from which it is a list of links.
 LINKED = 0.6
 
@@ -181,8 +185,6 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     best = max(b.main for b in found)
-    if best:  # the page says itself where its article is
-        found = [b for b in found if b.main == best]
     sums: dict[str, list[float]] = {}
     for b in found:
         own = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
@@ -194,7 +196,8 @@ def main_text(page: str | None) -> str:
     norm = np.convolve(np.ones(len(found)), kernel, "same") if len(found) > 2 * REACH else None
     smooth = (lambda x: np.convolve(x, kernel, "same") / norm) if norm is not None else (lambda x: np.full(len(x), x.mean()) if len(x) else x)
     fused = np.sqrt(np.maximum(length, smooth(length)) * np.maximum(marks, smooth(marks)))
-    floor = SHARE * float(fused.std()) if not best else 0.0
+    fused *= np.array([1.0 if b.main == best else BESIDE for b in found])  # the page says itself where its article is
+    floor = SHARE * float(fused.std())
     per_path: dict[str, list[float]] = {}
     for b, x in zip(found, fused.tolist(), strict=True):
         per_path.setdefault(b.path, []).append(x)
