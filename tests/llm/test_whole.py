@@ -1,8 +1,8 @@
 """Places where a text operator must do the whole job: every case here was cut short before."""
 
-from pyspark.sql import functions as F  # noqa: F401
+import random
 
-from strataflow.llm import pages
+from strataflow.llm import pages, quality
 
 
 def test_article_weighs_but_does_not_decide():
@@ -12,3 +12,21 @@ def test_article_weighs_but_does_not_decide():
     long = [f"Paragraph {i} of the article, which is long, has marks, clauses, and words enough to stand out from the rest of the page." for i in range(8)]
     page = "<article>" + "".join(f"<p>{x}</p>" for x in long) + "</article>" + "".join(f"<div><span>{x}</span></div>" for x in "abcdefgh")
     assert pages.main_text(page).split("\n") == long
+
+
+def test_quality_judges_by_every_language(spark):
+    rng = random.Random(1)
+    common = {"it": "di che il la per non con sono gli della", "en": "the of and to in is that it for on", "zh": "的 是 了 在"}
+    rows = []
+    for lang, own in common.items():
+        own = own.split()
+        for k in range(30):
+            words = [rng.choice(own) if rng.random() < 0.4 else "".join(rng.choices("会说写看来去" if lang == "zh" else "aeiorstlm", k=5)) for _ in range(120)]
+            rows.append((len(rows), lang, " ".join(words)))
+    clean = len(rows)
+    rows.append((clean, "it", " ".join("".join(rng.choices("aeiorstlm", k=5)) for _ in range(300))))  # no common word at all
+    rows.append((clean + 1, None, rows[70][2]))
+    got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert all(got[i]["kept"] and got[i]["word_distance"] is not None for i in range(clean))
+    assert got[clean]["word_distance"] > quality.MAX_WORDS and not got[clean]["kept"]
+    assert got[clean + 1]["word_distance"] is None and got[clean + 1]["kept"]
