@@ -1,6 +1,6 @@
 """Language by compression: the language whose dictionary makes the text smallest.
 
-For each language a bounded sample of labelled documents becomes a raw-content dictionary of zstandard. A text is cut
+For every language a bounded sample of labelled documents becomes a raw-content dictionary of zstandard. A text is cut
 into blocks, so that the dictionary and not the text's own beginning explains it, and every block is encoded
 with every dictionary. Close calls are rejected.
 """
@@ -11,8 +11,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import unused
@@ -20,8 +21,12 @@ from .common import unused
 UNKNOWN = "und"
 #: Bytes of one language's dictionary, and about how many documents are drawn to fill it.
 DICTIONARY_BYTES, SAMPLE_DOCS = 96 * 1024, 160
-#: Languages with the most labelled documents that are learned.
-LANGUAGES = 64
+#: Letters (in bytes) drawn for each language, as a multiple of a dictionary: draws by hash vary, and stutter is taken out.
+FILL = 3
+#: Dictionaries that a worker holds at a time.
+HELD = 64
+#: From this size on a smaller dictionary is compared with the best one cut to the same size.
+EVENED_BYTES = 4096
 BLOCK_BYTES = 256
 #: Compression level; higher ones start from statistics of their own and tell languages apart less well.
 LEVEL = 6
@@ -46,63 +51,94 @@ class Dictionaries:
     contents: list[bytes]
     level: int = LEVEL
 
-    def encoders(self):
+    def encoder(self, content: bytes):
         import zstandard as zstd
 
         # matches from three bytes on: short texts must find their endings in the dictionary
         chosen = zstd.ZstdCompressionParameters.from_level(
             self.level, source_size=BLOCK_BYTES, dict_size=DICTIONARY_BYTES, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False,
         )
-        out = []
-        for content in self.contents:
-            held = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(compression_params=chosen)  # digested once, not for every block
-            out.append(zstd.ZstdCompressor(dict_data=held, compression_params=chosen))
-        return out
+        held = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=chosen)  # digested once, not for every block
+        return zstd.ZstdCompressor(dict_data=held, compression_params=chosen)
 
 
 def learn(labelled: DataFrame, level: int = LEVEL) -> Dictionaries:
-    """Dictionaries from rows with a text and a lang, drawn by the hash of their text and cut at a fixed size.
+    """Dictionaries of every language from rows with a text and a lang, drawn by the hash of their beginnings.
 
-    Only the counts per language and the drawn texts reach the driver. Ties and repeated rows are drawn once.
+    Only totals per language and the drawn texts reach the driver. Equal beginnings count and are drawn once.
     """
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    counts = sorted(((r["n"], r["lang"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()), key=lambda x: (-x[0], x[1]))
-    if not counts:
+    share = DICTIONARY_BYTES // SAMPLE_DOCS * 4  # no single long text fills a dictionary
+    start = F.substring("text", 1, share)
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string"), start.alias("text"))
+    letters = F.octet_length(F.regexp_replace("text", r"[^\p{L}]+", "")).cast("long")
+    texts = rows.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.first(letters).alias("size"))
+    totals = texts.groupBy("lang").agg(F.sum("n").alias("n"), F.count_if(F.col("size") > 0).alias("texts"), F.sum("size").alias("size")).collect()
+    totals = sorted((r for r in totals if r["texts"]), key=lambda r: (-r["n"], r["lang"]))
+    if not totals:
         return Dictionaries([], [], level)
     place = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30))
-    drawn: Column = F.lit(False)
-    for n, lang in counts:
-        drawn = drawn | ((F.col("lang") == lang) & (place < int((1 << 30) * min(1.0, SAMPLE_DOCS / n))))
-    share = DICTIONARY_BYTES // SAMPLE_DOCS * 4  # no single long text fills a dictionary
-    sample = rows.where(drawn).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, share).alias("text")).distinct().collect()
+    rates = [(r["lang"], int((1 << 30) * min(1.0, max(SAMPLE_DOCS / r["texts"], FILL * DICTIONARY_BYTES / r["size"])))) for r in totals]
+    bounds = labelled.sparkSession.createDataFrame(rates, "lang string, bound long")
+    drawn = rows.join(F.broadcast(bounds), "lang").where(place < F.col("bound"))
+    sample = drawn.select("lang", F.xxhash64("text").alias("h"), "text").distinct().collect()
     own: dict[str, list[tuple[int, str]]] = {}
     for r in sample:
         own.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    languages = [lang for _, lang in counts if lang in own]  # the commonest first: it wins ties
-    contents = []
-    for lang in languages:
-        content = " ".join(plain(t) for _, t in sorted(own[lang])).encode("utf-8", "replace")
-        contents.append(content[:DICTIONARY_BYTES])
-    size = min((len(c) for c in contents), default=0)
-    if size >= 4096:  # equal sizes, so that no language wins by knowing more
-        contents = [c[:size] for c in contents]
+    languages, contents = [], []
+    for lang in (r["lang"] for r in totals):  # the commonest first: it wins ties
+        content = " ".join(filter(None, (plain(t) for _, t in sorted(own.get(lang, []))))).encode("utf-8", "replace")[:DICTIONARY_BYTES]
+        if content:
+            languages.append(lang)
+            contents.append(content)
     return Dictionaries(languages, contents, level)
 
 
-def judge(text: str | None, languages: list[str], encoders: list, margin: float = MARGIN) -> tuple[str, float, bool]:
-    """(language, score, rejected): the score is the relative gap to the second, from 0 to 1."""
-    raw = plain(text).encode("utf-8", "replace") if text and languages else b""
-    if not raw:
-        return UNKNOWN, 0.0, True
-    blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
-    sizes = [sum(len(e.compress(b)) for b in blocks) for e in encoders]
-    order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-    if len(order) == 1:
-        return languages[order[0]], 1.0, False
-    best, second = sizes[order[0]], sizes[order[1]]
-    gap = (second - best) / second
-    return languages[order[0]], gap, gap < margin
+class Judge:
+    """Judges texts by dictionaries of any sizes, holding HELD of them at a time."""
+
+    def __init__(self, known: Dictionaries, margin: float = MARGIN) -> None:
+        self.known, self.margin, self.held = known, margin, {}
+
+    def encoder(self, k: int, size: int):
+        """The encoder of a language's dictionary, cut to ``size``."""
+        found = self.held.pop((k, size), None) or self.known.encoder(self.known.contents[k][:size])
+        self.held[k, size] = found
+        if len(self.held) > HELD:
+            del self.held[next(iter(self.held))]
+        return found
+
+    def rows(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """(language, score, rejected) of each text: the score is the relative gap to the second, from 0 to 1.
+
+        The best language knows more if its dictionary is larger, so one with a smaller dictionary is compared with the
+        best one's beginning of the same size, and its size is put in proportion.
+        """
+        names, lengths = self.known.languages, [len(c) for c in self.known.contents]
+        raw = [plain(t).encode("utf-8", "replace") if t and names else b"" for t in texts]
+        blocks = [[r[i : i + BLOCK_BYTES] for i in range(0, len(r), BLOCK_BYTES)] for r in raw]
+        sizes = np.zeros((len(texts), len(names)))
+        for k in range(len(names)):
+            compress = self.encoder(k, lengths[k]).compress
+            sizes[:, k] = [sum([len(compress(b)) for b in own]) for own in blocks]
+        best = sizes.argmin(axis=1) if names else np.zeros(len(texts), int)
+        even = sizes.copy()
+        for c in sorted(set(best.tolist())) if names else ():
+            at = [i for i in np.flatnonzero(best == c).tolist() if raw[i]]
+            for size in sorted({n for n in lengths if EVENED_BYTES <= n < lengths[c]}) if at else ():
+                compress = self.encoder(c, size).compress
+                cut = np.array([sum([len(compress(b)) for b in blocks[i]]) for i in at])
+                for k in (k for k, n in enumerate(lengths) if n == size):
+                    even[at, k] = sizes[at, k] * sizes[at, c] / cut
+        out = []
+        for r, own in zip(raw, even, strict=True):
+            if not r:
+                out.append((UNKNOWN, 0.0, True))
+                continue
+            order = np.argsort(own, kind="stable")
+            gap = float((own[order[1]] - own[order[0]]) / own[order[1]]) if len(order) > 1 else 1.0
+            out.append((names[order[0]], gap, gap < self.margin))
+        return out
 
 
 def classified(docs: DataFrame, known: Dictionaries, name: str = "language", margin: float = MARGIN) -> DataFrame:
@@ -110,14 +146,16 @@ def classified(docs: DataFrame, known: Dictionaries, name: str = "language", mar
 
     Null texts, texts without a letter, and all texts where nothing could be learned are ``und`` and rejected.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most LANGUAGES x DICTIONARY_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # DICTIONARY_BYTES a language at most
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def decide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        encoders = own.encoders()
+        judge = Judge(shared.value, margin)
+        step = 256 if len(shared.value.languages) <= HELD // 2 else 4096  # more texts for each time a dictionary is digested
         for texts in batches:
-            yield pd.DataFrame([judge(t, own.languages, encoders, margin) for t in texts], columns=["lang_pred", "score", "rejected"])
+            own = [t if isinstance(t, str) else None for t in texts]
+            rows = [r for i in range(0, len(own), step) for r in judge.rows(own[i : i + step])]
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
     return docs.withColumn(name, decide(F.col("text").cast("string")))
 

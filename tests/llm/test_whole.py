@@ -2,7 +2,7 @@
 
 import random
 
-from strataflow.llm import pages, quality
+from strataflow.llm import language, pages, quality
 
 
 def test_article_weighs_but_does_not_decide():
@@ -30,3 +30,24 @@ def test_quality_judges_by_every_language(spark):
     assert all(got[i]["kept"] and got[i]["word_distance"] is not None for i in range(clean))
     assert got[clean]["word_distance"] > quality.MAX_WORDS and not got[clean]["kept"]
     assert got[clean + 1]["word_distance"] is None and got[clean + 1]["kept"]
+
+
+def test_language_learns_all_languages_from_skewed_rows(spark):
+    rng = random.Random(5)
+
+    def word(letters):
+        return "".join(rng.choices(letters, k=6))
+
+    words = {lang: [word(letters) for _ in range(300)] for lang, letters in {"big": "abcdefgh", "copied": "ijklmnop", "rare": "qrstuvwx"}.items()}
+    more = {f"l{k:02}": [word(rng.sample("abcdefghijklmnopqrstuvwxyzäöüßéèçñ", 6)) for _ in range(60)] for k in range(70)}
+    text = lambda own, n: " ".join(rng.choices(own, k=n))
+    rows = [("big", text(words["big"], 200)) for _ in range(300)] + [("rare", text(words["rare"], 200)) for _ in range(5)]
+    rows += [("copied", text(words["copied"], 200)) for _ in range(100)] + [("copied", text(words["copied"], 50))] * 40_000
+    rows += [(lang, text(own, 100)) for lang, own in more.items() for _ in range(2)]
+    known = language.learn(spark.createDataFrame(rows, "lang string, text string"))
+    held = dict(zip(known.languages, known.contents, strict=True))
+    assert set(held) == {*words, *more}
+    assert len(held["big"]) == language.DICTIONARY_BYTES == len(held["copied"]) and 4096 < len(held["rare"]) < 10_000
+    asked = [(lang, text(own, 60)) for lang, own in (words | more).items()]
+    got = language.Judge(known).rows([t for _, t in asked])
+    assert [(g[0], g[2]) for g in got] == [(lang, False) for lang, _ in asked]
