@@ -2,12 +2,14 @@
 
 A word's input is a hashed word vector beside the mean of hashed character-trigram vectors. Two gated recurrent layers
 read a window of words in both directions, attention weighs the states, and a logistic unit gives the window's score. A text's
-score is that of its worst window; all overlapping windows of the whole text are scored. Training takes for each document of a
+score is that of its worst window. Windows of the whole text start every STRIDE words, so that any passage of up to
+WINDOW - STRIDE + 1 words lies whole in one of them. Training takes for each document of a
 bounded labelled sample the window that scores highest, as a label tells only that some passage is toxic.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,19 +20,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD_ROWS, TRIGRAM_ROWS, WIDTH, HIDDEN = 8192, 2048, 8, 8
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 48, 24
+#: Bytes of the longest word; longer runs between blanks, as of Chinese text or joined words, are read in pieces.
+LONGEST_WORD = 62
 #: The training sample: documents of either label, none longer than so many characters.
 TOXIC_DOCS, CLEAN_DOCS, LONGEST = 900, 1500, 20_000
 EPOCHS, BATCH, RATE, SEED = 10, 128, 0.015, 11
 THRESHOLD = 0.7
 #: Words whose input to the gates a worker remembers.
 REMEMBERED = 250_000
+_JOINS = re.compile(r"[\W_]+")
 _MARKS = ".,;:!?\"'()[]{}*#$%&|<>«»„“”…-_"
 
 
+def _pieces(run: str) -> list[str]:
+    if len(run.lower().encode("utf-8", "replace")) <= LONGEST_WORD:
+        return [run]
+    out = []
+    for part in [p for p in _JOINS.split(run) if p] or [run]:
+        size = LONGEST_WORD if part.isascii() else LONGEST_WORD // 4
+        out += [part[i : i + size] for i in range(0, len(part), size)]
+    return out
+
+
+def words_of(text: str) -> list[str]:
+    """What stands between blanks, in pieces of at most LONGEST_WORD bytes; nothing is left unread but joining marks."""
+    out = text.split()
+    if max(map(len, out), default=0) * 4 <= LONGEST_WORD:
+        return out
+    return [p for w in out for p in ((w,) if len(w) * 4 <= LONGEST_WORD else _pieces(w))]
+
+
 def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word its row, and the rows of its character trigrams one after another with their number."""
-    raw = [b"^" + ((plain := w.lower().strip(_MARKS)) or w).encode("utf-8", "replace")[:62] + b"$" for w in words]
+    raw = [b"^" + ((plain := w.lower().strip(_MARKS)) or w).encode("utf-8", "replace") + b"$" for w in words]
     rows = np.fromiter(map(zlib.crc32, raw), dtype=np.int64, count=len(raw)) % WORD_ROWS
     lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
     octets = np.frombuffer(b"".join(raw) + b"\0\0", dtype=np.uint8).astype(np.int64)
@@ -137,7 +160,7 @@ class _Lexicon:
 
     def __init__(self, texts: list[str]) -> None:
         ids: dict[str, int] = {}
-        self.docs = [np.array([ids.setdefault(w, len(ids)) for w in text.split()], dtype=np.int64) for text in texts]
+        self.docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of(text)], dtype=np.int64) for text in texts]
         self.rows, self.flat, self.sizes = hashed(list(ids))
         self.ends = np.cumsum(self.sizes)
 
@@ -259,7 +282,7 @@ class Scorer:
             self.forget()
         cuts, of = [], []
         for i, text in enumerate(texts):
-            own = np.array(list(map(self.ids.__getitem__, text.split())), dtype=np.int32) if text else np.zeros(0, np.int32)
+            own = np.array(list(map(self.ids.__getitem__, words_of(text))), dtype=np.int32) if text else np.zeros(0, np.int32)
             for s in windows(len(own)):
                 cut = own[s : s + WINDOW]
                 cuts.append(cut if len(cut) == WINDOW else np.pad(cut, (0, WINDOW - len(cut))))

@@ -2,7 +2,9 @@
 
 import random
 
-from strataflow.llm import language, pages, quality
+import numpy as np
+
+from strataflow.llm import language, pages, quality, toxicity
 
 
 def test_article_weighs_but_does_not_decide():
@@ -51,3 +53,16 @@ def test_language_learns_all_languages_from_skewed_rows(spark):
     asked = [(lang, text(own, 60)) for lang, own in (words | more).items()]
     got = language.Judge(known).rows([t for _, t in asked])
     assert [(g[0], g[2]) for g in got] == [(lang, False) for lang, _ in asked]
+
+
+def test_toxicity_reads_whole_texts():
+    for n in range(1, 400):
+        starts = toxicity.windows(n)
+        assert all(any(s <= at and min(n, at + 24) <= s + toxicity.WINDOW for s in starts) for at in range(max(1, n - 23)))
+    assert "".join(toxicity.words_of("字" * 500 + "坏" * 9)) == "字" * 500 + "坏" * 9
+    assert toxicity.words_of("short/run " + "/".join(["w1", "w2", "w3"] * 20) + "/vile") == ["short/run", *["w1", "w2", "w3"] * 20, "vile"]
+    assert all(len(w.lower().encode()) <= toxicity.LONGEST_WORD for w in toxicity.words_of("😀" * 200 + " " + "İ" * 200 + " " + "x" * 200 + " " + "-" * 200))
+    scorer = toxicity.Scorer(toxicity.Network.fresh(np.zeros(toxicity.WORD_ROWS, np.float32), np.random.default_rng(1)))
+    for run in ("字" * 100, "a.b." * 50, "x" * 100):
+        one, other = scorer.scores([run + "坏坏", run])
+        assert one != other
