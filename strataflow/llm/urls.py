@@ -29,8 +29,11 @@ class Rule:
 
 
 RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow")]
-ROUNDS = 12
 DAMPING = 0.85
+#: Rounds go on until what the ranks can still change, summed over all hosts, is below this share of the floor of one host.
+TOLERANCE = 0.01
+#: Rounds between two looks at the change; the ranks are written then.
+ROUNDS_WRITTEN = 3
 #: A host is a seed if over this share of its urls have one verdict by rules.
 SEED_SHARE = 0.5
 #: A host is blocked if its distrust is over this share of its trust and distrust, and it has at least FLOOR times the mean host's rank.
@@ -59,15 +62,19 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 
 
 def _links(pages: DataFrame) -> DataFrame:
-    """(src, url): the different absolute links of every page."""
-    found = F.expr(r"""regexp_extract_all(html, '(?i)\\shref\\s*=\\s*["'']?\\s*([a-z][a-z0-9+.-]*://[^"''\\s<>]+)', 1)""")
-    return pages.where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("src"), F.explode(F.array_distinct(found)).alias("link"))
+    """(src, link): the different absolute links of every page; those without a scheme have the page's."""
+    found = F.expr(r"""regexp_extract_all(html, '(?i)\\shref\\s*=\\s*["'']?\\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s<>]+)', 1)""")
+    scheme = F.coalesce(F.when(F.contains("url", F.lit("://")), F.substring_index("url", "://", 1)), F.lit("http"))
+    whole = F.transform(found, lambda x: F.when(x.startswith("//"), F.concat(scheme, F.lit(":"), x)).otherwise(x))
+    return pages.where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("src"), F.explode(F.array_distinct(whole)).alias("link"))
 
 
-def host_ranks(pages: DataFrame, rules: list[Rule] = RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def host_ranks(pages: DataFrame, rules: list[Rule] = RULES, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) for hosts of pages and of links that the ranks reach; both sum to 1 or less.
 
-    A host's rank leaves only over its links, so what dangling hosts hold stays with the seeds.
+    A host's rank leaves only over its links, so what dangling hosts hold is lost. A round shrinks every change by
+    the damping at least, so the number of rounds grows with the logarithm of the number of hosts, and no verdict waits on
+    ranks that have not arrived.
     """
     links = _links(pages.select("url", "html"))
     judged = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).unionByName(links.select(host_of(F.col("link")).alias("host"), path_of(F.col("link")).alias("path")))
@@ -84,21 +91,26 @@ def host_ranks(pages: DataFrame, rules: list[Rule] = RULES, rounds: int = ROUNDS
     start = materialise(start)
     ranks = start.withColumnRenamed("s", "r")
     # without links between hosts a round changes nothing
-    for step in range(rounds if edges.limit(1).count() else 0):
-        sent = ranks.withColumnRenamed("host", "a").join(edges, ["kind", "a"]).select("kind", F.col("b").alias("host"), (F.col("r") * F.col("share") * damping).alias("r"))
-        ranks = sent.unionByName(start.select("kind", "host", (F.col("s") * (1 - damping)).alias("r"))).groupBy("kind", "host").agg(F.sum("r").alias("r"))
-        if step % 3 == 2 or step == rounds - 1:
-            ranks = materialise(ranks)
+    left, most = float(edges.limit(1).count()), tolerance * FLOOR / max(1, hosts.count())
+    while left > most:
+        before = ranks
+        for _ in range(ROUNDS_WRITTEN):
+            sent = ranks.withColumnRenamed("host", "a").join(edges, ["kind", "a"]).select("kind", F.col("b").alias("host"), (F.col("r") * F.col("share") * damping).alias("r"))
+            ranks = sent.unionByName(start.select("kind", "host", (F.col("s") * (1 - damping)).alias("r"))).groupBy("kind", "host").agg(F.sum("r").alias("r"))
+        ranks = materialise(ranks)
+        change = ranks.unionByName(before.select("kind", "host", (-F.col("r")).alias("r"))).groupBy("kind", "host").agg(F.abs(F.sum("r")).alias("r")).agg(F.sum("r").alias("r")).first()["r"]
+        kept = damping**ROUNDS_WRITTEN
+        left = (change or 0.0) * kept / (1 - kept)
     return ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("r")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("r")).otherwise(0.0)).alias("distrust"))
 
 
-def judged_pages(pages: DataFrame, rules: list[Rule] = RULES, rounds: int = ROUNDS, distrust_share: float = DISTRUST_SHARE) -> DataFrame:
+def judged_pages(pages: DataFrame, rules: list[Rule] = RULES, distrust_share: float = DISTRUST_SHARE) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, trust, distrust.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed, as is every host that no
     distrust reaches. Repeated rows keep their number. Null html has no links. Rank sums are over all pages.
     """
-    ranks = materialise(host_ranks(pages, rules, rounds))
+    ranks = materialise(host_ranks(pages, rules))
     floor = FLOOR / max(1, ranks.count())
     named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from strataflow.llm import language, pages, quality, toxicity
+from strataflow.llm import language, pages, quality, toxicity, urls
 
 
 def test_article_weighs_but_does_not_decide():
@@ -66,3 +66,36 @@ def test_toxicity_reads_whole_texts():
     for run in ("字" * 100, "a.b." * 50, "x" * 100):
         one, other = scorer.scores([run + "坏坏", run])
         assert one != other
+
+
+def settled(edges, seeds, rounds=400):
+    """Personalised PageRank in plain Python; ``edges`` is a list of (from, to)."""
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    ranks = {h: 1 / len(seeds) for h in seeds}
+    for _ in range(rounds):
+        sent = {h: 0.15 / len(seeds) for h in seeds}
+        for a, r in ranks.items():
+            for b in out.get(a, []):
+                sent[b] = sent.get(b, 0.0) + 0.85 * r / len(out[a])
+        ranks = sent
+    return ranks
+
+
+def test_ranks_are_settled_and_links_without_scheme_count(spark):
+    edges = [("h00.com", "x.net"), *((f"h{i + 1:02}.com", f"h{i:02}.com") for i in range(16)), ("a.org", "b.com"), ("b.com", "c.com"), ("c.com", "b.com"), ("b.com", "h03.com")]
+    hosts, linked = sorted({h for e in edges for h in e}), {}
+    for k, (a, b) in enumerate(edges):
+        linked.setdefault(a, []).append(f'<a href="{"" if k % 2 else "https:"}//{b}/q">x</a>')
+    rows = [(k, f"https://{h}/{'fr/' if h == 'a.org' else ''}", "".join(linked.get(h, []))) for k, h in enumerate(hosts)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    trust, distrust = settled(edges, ["a.org"]), settled([(b, a) for a, b in edges], ["x.net"])
+    floor = urls.FLOOR / len({*trust, *distrust})
+    for r in urls.judged_pages(docs).collect():
+        t, d = trust.get(r["host"], 0.0), distrust.get(r["host"], 0.0)
+        assert abs(r["trust"] - t) < 0.01 * floor and abs(r["distrust"] - d) < 0.01 * floor
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if d >= floor and d > urls.DISTRUST_SHARE * (t + d) else "allow")
+        if r["host"] == "h16.com":
+            assert r["verdict"] == "block"
