@@ -22,7 +22,7 @@ from strataflow.session import materialise
 
 from .common import unused
 
-SIMILARITY = 0.9
+SIMILARITY = 0.8
 RARITY_BUCKETS = 8192
 
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from strataflow.llm import language, pages, quality, toxicity, urls
+from strataflow.llm import language, lines, pages, quality, toxicity, urls
 
 
 def test_article_weighs_but_does_not_decide():
@@ -99,3 +99,10 @@ def test_ranks_are_settled_and_links_without_scheme_count(spark):
             assert r["verdict"] == ("block" if d >= floor and d > urls.DISTRUST_SHARE * (t + d) else "allow")
         if r["host"] == "h16.com":
             assert r["verdict"] == "block"
+
+
+def test_lines_with_one_word_of_nine_changed_repeat(spark):
+    words = [f"w{i}" for i in range(9)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:8], "other"]) + "\nanother line"), (3, " ".join([*words[:7], "two", "others"]))]
+    out = lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: rows[0][1], 2: "another line", 3: rows[2][1]}
