@@ -5,7 +5,8 @@ A level splits each node with more than LEAF vectors: its children's centres lie
 the node's own centre among them, and every vector goes to the nearest centre, which is within that radius. Centres
 come from a small sample of the node first; vectors that none of these covers choose centres among themselves, in
 groups of bounded size. The radius that counts for pruning is measured: the distance of a node's furthest vector.
-Nodes end when they are small, or so tight that their vectors are surely linked to each other.
+Nodes end as leaves when they are so tight that their vectors are surely linked to each other; the vectors of a wider
+node of at most LEAF stand in its parent's list as leaves of their own, with radius zero.
 
 Pairs of nodes are then followed down both trees, a level a round, as rows of a table: centres further apart than the
 threshold and both radii cannot hold a link, so the pair goes; centres so close that even the furthest vectors are
@@ -31,7 +32,7 @@ from strataflow.session import materialise
 from .graph import components
 
 COSINE = 0.93
-#: A node of so many vectors is not split.
+#: The vectors of a node of so many are leaves of their own.
 LEAF = 64
 #: Vectors of a node that are looked at for centres first.
 SAMPLE = 128
@@ -68,15 +69,16 @@ def _net(vectors: np.ndarray, radius: float, first: int = 0) -> list[int]:
         at = int(left[0])
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
-    """For a symmetric table of links, the smallest row that each row is connected to."""
-    label = np.arange(len(linked))
-    while True:
-        lower = np.minimum(label, np.where(linked, label[None, :], len(linked)).min(axis=1, initial=len(linked)))
-        lower = lower[lower]
-        if (lower == label).all():
-            return label
-        label = lower
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For links between rows i and j, the smallest row that each of n rows is connected to."""
+    label = np.arange(n)
+    while (label[i] != label[j]).any():
+        lower = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, lower)
+        np.minimum.at(label, j, lower)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -84,27 +86,33 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
     Without a label, or a vector of finite numbers of which one is not zero, all three are null.
     """
-    x = F.transform("embedding", lambda e: e.cast("double"))
-    big = F.array_max(F.transform(x, F.abs))
-    sound = F.col("label").isNotNull() & F.coalesce(F.forall(x, lambda e: F.abs(e) <= F.lit(np.finfo(float).max)), F.lit(False)) & (big > 0)
     # vectors of different lengths have no cosine: each length is a tree of its own
     root = F.unhex(F.md5(F.concat_ws(":", F.size("embedding"), F.col("label").cast("string"))))
-    # scaled by the largest component first, so that no square overflows or vanishes
-    own = vectors.select("vec_id", F.when(sound, root).alias("root"), F.when(sound, F.transform(x, lambda e: e / big)).alias("x"), F.when(sound, big).alias("big"))
+    own = vectors.select("vec_id", F.when(F.col("label").isNotNull(), root).alias("root"), F.col("embedding").cast("array<double>").alias("x"))
     kind = T.StructType([vectors.schema["vec_id"], *[T.StructField(n, T.BinaryType()) for n in ("gid", "root", "v")]])
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            roots, gids, units = batch.column(1).to_pylist(), [], []
-            for root_, one, most in zip(roots, batch.column(2), batch.column(3).to_pylist()):
-                if root_ is None:
-                    gids.append(None)
-                    units.append(None)
-                    continue
-                u = one.values.to_numpy() + 0.0
-                gids.append(hashlib.blake2b(root_ + np.float64(most).tobytes() + u.tobytes(), digest_size=16).digest())
-                units.append((u / math.sqrt(float(u @ u))).astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gids, pa.binary()), batch.column(1), pa.array(units, pa.binary())], ["vec_id", "gid", "root", "v"])
+            roots, lists = batch.column(1).to_pylist(), batch.column(2)
+            starts = lists.offsets.to_numpy()
+            sizes = np.where(np.array(lists.is_valid()), np.diff(starts), 0)
+            values = lists.values.to_numpy(zero_copy_only=False)  # nulls become NaN
+            gids, units = [None] * len(roots), [None] * len(roots)
+            for size in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == size)
+                x = values[starts[at][:, None] + np.arange(size)] + 0.0
+                most = np.abs(x).max(axis=1)
+                sound = np.isfinite(most) & (most > 0)
+                # scaled by the largest component first, so that no square overflows or vanishes
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    u = x / most[:, None]
+                    u = (u / np.sqrt((u * u).sum(axis=1))[:, None]).astype("<f8")
+                for i, row in enumerate(at):
+                    if sound[i] and roots[row] is not None:
+                        gids[row] = hashlib.blake2b(roots[row] + x[i].tobytes(), digest_size=16).digest()
+                        units[row] = u[i].tobytes()
+            kept = [r if g is not None else None for r, g in zip(roots, gids)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.binary()) for c in (gids, kept, units)]], ["vec_id", "gid", "root", "v"])
 
     return own.mapInArrow(scaled, kind)
 
@@ -152,21 +160,31 @@ def _split(radius: float):
     return work
 
 
-def grown(points: DataFrame, reach: float, leaf: int = LEAF, sample: int = SAMPLE, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def _ended(rows: DataFrame, level: DataFrame, top: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows whose node is a leaf; rows of small nodes, as leaves of their own in the parent's list (a top has none)."""
+    told = rows.join(level.where("kind <> 'open'").select("node", "kind"), "node")
+    above = F.col("path") if top else F.slice("path", 1, F.size("path") - 1)
+    leaves = told.where("kind = 'leaf'").select("gid", "node", "path", "v", "weight")
+    singles = told.where("kind = 'small'").select("gid", F.col("gid").alias("node"), F.concat(above, F.array("gid")).alias("path"), "v", "weight")
+    return leaves, singles
+
+
+def grown(points: DataFrame, reach: float, leaf: int = LEAF, sample: int = SAMPLE, group: int = GROUP, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """The trees of ``points`` (gid, root, v, weight): (nodes, rows), rows with their leaf and the path to it.
 
     nodes: node, parent (null for a root), v, far, weight, leaf. ``reach`` is the distance of the threshold.
     """
-    rows = points.select("gid", F.col("root").alias("node"), F.array("root").alias("path"), "v", "weight", F.lit(2.0).alias("far"))
-    rows = rows.withColumn("centre", F.lit(False))
+    rows = points.select("gid", F.col("root").alias("node"), F.array("root").alias("path"), "v", "weight")
     tops = points.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.min("gid").alias("gid"))
-    level = materialise(tops.join(points.select("gid", "v"), "gid").select(F.col("root").alias("node"), F.lit(None).cast("binary").alias("parent"), "gid", "v", "n", "weight", F.lit(2.0).alias("far"), (F.col("n") <= leaf).alias("leaf")))
-    nodes, ended = [level], []
-    for depth in range(1, DEPTH + 1):
-        open_ = level.where(~F.col("leaf")).select("node", F.col("gid").alias("own"), F.ceil(F.col("n") / group).cast("long").alias("groups"))
+    small = F.when(F.col("n") <= leaf, "small").otherwise("open").alias("kind")
+    level = materialise(tops.join(points.select("gid", "v"), "gid").select(F.col("root").alias("node"), F.lit(None).cast("binary").alias("parent"), "gid", "v", "n", "weight", F.lit(2.0).alias("far"), small))
+    nodes, ended = [level.withColumn("leaf", F.lit(False))], []
+    for depth in range(1, DEPTH + 2):
+        leaves, singles = _ended(rows, level, depth == 1)
+        ended += [leaves, singles]
+        open_ = level.where("kind = 'open'").select("node", F.col("gid").alias("own"), F.ceil(F.col("n") / group).cast("long").alias("groups"))
         if open_.limit(1).count() == 0:
             break
-        ended.append(rows.join(level.where("leaf").select("node"), "node", "left_semi").select("gid", "node", "path", "v", "weight"))
         going = rows.join(open_, "node")
         # the sample: the node's centre, then the first by a hash
         order = Window.partitionBy("node").orderBy(F.col("gid") != F.col("own"), F.xxhash64("gid", F.lit(depth)), "gid")
@@ -178,16 +196,19 @@ def grown(points: DataFrame, reach: float, leaf: int = LEAF, sample: int = SAMPL
         rows = materialise(left.groupBy("node", "part").cogroup(right.groupBy("of", "share")).applyInArrow(work, _ROWS))
         stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.max("far").alias("far"))
         middle = rows.where("centre").select("node", F.element_at("path", -2).alias("parent"), "gid", "v").dropDuplicates(["node"])
-        small = (F.col("n") <= leaf) | (F.col("far") <= reach / 4) | F.lit(depth == DEPTH)
-        level = materialise(middle.join(stats, "node").select("node", "parent", "gid", "v", "n", "weight", "far", small.alias("leaf")))
-        nodes.append(level)
-    ended.append(rows.join(level.where("leaf").select("node"), "node", "left_semi").select("gid", "node", "path", "v", "weight"))
-    every, all_rows = nodes[0], ended[0]
-    for part in nodes[1:]:
-        every = every.unionByName(part)
+        # all links inside are sure up to reach / 2; large nodes go on, so that fewer of their vectors are compared one by one
+        tight = (F.col("far") <= reach / 4) | ((F.col("far") <= reach / 2 - SLACK) & (F.col("n") <= tile)) | F.lit(depth == DEPTH)
+        kind = F.when(tight, "leaf").when(F.col("n") <= leaf, "small").otherwise("open")
+        level = materialise(middle.join(stats, "node").select("node", "parent", "gid", "v", "n", "weight", "far", kind.alias("kind")))
+        nodes.append(level.where("kind <> 'small'").withColumn("leaf", F.col("kind") == "leaf"))
+    placed = ended[0]
     for part in ended[1:]:
-        all_rows = all_rows.unionByName(part)
-    return materialise(every.select("node", "parent", "v", "far", "weight", "leaf")), materialise(all_rows)
+        placed = placed.unionByName(part)
+    placed = materialise(placed)
+    every = placed.where(F.col("node") == F.col("gid")).select("node", F.element_at("path", -2).alias("parent"), "v", F.lit(0.0).alias("far"), "weight", F.lit(True).alias("leaf"))
+    for part in nodes:
+        every = every.unionByName(part.select(every.columns))
+    return materialise(every), placed
 
 
 def _chunked(entries: DataFrame, tile: int) -> DataFrame:
@@ -210,42 +231,41 @@ def _tile(reach: float, cosine: float, exact: bool):
         order = sorted(range(len(ids)), key=lambda i: (side[i], ids[i]))
         rows, ids, side = rows.take(pa.array(order)), [ids[i] for i in order], side[order]
         x, far, weight = _matrix(rows["v"]), rows["far"].to_numpy(), rows["weight"].to_numpy()
-        leaf = rows["leaf"].to_pylist()
+        leaf = np.array(rows["leaf"].to_pylist())
         a = np.flatnonzero(side == 0)
         b = np.flatnonzero(side == 1) if (side == 1).any() else a
         alone = b is a
-        found: dict[str, list] = {"kind": [], "x": [], "y": [], "n": [], "leafx": [], "leafy": []}
-
-        def add(kind: str, p: int, q: int, n: int = 0) -> None:
-            for name, value in zip(found, (kind, ids[p], ids[q], n, leaf[p], leaf[q])):
-                found[name].append(value)
-
+        dots = x[a] @ x[b].T
+        if alone:
+            np.fill_diagonal(dots, 1.0)
+        # what can hold a link at all, then each of these by its own radii
+        least = cosine if exact else 1.0 - (far[a].max() + far[b].max() + reach + SLACK) ** 2 / 2
+        i, j = np.nonzero(dots >= least)
+        if alone:
+            upper = i <= j
+            i, j = i[upper], j[upper]
         if exact:
-            linked = x[a] @ x[b].T >= cosine
-            if alone:
-                np.fill_diagonal(linked, True)
+            opened = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         else:
-            d = _distances(x[a], x[b])
-            if alone:
-                np.fill_diagonal(d, 0.0)
-            around = far[a][:, None] + far[b][None, :]
-            linked = d + around <= reach - SLACK
-            opened = (d - around <= reach + SLACK) & ~linked
-            if alone:
-                opened = np.triu(opened)
-            for i, j in zip(*np.nonzero(opened)):
-                add("pair", int(a[i]), int(b[j]))
-        for own, sums in ((a, linked @ weight[b]), *(() if alone else ((b, linked.T @ weight[a]),))):
-            for i in np.flatnonzero(sums):
-                add("count", int(own[i]), int(own[i]), int(sums[i]))
-        whole = np.zeros((len(ids), len(ids)), dtype=bool)
-        whole[np.ix_(a, b)] = linked
-        whole |= whole.T
-        top = _forest(whole)
+            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots[i, j]))
+            around = far[a[i]] + far[b[j]]
+            sure = d + around <= reach - SLACK
+            maybe = ~sure & (d - around <= reach + SLACK)
+            opened, i, j = (a[i[maybe]], b[j[maybe]]), i[sure], j[sure]
+        p, q = a[i], b[j]
+        counts = np.zeros(len(ids), dtype=np.int64)
+        np.add.at(counts, p, weight[q])
+        np.add.at(counts, q[p != q], weight[p[p != q]])
+        top = _forest(len(ids), p, q)
         # entries of nodes stand for all their vectors, so one that is linked to itself alone is named too
-        for i in np.flatnonzero(whole.any(axis=1)):
-            if top[i] != i or not exact:
-                add("edge", int(i), int(top[i]))
+        named = np.union1d(p, q)
+        if exact:
+            named = named[top[named] != named]
+        held = np.flatnonzero(counts)
+        first, second = np.concatenate([opened[0], held, named]), np.concatenate([opened[1], held, top[named]])
+        n = np.concatenate([np.zeros(len(opened[0]), dtype=np.int64), counts[held], np.zeros(len(named), dtype=np.int64)])
+        said = ["pair"] * len(opened[0]) + ["count"] * len(held) + ["edge"] * len(named)
+        found = {"kind": said, "x": [ids[k] for k in first], "y": [ids[k] for k in second], "n": n, "leafx": leaf[first], "leafy": leaf[second]}
         kinds = {"kind": pa.string(), "x": pa.binary(), "y": pa.binary(), "n": pa.int64(), "leafx": pa.bool_(), "leafy": pa.bool_()}
         return pa.table({name: pa.array(values, kinds[name]) for name, values in found.items()})
 
@@ -310,9 +330,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF
     points = rows.where(F.col("gid").isNotNull()).groupBy("gid").agg(F.first("root").alias("root"), F.first("v").alias("v"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
     points = materialise(points)
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
-    nodes, placed = grown(points, reach, leaf, sample, group)
+    nodes, placed = grown(points, reach, leaf, sample, group, tile)
     counts, edges = traversed(nodes, placed, cosine, tile)
-    above = placed.select("gid", F.explode(F.concat("path", F.array("gid"))).alias("x"))
+    above = placed.select("gid", F.explode(F.array_union("path", F.array("gid"))).alias("x"))
     links = above.join(counts, "x").groupBy("gid").agg(F.sum("n").alias("n"))
     # a node in an edge stands for its vectors: they are connected through it
     named = edges.select("a").union(edges.select("b")).distinct()
