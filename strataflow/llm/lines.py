@@ -8,13 +8,15 @@ words), and are then verified on the whole sets. A line goes if any earlier line
 Equal sets are one entry, so copies cost a row each. Where many similar lines meet under a word, each is first
 compared with the earliest one there; only lines that this leaves in doubt meet all others. Nothing is cut off.
 
-Rarity is counted in a table of RARITY_BUCKETS hashed words, a fixed size; the order needs only be one and the same for
-all lines, so words that share a bucket cost time, never results. Words are told apart by 56 bits of a hash, and sets by
-64 bits of a hash of their words.
+Rarity is counted over all words in a table of RARITY_BUCKETS hashed words, to a quarter or so of each count: wide enough that
+a bucket rarely holds a common word beside others, and a common word always counts as common. The order needs only
+be one and the same for all lines, so words that share a bucket cost time, never results. Words are told apart by
+56 bits of a hash, and sets by 64 bits of a hash of their words.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,9 @@ from strataflow.session import materialise
 from .common import unused
 
 SIMILARITY = 0.8
-RARITY_BUCKETS = 8192
+RARITY_BUCKETS = 1 << 18
+#: Steps of the logarithm of a count: each is a factor of 2 ** (1 / STEPS).
+STEPS = 3
 
 
 def _words(line: Column) -> Column:
@@ -35,11 +39,17 @@ def _words(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """An array of the binary magnitude of the frequency of each bucket of words, as a literal."""
-    bucket = F.pmod(F.xxhash64("word"), F.lit(RARITY_BUCKETS)).cast("int")
-    words = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("word"))
-    counts = {r["b"]: r["n"] for r in words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most RARITY_BUCKETS rows
-    return F.split(F.lit(",".join(str(int(counts.get(b, 0)).bit_length()) for b in range(RARITY_BUCKETS))), ",").cast("array<int>")
+    """The logarithm of the frequency of each bucket of words, a byte each, as a literal."""
+    hashed = docs.select(F.explode(F.transform(_words(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w))).alias("h"))
+    counts = hashed.groupBy(F.col("h").bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most RARITY_BUCKETS rows
+    table = np.zeros(RARITY_BUCKETS, dtype=np.uint8)
+    table[counts["b"].to_numpy()] = np.minimum(127, np.rint(STEPS * np.log2(counts["n"].to_numpy() + 1.0)))
+    return F.lit(table.tobytes())
+
+
+def _commonness(h: Column, rare: Column) -> Column:
+    at = h.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int") + 1
+    return F.ascii(F.substring(rare, at, F.lit(1)).cast("string"))
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -53,7 +63,7 @@ def _ids(line: Column, rare: Column) -> Column:
     coded = F.transform(
         F.transform(_words(line), lambda w: F.xxhash64(w)),
         lambda h: F.coalesce(
-            F.shiftleft(F.get(rare, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))),
+            F.shiftleft(_commonness(h, rare).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))),
             F.lit(0).cast("long"),
         ),
     )
@@ -61,7 +71,7 @@ def _ids(line: Column, rare: Column) -> Column:
 
 
 def _lines(docs: DataFrame, rare: Column) -> DataFrame:
-    """(doc_id, row, line, ids): the words of every line with any, rarest first; magnitude above, hash below."""
+    """(doc_id, row, line, ids): the words of every line with any, rarest first; commonness above, hash below."""
     return _split(docs).select("doc_id", "row", "line", _ids(F.col("t"), rare).alias("ids"))
 
 
