@@ -26,6 +26,8 @@ from .common import unused
 
 SIMILARITY = 0.8
 RARITY_BUCKETS = 1 << 18
+#: Places of lines, of 40 bytes each, that are sent to every task.
+BROADCAST = 250_000
 #: Steps of the logarithm of a count: each is a factor of 2 ** (1 / STEPS).
 STEPS = 3
 
@@ -80,14 +82,20 @@ def _overlap(a: Column, b: Column, similarity: float) -> Column:
     return F.ceil(F.lit(similarity / (1 + similarity)) * (a + b) - F.lit(1e-9))
 
 
-def _later(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rare: Column, similarity: float) -> DataFrame:
-    """(x): of pairs (a, b) whose whole sets are similar, the later one. Only lines that stand in a pair are read again."""
-    asked = materialise(pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct().join(sets.select("x", "first"), "x"))
-    wanted = asked.select(F.col("first.doc_id").alias("_d"), F.col("first.row").alias("_r")).distinct()
-    own = docs.withColumn("row", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row") == F.col("_r")), "left_semi")
-    at = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    found = _split(own.select("doc_id", "text")).join(asked, at).select("x", "first", "t").dropDuplicates(["x"])
-    found = materialise(found.select("x", "first", _ids(F.col("t"), rare).alias("ids")))
+def _sets_of(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rare: Column) -> DataFrame:
+    """(x, first, ids): the whole sets of the lines in pairs (a, b), read from the documents again."""
+    asked = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct().join(sets.select("x", "first"), "x")
+    asked = materialise(asked.select("x", "first", F.xxhash64("first.doc_id", "first.row", "first.line").alias("_at")))
+    own = _split(docs).withColumn("_at", F.xxhash64("doc_id", "row", "line"))
+    # few asked lines go to the documents; many meet them in a shuffle of (place, line)
+    wanted = F.broadcast(asked) if asked.count() <= BROADCAST else asked
+    exact = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    found = own.join(wanted, "_at").where(exact).select("x", "first", "t").dropDuplicates(["x"])
+    return materialise(found.select("x", "first", _ids(F.col("t"), rare).alias("ids")))
+
+
+def _later(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(x): of pairs (a, b) whose whole sets are similar, the later one."""
     met = pairs.join(found.toDF("a", "fa", "ia"), "a").join(found.toDF("b", "fb", "ib"), "b")
     alike = met.where(F.size(F.array_intersect("ia", "ib")) >= _overlap(F.size("ia"), F.size("ib"), similarity))
     return alike.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("x")).distinct()
@@ -128,13 +136,22 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def named(p: str) -> DataFrame:
         return tokens.select("word", *[F.col(c).alias(p + c) for c in ("x", "d", "bits", "na")])
 
-    centres = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("d", "x", "bits", "na")).alias("c")).where("k > 1").select("word", F.col("c.x").alias("cx"), F.col("c.bits").alias("cbits"), F.col("c.na").alias("cna"))
-    near = materialise(named("t").join(centres, "word").where((F.col("tx") != F.col("cx")) & may("t", "c")).select(F.col("tx").alias("a"), F.col("cx").alias("b")).distinct())
-    done = materialise(_later(near, sets, docs, rare, similarity))
-    doubt = named("p").join(done.withColumnRenamed("x", "px"), "px", "left_anti")
-    others = doubt.join(named("q"), "word").where((F.col("px") != F.col("qx")) & (F.col("qd") <= F.col("pd")) & may("p", "q")).select(F.col("px").alias("a"), F.col("qx").alias("b")).distinct()
+    centres = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("d", "x", "bits", "na")).alias("c")).where("k > 1").select("word", "k", F.col("c.x").alias("cx"), F.col("c.bits").alias("cbits"), F.col("c.na").alias("cna"))
+    met = named("t").join(centres, "word").withColumn("near", (F.col("tx") != F.col("cx")) & may("t", "c"))
+    # where two sets meet under a word, one of them is the centre: only from three on are there other pairs
+    met = materialise(met.where(F.col("near") | (F.col("k") > 2)).select("word", "tx", "td", "tbits", "tna", "cx", "k", "near"))
+    near = materialise(met.where("near").select(F.col("tx").alias("a"), F.col("cx").alias("b")).distinct())
+    done = materialise(_later(near, _sets_of(near, sets, docs, rare), similarity))
+    open_ = met.where("k > 2")
+    doubt = open_.select("word", *[F.col(f"t{c}").alias(f"p{c}") for c in ("x", "d", "bits", "na")]).join(done.withColumnRenamed("x", "px"), "px", "left_anti")
+    other = open_.select("word", *[F.col(f"t{c}").alias(f"q{c}") for c in ("x", "d", "bits", "na")])
+    others = doubt.join(other, "word").where((F.col("px") != F.col("qx")) & (F.col("qd") <= F.col("pd")) & may("p", "q")).select(F.col("px").alias("a"), F.col("qx").alias("b")).distinct()
     fresh = materialise(others.join(near, ["a", "b"], "left_anti"))
-    gone = materialise(done.union(_later(fresh, sets, docs, rare, similarity)).distinct().withColumn("gone", F.lit(True)))
+    found = _sets_of(fresh, sets, docs, rare)
+    # one pair of each line first: it mostly settles the line, and only the others need all of their pairs
+    one = materialise(_later(fresh.groupBy("a").agg(F.min("b").alias("b")), found, similarity))
+    rest = _later(fresh.join(one.withColumnRenamed("x", "a"), "a", "left_anti"), found, similarity)
+    gone = materialise(done.union(one).union(rest).distinct().withColumn("gone", F.lit(True)))
     told = sets.where(F.col("copies") > 1).select("x", "first").join(gone, "x", "full_outer").select("x", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     return lines.select("doc_id", "row", "line", "x").join(told, "x").where(F.col("gone") | (F.struct("doc_id", "row", "line") > F.col("first"))).select("doc_id", "row", "line").distinct()
 
@@ -149,6 +166,8 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     row, other, key, gone = (unused(columns, n) for n in ("_row", "_other", "_key", "_gone"))
     later = later_lines(docs, similarity).groupBy("doc_id", "row").agg(F.collect_list("line").alias(gone))
     later = materialise(later.select(F.col("doc_id").alias(other), F.col("row").alias(key), gone))
+    if (later.agg(F.sum(F.size(gone) + 4)).first()[0] or 0) <= 4 * BROADCAST:  # of few lines the numbers, not the documents, move
+        later = F.broadcast(later)
     joined = docs.withColumn(row, F.xxhash64(F.col("text").cast("string"))).join(later, F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(row) == F.col(key)), "left")
     kept = F.array_join(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept).alias("text")
