@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataflow.models.pressure import LinearModel
-from strataflow.streaming import live
+from strataflow.streaming import live, ordered
 
 from .base import query, r, rounded, table, workdir
 
@@ -64,9 +64,10 @@ f AS (SELECT event_id, user_id, ts, {", ".join(f"lag(value, {k}) OVER ({_W}) AS
   {r(f'value - lag(value) OVER ({_W})')} AS value_rate,
   {", ".join(f"round(CASE WHEN count(*) OVER {_F20} = 20 THEN {fn}(value) OVER {_F20} END, 6) + 0.0 AS value_{n}" for n, fn in (('mean', 'avg'), ('std', 'stddev_samp'), ('low', 'min'), ('high', 'max')))},
   round(CASE WHEN count(*) OVER {_F5} = 5 THEN regr_slope(value, rn) OVER {_F5} END, 6) + 0.0 AS value_trend FROM x)
-SELECT * EXCLUDE (ts) FROM f WHERE epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) FROM events)""")
+SELECT * EXCLUDE (ts) FROM f WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts)) FROM events)""")
 def l03(spark, sf):
-    out = live.ordered_features(stream(spark, sf), "user_id", "ts", "event_id", "value", delay="0 seconds")
+    # a day's rows come out once the next day begins
+    out = ordered.ordered_features(stream(spark, sf), "user_id", "ts", "event_id", "value", delay="0 seconds", slot="1 day")
     done = finish(spark, out).drop("at_micros", "value")
     return rounded(done.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c, t in done.dtypes if t == "double"}))
 
@@ -89,8 +90,12 @@ def l05(spark, sf):
 
 
 @query("l06_repeat_suppression", sql="""
-WITH o AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type, value ORDER BY ts) AS before FROM events)
-SELECT user_id, event_type, value FROM o WHERE before IS NULL OR ts - before > INTERVAL 300 SECOND""")
+WITH k AS (SELECT user_id // 50 AS user_group, event_type, ts FROM events),
+o AS (SELECT *, lag(ts) OVER (PARTITION BY user_group, event_type ORDER BY ts) AS before FROM (SELECT DISTINCT * FROM k))
+SELECT user_group, event_type, epoch_us(ts) AS at_micros FROM o WHERE (before IS NULL OR ts - before > INTERVAL 6 HOUR)
+  AND time_bucket(INTERVAL 6 HOUR, ts) < (SELECT time_bucket(INTERVAL 6 HOUR, max(ts)) FROM events)""")
 def l06(spark, sf):
-    kept = live.drop_repeats(stream(spark, sf), "ts", ["user_id", "event_type", "value"])
-    return finish(spark, kept.select("user_id", "event_type", "value"))
+    inputs = stream(spark, sf).select(F.expr("user_id DIV 50").alias("user_group"), "event_type", "ts")
+    # groups of users, so that chains of repeats within the lifetime are common
+    kept = ordered.drop_repeats(inputs, "ts", ["user_group", "event_type"], "6 hours", delay="0 seconds", slot="6 hours")
+    return finish(spark, kept.select("user_group", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros")))

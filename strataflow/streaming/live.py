@@ -1,16 +1,13 @@
-"""Structured Streaming: batches, scoring, ordered features, live KPIs, quality, repeats."""
+"""Structured Streaming: batches, scoring, live KPIs, quality. Operators in event-time order are in ``ordered``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import rules
 from ..operators.domain import raise_alerts, validate_inputs
@@ -63,88 +60,7 @@ def alert_stream(scored: DataFrame, model_type: str, prediction: str, probabilit
     return alerts.withColumn("level", rules.alert_level(prediction, "_probability")).drop("_probability", "_confidence")
 
 
-# ---- features that need the rows before ------------------------------------------------
-
-HISTORY = 50
-
-
-def _features(values: np.ndarray, start: int, window: int, lags: Sequence[int]) -> dict[str, np.ndarray]:
-    """Features of ``values[start:]`` with everything before as history."""
-    longest = max(window, 5, *[k + 1 for k in lags])
-    padded = np.concatenate([np.full(longest, np.nan), values])
-
-    def view(n: int) -> np.ndarray:
-        """The last n values of every emitted row, NaN before the series begins."""
-        return np.lib.stride_tricks.sliding_window_view(padded, n)[longest - n + 1 + start:]
-
-    def back(k: int) -> np.ndarray:
-        return padded[longest + start - k: len(padded) - k]
-
-    part = view(window)
-    return {
-        **{f"lag_{k}": back(k) for k in lags},
-        "rate": back(0) - back(1),
-        "mean": part.mean(axis=1),
-        "std": part.std(axis=1, ddof=1),
-        "low": part.min(axis=1),
-        "high": part.max(axis=1),
-        "trend": view(5) @ (np.arange(5) - 2.0) / 10,
-    }
-
-
-def ordered_features(
-    stream: DataFrame, key: str, time: str, row_id: str, value: str, window: int = 20, lags: Sequence[int] = (1, 2, 3),
-    delay: str = "10 minutes",
-) -> DataFrame:
-    """Lag and rolling features per key on a stream.
-
-    Rows wait in the state until the watermark passes them, are then put in time
-    order and emitted with the last rows of their key as history, so disorder within
-    the delay does not change the result.
-    """
-    if max(window, *lags) > HISTORY:
-        raise ValueError(f"windows and lags may reach {HISTORY} rows back")
-    names = [f"lag_{k}" for k in lags] + ["rate", "mean", "std", "low", "high", "trend"]
-    key_type = stream.schema[key].dataType.simpleString()
-    out_schema = f"{row_id} long, {key} {key_type}, at_micros long, {value} double, " + ", ".join(
-        f"{value}_{n} double" for n in names
-    )
-    state_schema = "history array<double>, at array<long>, id array<long>, v array<double>"
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        history, at, ids, v = ([list(p) for p in state.get] if state.exists else [[], [], [], []])
-        for pdf in frames:
-            at += pdf["at_micros"].tolist()
-            ids += pdf[row_id].tolist()
-            v += pdf[value].astype(float).tolist()
-        limit = state.getCurrentWatermarkMs()
-        order = sorted(range(len(at)), key=lambda i: (at[i], ids[i]))
-        ready = [i for i in order if at[i] // 1000 <= limit]
-        waiting = [i for i in order if at[i] // 1000 > limit]
-        if ready:
-            values = np.array(history + [v[i] for i in ready], dtype=float)
-            found = _features(values, len(history), window, lags)
-            yield pd.DataFrame(
-                {
-                    row_id: [ids[i] for i in ready], key: [k[0]] * len(ready), "at_micros": [at[i] for i in ready],
-                    value: [v[i] for i in ready], **{f"{value}_{n}": found[n] for n in names},
-                }
-            )
-            history = values[-HISTORY:].tolist()
-        state.update((history, [at[i] for i in waiting], [ids[i] for i in waiting], [v[i] for i in waiting]))
-        if waiting:
-            state.setTimeoutTimestamp(max(at[waiting[0]] // 1000, limit) + 1)
-
-    timed = stream.select(
-        F.col(row_id).cast("long").alias(row_id), F.col(key), F.col(time).cast("timestamp").alias("_time"),
-        F.unix_micros(F.col(time).cast("timestamp")).alias("at_micros"), F.col(value).cast("double").alias(value),
-    ).withWatermark("_time", delay)
-    return timed.groupBy(key).applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-# ---- windows, quality, repeats ------------------------------------------------------------
+# ---- windows and quality ------------------------------------------------------------
 
 
 def live_kpis(
@@ -169,36 +85,3 @@ def running_quality(stream: DataFrame, label: str, prediction: str) -> DataFrame
         wanted["accuracy"].alias("accuracy"), wanted["kick_precision"].alias("precision"),
         wanted["detection_rate"].alias("recall"), wanted["kick_f1"].alias("f1"),
     )
-
-
-def drop_repeats(stream: DataFrame, time: str, columns: Sequence[str], lifetime: str = "300 seconds") -> DataFrame:
-    """Keep an input unless an equal one was kept within the lifetime before or after it.
-
-    Rows of a batch are taken in order of time, so one batch and many give the same rows. The state of an input
-    is the time of its last kept row; it goes once the watermark is past it by the lifetime. Nulls equal nulls.
-    """
-    names = stream.columns
-    span = int(pd.Timedelta(lifetime).value // 1000)
-    fields = stream.schema
-
-    def keep(_key, frames, state):
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("_us", kind="stable")
-        chosen = []
-        for at in rows["_us"].tolist():
-            chosen.append(last is None or abs(at - last) > span)
-            if chosen[-1]:
-                last = at if last is None else max(last, at)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + span // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield rows.loc[chosen, names]
-
-    def work(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        yield from keep(key, frames, state)
-
-    timed = stream.withColumn("_time", F.col(time).cast("timestamp")).withColumn("_us", F.unix_micros("_time"))
-    grouped = timed.withWatermark("_time", lifetime).groupBy(*columns)
-    return grouped.applyInPandasWithState(work, fields, "last long", "append", "EventTimeTimeout")

@@ -247,34 +247,6 @@ def test_sinks(spark, tmp_path, formation):
 # ---- streams --------------------------------------------------------------------------
 
 
-def test_stream_features_equal_batch_features(spark, tmp_path):
-    """Disorder within the delay, several micro-batches, several wells."""
-    rng = np.random.default_rng(0)
-    n = 240
-    pdf = pd.DataFrame(
-        {
-            "id": np.arange(n), "well": np.where(np.arange(n) % 3 == 0, "a", "b"),
-            "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="min"), "x": rng.normal(0, 1, n),
-        }
-    )
-    late = np.argsort(np.arange(n) + rng.uniform(0, 8, n))  # each row at most a few places late
-    for i, part in enumerate(np.array_split(late, 4)):
-        spark.createDataFrame(pdf.iloc[part]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    schema = spark.read.parquet(str(tmp_path / "in")).schema
-    source = live.open_stream(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
-    out = live.ordered_features(source, "well", "ts", "id", "x", window=10, lags=(1, 2), delay="10 minutes")
-    live.to_parquet(out, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).toPandas().sort_values("id").reset_index(drop=True)
-    assert len(got) > 200 and got.id.is_unique
-    want = pdf.sort_values(["well", "ts"])
-    by = want.groupby("well").x
-    want = want.assign(m=by.transform(lambda v: v.rolling(10).mean()), s=by.transform(lambda v: v.rolling(10).std()), l2=by.shift(2))
-    want = want.set_index("id").loc[got.id]
-    assert np.allclose(got.x_mean, want.m, equal_nan=True)
-    assert np.allclose(got.x_std, want.s, equal_nan=True)
-    assert np.allclose(got.x_lag_2, want.l2, equal_nan=True)
-
-
 def test_stream_batches_resume_from_the_checkpoint(spark, tmp_path):
     schema = "id long, ts timestamp, a int"
     seen = []
@@ -290,16 +262,6 @@ def test_stream_batches_resume_from_the_checkpoint(spark, tmp_path):
     assert [s for s in seen if s] == [[1], [2]]
 
 
-def test_repeats_are_dropped(spark, tmp_path):
-    rows = [(1, "2024-01-01 00:00:00", 5), (2, "2024-01-01 00:01:00", 5), (3, "2024-01-01 00:01:30", 6)]
-    df = spark.createDataFrame(rows, "id long, t string, a int").select("id", F.col("t").cast("timestamp").alias("ts"), "a")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    source = live.open_stream(spark, str(tmp_path / "in"), df.schema)
-    kept = live.drop_repeats(source, "ts", ["a"])
-    live.to_parquet(kept, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert sorted(r.a for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [5, 6]
-
-
 # ---- catalogue ----------------------------------------------------------------------------
 
 
