@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strataflow.models import ensemble
 from strataflow.operators import metrics, significance
-from strataflow.stats import quantile
+from strataflow.quantiles import quantile
 
 from .base import EVENTS_SQL, query, r, rounded, table, tele
 

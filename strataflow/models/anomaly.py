@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import require_columns
 from ..operators.scale import FittedScale, fit_scale
-from ..stats import gather, quantile
+from ..quantiles import quantile
+from ..stats import gather
 from .common import at_least_parallel, linear, principal_axes, second_moments
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..channels import EPSILON
 from ..operators.scale import unit_range
-from ..stats import gather, literal_table, quantiles
+from ..quantiles import quantiles
+from ..stats import gather, literal_table
 from .common import linear
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ..channels import drop_nonfinite, numeric_columns, text_columns
 from ..series import SeriesLike, accumulate
-from ..stats import gather, literal_table, moments, quantiles
+from ..quantiles import quantiles
+from ..stats import gather, literal_table, moments
 
 # fixed values: accepted timestamp layouts, tried in this order
 TIMESTAMP_LAYOUTS = [

@@ -11,7 +11,8 @@ from ..channels import NORMAL_GRADIENT, PSI_TO_MUD_WEIGHT
 from ..functions import rolling as R
 from ..functions import rules
 from ..series import Series, SeriesLike, join_per_series, number_rows, over_series
-from ..stats import gather, moments, quantile
+from ..quantiles import quantile
+from ..stats import gather, moments
 from . import ordered
 
 

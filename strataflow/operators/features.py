@@ -21,7 +21,8 @@ from ..channels import (
 )
 from ..functions.drilling import guarded_ratio, hydraulic_horsepower
 from ..series import SeriesLike
-from ..stats import moments, quantiles
+from ..quantiles import quantiles
+from ..stats import moments
 
 
 def _has(df: DataFrame, *names: str) -> bool:

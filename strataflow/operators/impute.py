@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..channels import drop_nonfinite, numeric_columns, text_columns
-from ..stats import gather, moments, most_frequent, quantiles
+from ..quantiles import quantiles
+from ..stats import gather, moments, most_frequent
 
 
 @dataclass(frozen=True)

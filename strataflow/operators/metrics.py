@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..channels import EPSILON
 from ..series import ROWS_PER_TASK, Series, accumulate, over_series
-from ..stats import gather, literal_table, quantile
+from ..quantiles import quantile
+from ..stats import gather, literal_table
 
 # fixed values: costs and directions
 MISSED_KICK_WEIGHT = 5

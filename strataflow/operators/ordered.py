@@ -11,7 +11,7 @@ from ..channels import EPSILON
 from ..functions import rolling as R
 from ..series import Frame, SeriesLike, accumulate, number_rows, over_series
 from ..session import materialise
-from ..stats import quantile
+from ..quantiles import quantile
 from .clean import forward_fill
 
 

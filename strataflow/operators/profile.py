@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..channels import numeric_columns, text_columns
 from ..series import ROWS_PER_TASK, Series, accumulate
-from ..stats import gather, literal_table, moments, quantiles
+from ..quantiles import quantiles
+from ..stats import gather, literal_table, moments
 from .clean import outlier_report
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..channels import EPSILON, numeric_columns
-from ..stats import gather, moments, quantiles
+from ..quantiles import quantiles
+from ..stats import gather, moments
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..channels import DOMAIN_WEIGHTS, numeric_columns
-from ..stats import gather, literal_table, moments, quantiles
+from ..quantiles import quantiles
+from ..stats import gather, literal_table, moments
 from .impute import fill_with_means
 from .profile import correlations
 

@@ -1,18 +1,12 @@
-"""Whole-table statistics: one aggregation for many columns, and exact quantiles."""
+"""Whole-table statistics: one aggregation for many columns."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-EXACT_IN_ONE_GROUP = 1_000_000
-SKETCH_ACCURACY = 10_000
-FEW_PROBABILITIES = 8
-
 
 def gather(df: DataFrame, expressions: Mapping[object, Column]) -> dict:
     """Run all aggregate expressions in a single job and return them by name."""
@@ -30,149 +24,6 @@ def moments(df: DataFrame, columns: Iterable[str], kinds: Mapping[str, object])
     return {c: {k: got[f"{c}\0{k}"] for k in kinds} for c in columns}
 
 
-def _interpolate(sorted_values: np.ndarray, counts: np.ndarray, below: int, total: int, p: float) -> float:
-    """Linear quantile from value counts, where ``below`` rows are smaller than all of them."""
-    reach = below + np.cumsum(counts)
-    rank = p * (total - 1)
-    low, high = int(np.floor(rank)), int(np.ceil(rank))
-    a = sorted_values[int(np.searchsorted(reach, low, side="right"))]
-    b = sorted_values[int(np.searchsorted(reach, high, side="right"))]
-    return float(a + (b - a) * (rank - low))
-
-
-def quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    one_group: int = EXACT_IN_ONE_GROUP,
-) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles of every column.
-
-    Tables up to ``one_group`` rows use the built-in exact percentile.  Larger ones
-    take a bounded sketch first, which brackets each wanted rank; a second pass
-    counts what lies below the bracket and the values inside it.  Brackets that are
-    still wide are narrowed again, so only a bounded list reaches the driver.
-    """
-    columns, probabilities = list(columns), list(probabilities)
-    if not columns:
-        return {}
-    if len(probabilities) <= FEW_PROBABILITIES and df.count() <= one_group:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        got = gather(df, {c: F.percentile(F.col(c).cast("double"), wanted) for c in columns})
-        return {c: list(v) if v is not None else [None] * len(probabilities) for c, v in got.items()}
-
-    return _narrowed(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns, probabilities, one_group)
-
-
-def _narrowed(data: DataFrame, columns: list[str], probabilities: list[float], one_group: int) -> dict[str, list]:
-    """Quantiles by sketch, count and narrow; every round reads the data twice."""
-    names = [f"q{i}" for i in range(len(columns))]
-    data = data.toDF(*names)
-    n = gather(data, {q: F.count(q) for q in names})
-    answers: dict[tuple[str, float], float | None] = {(q, p): None for q in names for p in probabilities}
-    # open brackets: (low, high, rows below, rows inside)
-    open_: dict[tuple[str, float], tuple[float, float, int, int]] = {
-        (q, p): (float("-inf"), float("inf"), 0, n[q]) for q in names for p in probabilities if n[q]
-    }
-    while open_:
-        edges = _sketch_edges(data, open_, n)
-        places = _Places(data, edges)
-        closed = {}
-        for (q, p), (lo, hi, _, before) in list(open_.items()):
-            lo, hi = edges[q, p]
-            below, inside = places.count(q, lo, hi)
-            rank = p * (n[q] - 1)
-            if not (below <= int(np.floor(rank)) and int(np.ceil(rank)) < below + inside):
-                raise ArithmeticError("a sketch bracket missed its quantile")
-            open_[q, p] = (lo, hi, below, inside)
-            if lo == hi or inside <= one_group or inside == before:
-                closed[q, p] = open_.pop((q, p))
-        for (q, p), listed in places.listed(closed).items():
-            answers[q, p] = _interpolate(listed[0], listed[1], closed[q, p][2], n[q], p)
-    return {c: [answers[q, p] for p in probabilities] for c, q in zip(columns, names)}
-
-
-def _sketch_edges(data: DataFrame, open_: dict, n: dict) -> dict[tuple[str, float], tuple[float, float]]:
-    """Values that surely enclose each wanted rank; brackets of equal range share one sketch."""
-    shared: dict[tuple[str, float, float], list[tuple[float, float, float]]] = {}
-    for (q, p), (lo, hi, below, inside) in open_.items():
-        rank = p * (n[q] - 1) - below
-        slack = 2.0 / SKETCH_ACCURACY + 1.0 / inside
-        a, b = max(0.0, rank / inside - slack), min(1.0, (rank + 1) / inside + slack)
-        shared.setdefault((q, lo, hi), []).append((p, a, b))
-    wanted = {}
-    for (q, lo, hi), parts in shared.items():
-        c = F.col(q)
-        part = c if lo == float("-inf") else F.when((c >= lo) & (c <= hi), c)
-        wanted[q, lo, hi] = F.percentile_approx(part, [x for _, a, b in parts for x in (a, b)], SKETCH_ACCURACY)
-    got = gather(data, wanted)
-    edges = {}
-    for (q, lo, hi), parts in shared.items():
-        found = got[q, lo, hi]
-        for i, (p, _, _) in enumerate(parts):
-            edges[q, p] = (float(found[2 * i]), float(found[2 * i + 1]))
-    return edges
-
-
-class _Places:
-    """Each column's values placed among sorted edges by one binary search per value.
-
-    Places alternate between the gaps between edges and the edges themselves.
-    """
-
-    def __init__(self, data: DataFrame, edges: dict):
-        self.splits = {}
-        for q in {q for q, _ in edges}:
-            at = sorted({x for (c, _), pair in edges.items() if c == q for x in pair})
-            around = {float("-inf"), float("inf"), *at, *[float(np.nextafter(e, np.inf)) for e in at]}
-            self.splits[q] = sorted(around)
-            data = Bucketizer(splits=self.splits[q], inputCol=q, outputCol=f"{q}_at", handleInvalid="keep").transform(data)
-        cells = [
-            F.struct(F.lit(q).alias("q"), F.when(F.col(q).isNotNull(), F.col(f"{q}_at").cast("int")).alias("at"), F.col(q).alias("v"))
-            for q in self.splits
-        ]
-        self.placed = data.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("at IS NOT NULL")
-        counted = self.placed.groupBy("q", "at").agg(F.count(F.lit(1)).alias("n")).collect()
-        self.before = {}
-        for q, splits in self.splits.items():
-            per = np.zeros(len(splits), dtype=np.int64)
-            for row in counted:
-                if row["q"] == q:
-                    per[row["at"]] = row["n"]
-            self.before[q] = np.concatenate([[0], np.cumsum(per)])
-
-    def span(self, q: str, lo: float, hi: float) -> range:
-        splits = self.splits[q]
-        return range(splits.index(lo), splits.index(float(np.nextafter(hi, np.inf))))
-
-    def count(self, q: str, lo: float, hi: float) -> tuple[int, int]:
-        """Rows below ``lo`` and rows within ``lo..hi``."""
-        span, before = self.span(q, lo, hi), self.before[q]
-        return int(before[span.start]), int(before[span.stop] - before[span.start])
-
-    def listed(self, closed: dict) -> dict:
-        """Distinct values and their counts inside the closed brackets."""
-        if not closed:
-            return {}
-        wanted: dict[str, set[int]] = {}
-        for (q, _), (lo, hi, _, _) in closed.items():
-            wanted.setdefault(q, set()).update(self.span(q, lo, hi))
-        keep = F.lit(False)
-        for q, places in wanted.items():
-            keep = keep | ((F.col("q") == q) & F.col("at").isin(sorted(places)))
-        found = self.placed.where(keep).groupBy("q", "v").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("v")
-        out = {}
-        for q, p in closed:
-            lo, hi, _, _ = closed[q, p]
-            part = found[(found.q == q) & (found.v >= lo) & (found.v <= hi)]
-            out[q, p] = (part.v.to_numpy(), part.n.to_numpy())
-        return out
-
-
-def quantile(df: DataFrame, column: str, p: float, one_group: int = EXACT_IN_ONE_GROUP) -> float | None:
-    return quantiles(df, [column], [p], one_group)[column][0]
-
-
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
     """Most frequent value per column; ties go to the smallest value."""
     found = {}

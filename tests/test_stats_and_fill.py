@@ -4,21 +4,49 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataflow.operators import impute
-from strataflow.stats import most_frequent, quantiles
+from strataflow.quantiles import quantiles
+from strataflow.stats import most_frequent
 
 
-@pytest.mark.parametrize("one_group", [10_000_000, 50, 3])
-def test_quantiles_equal_numpy(spark, one_group):
+@pytest.mark.parametrize("listed", [200_000, 3])
+def test_quantiles_equal_numpy(spark, listed):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"a": rng.normal(0, 1, 5000), "b": np.where(rng.random(5000) < 0.4, 7.0, rng.random(5000) * 10)})
     pdf.loc[:500, "a"] = None
     df = spark.createDataFrame(pdf).withColumn("a", F.when(~F.isnan("a"), F.col("a")))
-    df = df.withColumn("c", F.lit(None).cast("double"))
+    df = df.withColumn("c", F.lit(None).cast("double")).withColumn("d", (F.col("b") > 5).cast("int"))
     ps = [0.0, 0.05, 0.25, 0.5, 0.77, 0.9999, 1.0]
-    got = quantiles(df, ["a", "b", "c"], ps, one_group)
+    got = quantiles(df, ["a", "b", "c", "d"], ps, listed)
     assert np.allclose(got["a"], np.nanpercentile(pdf.a, [100 * p for p in ps]), atol=1e-12)
     assert np.allclose(got["b"], np.percentile(pdf.b, [100 * p for p in ps]), atol=1e-12)
     assert got["c"] == [None] * len(ps)
+    assert np.allclose(got["d"], np.percentile((pdf.b > 5).astype(int), [100 * p for p in ps]))
+
+
+@pytest.mark.parametrize("listed", [200_000, 3])
+@pytest.mark.parametrize("size", [7, 4000])
+def test_quantiles_of_nan_and_infinity(spark, listed, size):
+    """The rule of the built-in percentile at every size: NaN is largest, infinities are values."""
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=size).tolist()
+    x[:5] = [float("nan"), float("inf"), float("-inf"), float("inf"), None]
+    x += [float("nan")] * (size // 10) + [0.5] * (size // 2)
+    df = spark.createDataFrame([(v, 0.0) for v in x], "x double, y double").repartition(3)
+    ps = [0.0, 0.01, 0.3, 0.5, 0.8, 0.93, 0.97, 1.0]
+    want = df.select(F.percentile("x", F.array(*[F.lit(p) for p in ps]))).first()[0]
+    got = quantiles(df, ["x", "y"], ps, listed)
+    assert np.allclose(got["x"], want, equal_nan=True) and got["y"] == [0.0] * len(ps)
+
+
+def test_quantiles_read_the_table_twice(spark):
+    """A sketch and a count, whatever the number of columns; nothing is counted or listed in between."""
+    df = spark.range(300_000).select(*[(F.hash("id", F.lit(i)) % 100_003).cast("double").alias(f"c{i}") for i in range(6)])
+    seen = spark.sparkContext.accumulator(0)
+    counted = df.rdd.map(lambda row: (seen.add(1), row)[1]).toDF(df.schema)
+    got = quantiles(counted, df.columns, [0.25, 0.5, 0.75])
+    assert seen.value == 2 * 300_000
+    for c in df.columns:
+        assert np.allclose(got[c], np.percentile(df.select(c).toPandas()[c], [25, 50, 75]))
 
 
 def test_most_frequent_takes_the_smallest_of_ties(spark):
