@@ -55,11 +55,12 @@ class Series:
             if longest <= self.rows_per_task:
                 return Layout(self)
         buckets = min(MAX_BUCKETS, max(2, -(-4 * total // self.rows_per_task)))
-        first, repeated = _range_bounds(df, self.order[0], buckets)
+        skip = tuple(_shared_bytes(df, c) for c in self.order[:2])
+        first, repeated = _range_bounds(df, self.order[0], buckets, skip[0])
         second: list[float] = []
         if repeated and len(self.order) > 1:
-            second, _ = _range_bounds(df, self.order[1], buckets)
-        return Layout(self, True, tuple(first), tuple(repeated), tuple(second))
+            second, _ = _range_bounds(df, self.order[1], buckets, skip[1])
+        return Layout(self, True, tuple(first), tuple(repeated), tuple(second), skip)
 
 
 @dataclass(frozen=True)
@@ -71,6 +72,7 @@ class Layout:
     bounds: tuple[float, ...] = ()
     repeated: tuple[float, ...] = ()
     second: tuple[float, ...] = ()
+    skip: tuple[int, ...] = (0, 0)
     chunk_rows: int = field(default=0)
 
     @property
@@ -91,39 +93,65 @@ class Layout:
 SeriesLike = Series | Layout
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+def _shared_bytes(df: DataFrame, name: str) -> int:
+    """How many first bytes all values of a string column share; they tell nothing about the order."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return 0
+    ends = df.agg(F.min(name).alias("a"), F.max(name).alias("b")).first()
+    if ends["a"] is None:
+        return 0
+    a, b = (x.encode("utf-8", "surrogatepass") for x in ends)
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def _as_number(df: DataFrame, name: str, skip: int = 0) -> Column:
+    """A number that never falls where the column's order rises; equal numbers may stand for different values."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        # by the clock's own fields: no zone, whose changes would fold or skip hours
+        seconds = F.unix_date(c.cast("date")).cast("long") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60
+        return seconds.cast("double") * 1e6 + F.extract(F.lit("SECOND"), c).cast("double") * 1e6
     if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("double")
+        return F.unix_date(c).cast("double")
     if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    raise ValueError(f"order column {name} must be numeric, a date or a timestamp to cut long series")
+        return c.cast("double")
+    if isinstance(kind, T.StringType):
+        # strings are ordered by their bytes: the six that follow the shared ones, as one number
+        six = F.substring(F.concat(F.substring(c.cast("binary"), skip + 1, 6), F.lit(bytes(6))), 1, 6)
+        return F.conv(F.hex(six), 16, 10).cast("double")
+    raise ValueError(f"order column {name} must be a number, a string, a date or a timestamp to cut long series")
+
+
+def _exact(df: DataFrame, name: str, value: float) -> bool:
+    """Whether the number stands for one value of the column alone."""
+    kind = df.schema[name].dataType
+    return not isinstance(kind, (T.StringType, T.DecimalType)) and (not isinstance(kind, T.LongType) or abs(value) < 2**53)
 
 
-def _range_bounds(df: DataFrame, name: str, buckets: int) -> tuple[list[float], list[float]]:
+def _range_bounds(df: DataFrame, name: str, buckets: int, skip: int = 0) -> tuple[list[float], list[float]]:
     """Approximate quantiles as cut points, and the values that fill a whole bucket."""
     probabilities = [i / buckets for i in range(1, buckets)]
-    found = df.select(_as_number(df, name).alias("v")).approxQuantile("v", probabilities, 1 / (4 * buckets))
-    bounds = sorted(set(found))
-    return bounds, sorted({v for v in bounds if found.count(v) > 1})
+    found = df.select(_as_number(df, name, skip).alias("v")).approxQuantile("v", probabilities, 1 / (4 * buckets))
+    bounds = sorted({v for v in found if abs(v) != float("inf")})
+    return bounds, sorted({v for v in bounds if found.count(v) > 1 and _exact(df, name, v)})
 
 
-def _bucket(df: DataFrame, name: str, bounds: Sequence[float], out: str) -> DataFrame:
+def _bucket(df: DataFrame, name: str, bounds: Sequence[float], out: str, skip: int = 0) -> DataFrame:
     number = f"{out}_number"
     splits = [float("-inf"), *bounds, float("inf")]
     cut = Bucketizer(splits=splits, inputCol=number, outputCol=out, handleInvalid="keep")
-    placed = cut.transform(df.withColumn(number, _as_number(df, name)))
+    placed = cut.transform(df.withColumn(number, _as_number(df, name, skip)))
     return placed.withColumn(out, F.when(F.col(number).isNull(), F.lit(-1.0)).otherwise(F.col(out))).drop(number)
 
 
 def _bucketed(df: DataFrame, layout: Layout) -> DataFrame:
     df = df.withColumn("_series", F.struct(*layout.keys) if layout.keys else F.lit(0))
-    df = _bucket(df, layout.order[0], layout.bounds, "_bucket")
+    df = _bucket(df, layout.order[0], layout.bounds, "_bucket", layout.skip[0])
     if not layout.second:
         return df.withColumn("_part", F.lit(0.0))
-    df = _bucket(df, layout.order[1], layout.second, "_part")
+    df = _bucket(df, layout.order[1], layout.second, "_part", layout.skip[1])
     crowded = _as_number(df, layout.order[0]).isin(*layout.repeated) | F.col(layout.order[0]).isNull()
     return df.withColumn("_part", F.when(crowded, F.col("_part")).otherwise(F.lit(float(MAX_BUCKETS + 2))))
 

@@ -51,6 +51,38 @@ def test_row_numbers(wells):
     same(number_rows(wells, BIG, "_p", "_n"), number_rows(wells, SMALL, "_p", "_n"))
 
 
+@pytest.fixture
+def new_york(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    yield spark
+    spark.conf.set("spark.sql.session.timeZone", old)
+
+
+ORDERS = {
+    "spring": "timestamp_ntz'2024-03-10 00:00:00' + make_dt_interval(0, 0, CAST(id AS INT) * 15)",
+    "autumn": "timestamp_ntz'2024-11-03 00:00:00' + make_dt_interval(0, 0, CAST(id AS INT) * 15, 0.000001)",
+    "zoned": "timestamp_micros(1730606400000000 + id * 900000000)",
+    "string": "concat('well/2024-', lpad(CAST(id * 7919 % 100003 AS STRING), 6, '0'), CASE WHEN id % 3 = 0 THEN 'é' ELSE '' END)",
+    "number": "CASE WHEN id % 50 = 0 THEN double('NaN') WHEN id % 51 = 0 THEN double('Infinity') WHEN id % 7 = 0 THEN NULL ELSE id % 20 END",
+    "long": "9007199254740992 + id DIV 3",
+    "decimal": "CAST(id DIV 4 AS DECIMAL(30, 10)) / 1000000000",
+}
+
+
+@pytest.mark.parametrize("kind", list(ORDERS))
+def test_both_sides_of_the_cut_agree(new_york, kind):
+    """Clock changes, strings, NaN, infinity, NULL, values that a double cannot tell apart."""
+    df = new_york.range(240).selectExpr("id", "CAST(NULL AS STRING) AS well", f"{ORDERS[kind]} AS at", "sin(id) AS x").repartition(4)
+    told = []
+    for limit in (2_000_000, 20):
+        layout = Series("well", ("at", "id"), rows_per_task=limit).measure(df)
+        assert layout.chunked == (limit == 20)
+        frame = ordered.lag_features(df, layout, ["x"], [1, 3])
+        told.append(accumulate(number_rows(frame, layout, "_p"), layout, {"s": F.col("x")}).drop("at"))
+    same(*told)
+
+
 def test_row_numbers_without_key(wells):
     a = number_rows(wells, Series((), ("depth", "id")), "_p", "_n")
     b = number_rows(wells, Series((), ("depth", "id"), rows_per_task=60), "_p", "_n")
