@@ -5,8 +5,9 @@ differs in at most one bit. Each fingerprint is indexed under its segments as th
 variants with one bit left out; fingerprints that meet under a key are verified on all bits.
 Equal fingerprints are one node, so exact copies cost nothing.
 
-Keys under which very many fingerprints meet are first linked to one centre each, which takes one row per
-member; pairs are formed only where a key still holds more than one component. No link is lost: pairs inside a
+Keys under which very many fingerprints meet are first linked to a few centres each, which takes a row per
+member and centre. Where a key still holds more than one component, its members meet by a second cut: the other
+segment's four bytes, of which two linked fingerprints share at least one. No link is lost: pairs inside a
 component change nothing.
 """
 
@@ -95,9 +96,11 @@ def linked(prints: DataFrame, bits: int = BITS) -> DataFrame:
     named = met.select("key", "fp").join(known.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
     named = materialise(named)
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    open_keys = named.join(mixed, "key")
-    left, right = open_keys.toDF("key", "a", "ca"), open_keys.toDF("key", "b", "cb")
-    more = left.join(right, "key").where((F.col("ca") < F.col("cb")) & _near("a", "b", bits)).select("ca", "cb").distinct().toDF("a", "b")
+    other = F.when(F.shiftright("key", 32) < 33, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    byte = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.shiftleft(i, 8).bitwiseOR(F.call_function("shiftright", F.col("other"), i * 8).bitwiseAND(F.lit(255)).cast("int"))))
+    open_keys = named.join(mixed, "key").withColumn("other", other).select("key", byte.alias("byte"), "fp", "c")
+    left, right = open_keys.toDF("key", "byte", "a", "ca"), open_keys.toDF("key", "byte", "b", "cb")
+    more = left.join(right, ["key", "byte"]).where((F.col("ca") < F.col("cb")) & _near("a", "b", bits)).select("ca", "cb").distinct().toDF("a", "b")
     more = materialise(more)
     if more.limit(1).count() == 0:
         return known
@@ -140,5 +143,9 @@ def keep_one(docs: DataFrame, bits: int = BITS, words: int = WORDS) -> DataFrame
     chosen = named.groupBy("c").agg(F.min(F.struct(F.col("least").isNull().alias("no"), F.col("least"), F.col("fp"))).alias("k")).select(F.col("k.fp").alias(fp), F.col("k.least").alias(unused(columns, "_least")))
     least = chosen.columns[1]
     kept = marked.join(chosen, fp).where(F.col("doc_id").eqNullSafe(F.col(least)))
-    # one of repeated rows: rows that differ from all others pass as they are
-    return kept.dropDuplicates([fp]).select(columns)
+    # of rows of that id and fingerprint, the one whose columns come first as text
+    told, best = unused(columns, "_told"), unused(columns, "_best")
+    marked = kept.withColumn(told, F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+    first = marked.groupBy(fp).agg(F.min(told).alias(best)).withColumnRenamed(fp, unused(columns, "_of"))
+    held = marked.join(first, (F.col(fp) == F.col(first.columns[0])) & (F.col(told) == F.col(best)), "left_semi")
+    return held.dropDuplicates([fp]).select(columns)
