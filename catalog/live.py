@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataflow.models.pressure import LinearModel
+from strataflow.operators.domain import append_prediction_log, service_statistics
+from strataflow.session import materialise
 from strataflow.streaming import live, ordered
 
 from .base import query, r, rounded, table, workdir
@@ -53,6 +55,19 @@ def l02(spark, sf):
     return rounded(finish(spark, alerts.select("event_id", "prediction", "alert_type", "severity")))
 
 
+@query("j15_prediction_log", sql=f"""
+SELECT event_type AS model_type, count(*) AS predictions, {r('avg(value)')} AS mean_latency_ms, {r("avg((value > 60)::INT)")} AS error_rate FROM events GROUP BY event_type""")
+def j15_log(spark, sf):
+    """The log of a stream, of which a batch is written twice, as after a failure."""
+    root = workdir(spark)
+    status = F.when(F.col("value") > 60, "error").otherwise("success").alias("status")
+    results = stream(spark, sf).select(F.col("event_type").alias("model_type"), "value", status)
+    live.log_predictions(results, f"{root}/log", f"{root}/ckpt").awaitTermination()
+    again = spark.read.parquet(f"{root}/log/batch=0")
+    append_prediction_log(again.select("*").transform(materialise), f"{root}/log", 0)
+    return rounded(service_statistics(spark.read.parquet(f"{root}/log"), latency="value"))
+
+
 _W = "PARTITION BY user_id ORDER BY ts, event_id"
 _F20 = f"({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 _F5 = f"({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"

@@ -296,3 +296,26 @@ def j14(spark, sf):
     )
     model = pressure.fit_pcr(df.withColumn("p", F.col("Depth") * 0.4), ["Depth", "MudWeight"], "p", 2)
     return domain.bulk_totals(domain.bulk_predict(df, "formation_pressure", model))
+
+
+@query("m04_user_model", sql=f"""
+WITH g AS (SELECT l_returnflag, avg(l_extendedprice) AS p FROM lineitem GROUP BY l_returnflag)
+SELECT {r('sqrt(avg((l_extendedprice - p) ** 2))', 3)} AS rmse, {r('avg(abs(l_extendedprice - p))', 3)} AS mae FROM lineitem JOIN g USING (l_returnflag)""")
+def m04(spark, sf):
+    """A model of the user's own, the mean of each group, offered by name like the built ones."""
+
+    class GroupMean:
+        def __init__(self, means, group):
+            self.means, self.group = means, group
+
+        def transform(self, df):
+            return df.join(F.broadcast(self.means), self.group)  # a row per group
+
+    def fit(df, features, target):
+        return GroupMean(df.groupBy(*features).agg(F.avg(target).alias("prediction")), list(features))
+
+    if "group_mean" not in evaluate.registry()["formation_pressure"]:
+        evaluate.register("formation_pressure", "group_mean", fit)
+    df = line(spark, sf, "l_extendedprice", "l_returnflag")
+    model = evaluate.fit("formation_pressure", "group_mean", df, ["l_returnflag"], "l_extendedprice")
+    return rounded(evaluate.evaluate(model.transform(df), "l_extendedprice").select("rmse", "mae"), 3)

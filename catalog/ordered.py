@@ -84,6 +84,16 @@ def d05(spark, sf):
     return rounded(ordered.trend(df, WELL, "value", 10).select("event_id", "value_Trend"))
 
 
+@query("m03_user_window", sql=f"""
+WITH w AS (SELECT event_id, value, count(value) OVER f AS n, list(value) OVER f AS held FROM events
+           WINDOW f AS ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT event_id, CASE WHEN n = 5 THEN {r("list_avg(list_transform(held, lambda x: abs(x - list_median(held))))")} END AS value_spread_5 FROM w""")
+def m03(spark, sf):
+    df = tele(spark, sf, "event_id", "user_id", "ts", "value")
+    spread = ordered.rolling_apply(df, WELL, ["value"], 5, lambda v: (v - v.median()).abs().mean(), "spread")
+    return rounded(spread.select("event_id", "value_spread_5"))
+
+
 _FRAME = f"({_W} ROWS BETWEEN {{n}} PRECEDING AND CURRENT ROW)"
 
 

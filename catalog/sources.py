@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataflow.models import evaluate, supervised
+from strataflow.models.pressure import LinearModel
 from strataflow.operators.clean import coerce_numeric_text
 from strataflow.sources import files
 
@@ -121,3 +122,24 @@ def a09(spark, sf):
     df.withColumn("source", F.col("l_returnflag")).write.option("header", True).partitionBy("source").csv(path)
     landed = coerce_numeric_text(files.read_csv(spark, path), ["l_quantity", "l_extendedprice"])
     return rounded(evaluate.score_files(model, landed, "source"), 3)
+
+
+@query("a09_score_file_errors", sql=f"""
+WITH p AS (SELECT l_returnflag || '.csv' AS source_file, 2 * l_quantity + 1 AS p FROM lineitem WHERE l_returnflag <> 'R')
+SELECT source_file, count(*) AS count, {r('avg(p)', 3)} AS mean, {r('max(p)', 3)} AS max, CAST(NULL AS VARCHAR) AS error FROM p GROUP BY source_file
+UNION ALL SELECT 'R.csv', NULL, NULL, NULL, count(*) || ' rows with values that are no numbers' FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49
+UNION ALL SELECT 'other.csv', NULL, NULL, NULL, 'no column l_quantity'""")
+def a09_errors(spark, sf):
+    """Good files in several parts beside one with words among its numbers and one without the column."""
+    path = workdir(spark)
+    df = line(spark, sf, "l_quantity", "l_extendedprice", "l_returnflag")
+    told = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49), "much").otherwise(F.col("l_quantity").cast("string"))
+    for flag in ("A", "N", "R"):
+        own = df.where(F.col("l_returnflag") == flag).select("l_extendedprice", told.alias("l_quantity"))
+        own.coalesce(1).write.option("header", True).csv(f"{path}/{flag}.csv")
+    df.select("l_extendedprice").limit(5).coalesce(1).write.option("header", True).csv(f"{path}/other.csv")
+    model = LinearModel("pls", ["l_quantity"], "p", 1.0, [2.0])
+    summary, errors = evaluate.score_csv_files(spark, f"{path}/*.csv", model, ["l_quantity"], folders=True)
+    none = F.lit(None).cast("string").alias("error")
+    good = rounded(summary.select("source_file", "count", "mean", "max"), 3).select("*", none)
+    return good.unionByName(errors, allowMissingColumns=True)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,18 @@ def slope(frame: Frame, c: str, n: int) -> Column:
     return frame.whole(c, n, F.regr_slope(F.col(c), F.col(frame.row).cast("double")).over(frame.last(n)))
 
 
+def custom(frame: Frame, c: str, n: int, function: Callable[[pd.Series], float]) -> Column:
+    """``function`` of the values of each full window; a function of the user's own, run by Arrow batches.
+
+    The plain form for what no built-in function expresses: each window is handed to Python.
+    """
+
+    def apply(values: pd.Series) -> float:
+        return float(function(values))
+
+    return frame.whole(c, n, F.pandas_udf(apply, "double")(F.col(c).cast("double")).over(frame.last(n)))
+
+
 def partial_mean(frame: Frame, c: str, n: int) -> Column:
     return F.avg(c).over(frame.last(n))
 

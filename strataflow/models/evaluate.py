@@ -8,13 +8,14 @@ from collections.abc import Callable, Mapping, Sequence
 import numpy as np
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import mse, r2, regression_columns
 from ..operators.split import hash_number, random_sample
 from ..series import Series, SeriesLike, number_rows
 from ..session import materialise
+from ..sources.files import read_checked_csv
 from ..stats import gather, literal_table
 from . import supervised
 from .common import assemble
@@ -38,8 +39,21 @@ PRESETS = {
 }
 
 
+_ADDED: dict[str, dict[str, Callable]] = {}
+
+
+def register(task: str, name: str, fitter: Callable) -> None:
+    """Offer a model of the user's own: ``fitter(df, features, target, **params)`` returns what has ``transform(df)``.
+
+    It can then be fitted, evaluated and compared by its name; a name that is taken is refused.
+    """
+    if name in registry().get(task, {}):
+        raise ValueError(f"there is a model {task}/{name}")
+    _ADDED.setdefault(task, {})[name] = fitter
+
+
 def registry() -> dict[str, dict[str, Callable]]:
-    """Fit functions by task and model name."""
+    """Fit functions by task and model name, the user's own among them."""
     from . import anomaly, pressure
 
     def regressor(kind):
@@ -48,7 +62,7 @@ def registry() -> dict[str, dict[str, Callable]]:
     def classifier(kind):
         return lambda df, features, label, **p: supervised.fit_classifier(df, features, label, kind, **p)
 
-    return {
+    own = {
         "formation_pressure": {
             **{k: regressor(k) for k in supervised.REGRESSORS}, "pcr": pressure.fit_pcr, "pls": pressure.fit_pls,
         },
@@ -57,6 +71,7 @@ def registry() -> dict[str, dict[str, Callable]]:
             "pca": anomaly.fit_pca_detector, "isolation_forest": anomaly.fit_isolation_forest, "one_class": anomaly.fit_one_class,
         },
     }
+    return {task: {**own.get(task, {}), **_ADDED.get(task, {})} for task in {**own, **_ADDED}}
 
 
 def fit(task: str, name: str, df: DataFrame, features: Sequence[str], target: str, **params):
@@ -271,6 +286,15 @@ def noise_confidence(df: DataFrame, model, draws: int = 5, sigma: float = 0.01,
     return work.withColumn(name, F.least(confidence, F.lit(1.0))).drop(*[f"_draw{d}" for d in range(draws)])
 
 
+def score_csv_files(spark: SparkSession, pattern: str, model, features: Sequence[str], folders: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(summary, errors): scores per source file, and the files that could not be scored with the reason.
+
+    All files are one read; a bad file takes none of the others with it.
+    """
+    rows, errors = read_checked_csv(spark, pattern, features, folders)
+    return score_files(model, rows), errors
+
+
 def score_files(model, files: DataFrame, source: str = "source_file") -> DataFrame:
     """Predictions summarised per source file: count, mean, population deviation and range."""
     return model.transform(files).groupBy(source).agg(

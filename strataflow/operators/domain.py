@@ -291,8 +291,12 @@ def bulk_totals(results: DataFrame) -> DataFrame:
     )
 
 
-def append_prediction_log(results: DataFrame, path: str) -> None:
-    results.write.mode("append").parquet(path)
+def append_prediction_log(results: DataFrame, path: str, batch: int | None = None) -> None:
+    """Add results to a log. With a batch number they are that batch's folder, so writing the batch again replaces it."""
+    if batch is None:
+        results.write.mode("append").parquet(path)
+    else:
+        results.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def service_statistics(log: DataFrame, kind: str = "model_type", latency: str = "latency_ms", status: str = "status") -> DataFrame:

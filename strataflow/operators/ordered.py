@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,14 @@ def rolling_features(
     return _complete(out, drop)
 
 
+def rolling_apply(df: DataFrame, series: SeriesLike, columns: Sequence[str], window: int, function: Callable[[pd.Series], float], name: str) -> DataFrame:
+    """``<column>_<name>_<window>``: a function of the user's own over the last ``window`` values; null in shorter windows.
+
+    One pass serves all columns. On a long series the function sees the same windows, carried by its chunks.
+    """
+    return over_series(df, series, lambda f: {f"{c}_{name}_{window}": R.custom(f, c, window, function) for c in columns}, back=window - 1)
+
+
 def derivative_features(df: DataFrame, series: SeriesLike, columns: Sequence[str], drop: bool = True) -> DataFrame:
     def build(f: Frame) -> dict[str, Column]:
         out = {}

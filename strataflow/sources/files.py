@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,42 @@ def read_kick_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.Str
     return basic_clean(df)
 
 
+def read_checked_csv(spark: SparkSession, pattern: str, numbers: Sequence[str], folders: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors): the numeric columns of all sound files with their source_file, and why the other files are not.
+
+    One read of all files as lines; every file's own header says where a column stands, so files may order them
+    differently and have others besides. A file without one of the columns, or with a value in one that is no number,
+    is an error as a whole (source_file, error). Empty values are null. A record stands on one line.
+    With ``folders`` the part files of a folder are told by the folder's name.
+    """
+    lines = spark.read.text(pattern).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"),
+    ).where(F.trim("value") != "")
+    head = F.when(F.col("start") == 0, F.struct("id", "value"))
+    first = lines.groupBy("path").agg(F.min(head).alias("head")).select("path", F.col("head.id").alias("first"), F.col("head.value").alias("header"))
+    widest = first.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
+
+    def fields(line: Column) -> Column:
+        """The values of a line by place; quoted values may hold commas."""
+        parsed = F.from_csv(line, ", ".join(f"f{i} string" for i in range(widest)))
+        return F.array(*[F.trim(parsed[f"f{i}"]) for i in range(widest)])
+
+    files = first.withColumn("names", fields(F.col("header"))).drop("header")
+    files = files.withColumn("lacking", F.array_except(F.array(*[F.lit(c) for c in numbers]), "names"))
+    values = lines.join(files.where(F.size("lacking") == 0), "path").where(F.col("id") != F.col("first")).withColumn("at", fields(F.col("value")))
+    told = values.select("path", *[F.get("at", F.array_position("names", c).cast("int") - 1).alias(c) for c in numbers])
+    empty = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    wrong = F.lit(False)
+    for c in numbers:
+        wrong = wrong | (~empty(c) & F.expr(f"try_cast(`{c}` AS DOUBLE)").isNull())
+    name = F.element_at(F.split("path", "/"), -2 if folders else -1).alias("source_file")
+    bad = told.where(wrong).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    lacking = files.where(F.size("lacking") > 0).select(name, F.concat(F.lit("no column "), F.array_join("lacking", ", ")).alias("error"))
+    errors = lacking.union(bad.select(name, F.concat("n", F.lit(" rows with values that are no numbers")).alias("error")))
+    sound = told.join(bad.select("path"), "path", "left_anti")
+    return sound.select(name, *[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) for c in numbers]), errors
+
+
 def read_many_csv(spark: SparkSession, pattern: str, data_type: str = "auto") -> DataFrame:
     """All files of a pattern with their ``source_file``; files may differ in their columns.
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import rules
-from ..operators.domain import raise_alerts, validate_inputs
+from ..operators.domain import append_prediction_log, raise_alerts, validate_inputs
 from ..operators.metrics import kick_columns
 
 
@@ -40,6 +40,14 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def log_predictions(scored: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """A stream of results to a log in which every row stands once.
+
+    A batch that is run again after a failure has the number and the rows it had before, and replaces its own folder.
+    """
+    return each_batch(scored, lambda batch, number: append_prediction_log(batch, path, number), checkpoint, interval)
+
+
 def score_stream(stream: DataFrame, model, task: str, prediction: str = "prediction", **extra: str) -> DataFrame:
     """Valid requests only, scored by a stateless model."""
     checked = validate_inputs(stream, task).where("problem IS NULL").drop("problem")
