@@ -134,18 +134,15 @@ def keep_one(docs: DataFrame, bits: int = BITS, words: int = WORDS) -> DataFrame
     Nulls: see near_duplicates; of a component without any doc_id one row stays.
     """
     columns = docs.columns
-    fp = unused(columns, "_fp")
-    marked = fingerprints(docs, fp, words)
-    groups = materialise(marked.select(F.col(fp).alias("fp"), "doc_id").groupBy("fp").agg(F.min("doc_id").alias("least")))
+    fp, told = unused(columns, "_fp"), unused(columns, "_told")
+    marked = docs.withColumn(told, F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
+    # texts are read once for their fingerprints, and once more for those that stay
+    prints = materialise(fingerprints(marked, fp, words).select(F.col(fp).alias("fp"), "doc_id", F.col(told).alias("told")))
+    groups = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = materialise(linked(groups.select("fp"), bits).toDF("fp", "c"))
     named = groups.join(found, "fp", "left").select("fp", "least", F.coalesce("c", "fp").alias("c"))
     # of equal smallest ids in several fingerprints, the smallest fingerprint
-    chosen = named.groupBy("c").agg(F.min(F.struct(F.col("least").isNull().alias("no"), F.col("least"), F.col("fp"))).alias("k")).select(F.col("k.fp").alias(fp), F.col("k.least").alias(unused(columns, "_least")))
-    least = chosen.columns[1]
-    kept = marked.join(chosen, fp).where(F.col("doc_id").eqNullSafe(F.col(least)))
-    # of rows of that id and fingerprint, the one whose columns come first as text
-    told, best = unused(columns, "_told"), unused(columns, "_best")
-    marked = kept.withColumn(told, F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256))
-    first = marked.groupBy(fp).agg(F.min(told).alias(best)).withColumnRenamed(fp, unused(columns, "_of"))
-    held = marked.join(first, (F.col(fp) == F.col(first.columns[0])) & (F.col(told) == F.col(best)), "left_semi")
-    return held.dropDuplicates([fp]).select(columns)
+    chosen = named.groupBy("c").agg(F.min(F.struct(F.col("least").isNull().alias("no"), F.col("least"), F.col("fp"))).alias("k")).select(F.col("k.fp").alias("fp"), F.col("k.least").alias("least"))
+    # of several rows of that id and fingerprint, the first by a hash of all their columns
+    best = prints.join(chosen, "fp").where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("fp").agg(F.min("told").alias(told))
+    return marked.join(materialise(best.select(told)), told, "left_semi").dropDuplicates([told]).select(columns)
