@@ -2,10 +2,11 @@
 
 A page is cut into blocks at block-level tags. Every block has the path of open tags from the root. Text length and
 marks of punctuation are summed per path and divided by the path's number of text nodes; both ratios are smoothed over
-the blocks in page order, fused, and weighed by what the path's tags and classes say. Paths whose fused ratio passes a
-threshold (a share of the page's deviation) are content, and their blocks are the text. Parts that their tag, class or
-role names as navigation, advertisement and the like, and hidden ones, are left out before; a main or article part weighs
-more than what stands beside it, no more.
+the blocks in page order, fused, and weighed: a main or article part weighs more than what stands beside it. Paths whose
+fused ratio passes a threshold (a share of the page's deviation) are content. What stands in the same part of the page
+as content (short list items, quotes, a last line; inside a main or article also parts of its own) belongs to it,
+unless its path is a list of links. Parts that their tag, role or whole class name says are navigation, advertisement
+and the like, and hidden ones, are left out before. Work is linear in the page, however broken its markup.
 """
 
 from __future__ import annotations
@@ -30,15 +31,27 @@ CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
-#: Parts of class names, ids and roles that stand for what is not the article.
+#: Words of class names, ids and roles that stand for what is not the article.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement advertising adv banner sponsor sponsored promo promotion menu nav navigation navbar breadcrumb breadcrumbs header masthead "
     "footer sidebar aside widget related recommended comments comment reply replies respond disqus discussion cookie cookies consent notice notices gdpr "
     "alert popup modal newsletter subscribe subscription signup login share sharing social toolbar pagination pager copyright legal search form".split()
 )
-#: Of those, names that style often gives to the page's own parts: they count only outside an article.
+#: Words that only say where or how such a part stands: `site-footer` and `share-buttons` are named as outside, `share-price` is not.
+PLACE_WORDS = frozenset(
+    "site page main top bottom left right center upper lower primary secondary global inner outer box bar block wrapper wrap container list lists item items link "
+    "links post posts article articles story stories button buttons btn icon icons area section panel slot unit zone content text title label user reader view the "
+    "group row col column module bar js is has by and on footer bottom".split()
+)
+#: Of the words for outside, those that style often gives to the page's own parts: they count only outside an article.
 PAGE_WORDS = frozenset("header notice notices alert legal search form".split())
 MAIN_WORDS = frozenset("article content post entry story main body".split())
+#: Tags that only shape text: what is in them belongs to the part around them.
+FLOW_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup hr ul ol li dl dt dd blockquote pre table tbody thead tfoot tr td th caption figure figcaption address details summary center".split())
+#: Tags whose text is no list of links even where all of it is a link.
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre figcaption".split())
+#: Block levels and characters of a label that a path holds.
+LEVELS, LABEL = 64, 80
 #: Blocks on either side that smooth a block's ratios; the threshold as a share of their deviation.
 REACH, SHARE = 2, 0.15
 #: Weight of the fused ratio of blocks outside the page's main or article, where it has one.
@@ -46,9 +59,12 @@ BESIDE = 0.25
 #: Of a path's characters, the share inside links from which it is a list of links.
 LINKED = 0.6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-_NAMES = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)|display\s*:\s*none", re.IGNORECASE)
+_MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z]|/)")
+_NAME = re.compile(r"[^\s/>]+")
+_ATTRIBUTE = re.compile(r"[\s/]*(?:(=?[^\s/>=]+|=)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)?))?)?")
+_NONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ZEROS, _HUGE = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])"), re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 _MARKS = re.compile(r"[.,;:!?…。，、！？]")
 _BLANK = re.compile(r"\s+")
 
@@ -57,6 +73,9 @@ _BLANK = re.compile(r"\s+")
 class Block:
     text: str
     path: str
+    home: str
+    article: str
+    prose: bool
     outside: bool
     main: int
     linked: int
@@ -66,39 +85,45 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    label: str
-    outside: bool
-    main: int
+    path: str = ""
+    home: str = ""
+    article: str = ""
+    level: int = 0
+    outside: bool = False
+    main: int = 0
+
+
+_ROOT = _Open("")
 
 
 @dataclass
 class _Page:
     open: list[_Open] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=dict)
+    levels: list[int] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
     linked: int = 0
-    links: int = 0
     nodes: int = 0
-    articles: int = 0
 
     def text(self, raw: str) -> None:
         if raw:
             self.parts.append(raw)
             if not raw.isspace():
                 self.nodes += 1
-                if self.links:
+                if self.places.get("a"):
                     self.linked += len(raw)
 
     def close_block(self) -> None:
         if self.parts:
-            text = _BLANK.sub(" ", entities.unescape("".join(self.parts))).strip()
+            text = _BLANK.sub(" ", _decoded("".join(self.parts))).strip()
             if text:
-                at = self.open[-1] if self.open else _Open("", "", False, 0)
-                path = "/".join(o.label for o in self.open if o.tag in BLOCK_TAGS)
-                self.blocks.append(Block(text, path, at.outside, at.main, self.linked, max(1, self.nodes)))
+                at = self.open[-1] if self.open else _ROOT
+                prose = bool(self.levels) and self.open[self.levels[-1]].tag in PROSE_TAGS
+                self.blocks.append(Block(text, at.path, at.home, at.article, prose, at.outside, at.main, self.linked, max(1, self.nodes)))
             self.parts, self.linked, self.nodes = [], 0, 0
 
-    def start(self, tag: str, attributes: str) -> None:
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in VOID_TAGS:
             if tag == "hr":
                 self.close_block()
@@ -107,80 +132,123 @@ class _Page:
             return
         if tag in BLOCK_TAGS:
             self.close_block()
-            if any(o.tag == "p" for o in self.open[-8:]):  # a block ends an open paragraph and what is open in it
-                at = max(i for i, o in enumerate(self.open) if o.tag == "p")
-                if all(o.tag not in BLOCK_TAGS for o in self.open[at + 1 :]):
-                    self.cut(at)
+            if self.levels and self.open[self.levels[-1]].tag == "p":  # a block ends an open paragraph and what is open in it
+                self.cut(self.levels[-1])
             for i in range(len(self.open) - 1, max(-1, len(self.open) - 9), -1):
                 if self.open[i].tag in CLOSED_BY.get(tag, ()):
                     self.cut(i)
                     break
                 if self.open[i].tag in ("ul", "ol", "dl", "table", "tbody", "thead", "select"):
                     break
-        if tag == "a":
-            self.links += 1
-        above = self.open[-1] if self.open else _Open("", "", False, 0)
-        named, role = [], ""
-        for key, a, b, c in _NAMES.findall(attributes) if attributes else ():
-            value = (a or b or c).lower()
-            named += re.split(r"[^a-z]+", value)
-            role = value if key.lower() == "role" else role
+        above = self.open[-1] if self.open else _ROOT
+        role = attributes.get("role", "").strip().lower()
+        names = [[w.lower() for w in _WORDS.findall(name)] for key in ("class", "id", "role") for name in attributes.get(key, "").split()]
+        named = {w for words in names for w in words}
         outside, main = above.outside, above.main
-        if tag in MAIN_TAGS or role == "main":
+        here = tag in MAIN_TAGS or role == "main"
+        if here:
             main = 2
-            self.articles += 1
         elif not main and MAIN_WORDS.intersection(named) and tag in ("div", "section", "td"):
             main = 1
         if tag not in ("html", "body") or not self.open:
-            names = OUTSIDE_WORDS - PAGE_WORDS if main == 2 else OUTSIDE_WORDS
+            words = OUTSIDE_WORDS - PAGE_WORDS if main == 2 else OUTSIDE_WORDS
             alone = tag in ("html", "body") or tag in MAIN_TAGS and not {"comment", "comments", "reply"}.intersection(named)
-            outside = outside or tag in OUTSIDE_TAGS and not (tag == "header" and above.main == 2) or not alone and bool(names.intersection(named)) or bool(attributes and _HIDDEN.search(attributes))
+            outside = outside or tag in OUTSIDE_TAGS and not (tag == "header" and above.main == 2) or not alone and any(_says(name, words) for name in names)
+            outside = outside or "hidden" in attributes or bool(_NONE.search(attributes.get("style", "")))
             outside = outside or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
-        label = f"{tag}.{'.'.join(sorted(set(filter(None, named))))}" if named else tag
-        self.open.append(_Open(tag, label, outside, main))
+        path, home, article, level = above.path, above.home, above.article, above.level
+        if tag in BLOCK_TAGS:
+            self.levels.append(len(self.open))
+            if level < LEVELS:
+                path, level = f"{path}/{'.'.join([tag, *sorted(named)])[:LABEL]}", level + 1
+        if tag in BLOCK_TAGS and tag not in FLOW_TAGS or main == 1 and above.main != 1:
+            home = path
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(_Open(tag, path, home, path if here and not article else article, level, outside, main))
 
     def cut(self, at: int) -> None:
-        self.links = max(0, self.links - sum(o.tag == "a" for o in self.open[at:]))
+        for o in self.open[at:]:
+            self.places[o.tag].pop()
+        while self.levels and self.levels[-1] >= at:
+            self.levels.pop()
         del self.open[at:]
 
     def end(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self.close_block()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag == tag:
-                self.cut(i)
-                return
-            if tag not in BLOCK_TAGS and self.open[i].tag in BLOCK_TAGS:
-                return  # an inline end tag doesn't reach out of its block
+        at = self.places.get(tag)
+        if at and (tag in BLOCK_TAGS or not self.levels or at[-1] > self.levels[-1]):  # an inline end tag doesn't reach out of its block
+            self.cut(at[-1])
+
+
+def _decoded(text: str) -> str:
+    if "&#" in text:  # numbers beyond any character
+        text = _HUGE.sub("\ufffd", _ZEROS.sub(r"&#\1", text))
+    return entities.unescape(text)
+
+
+def _says(name: list[str], words: frozenset[str]) -> bool:
+    """Whether a class name is made of words for outside, and words for places, alone."""
+    told = [w for w in name if len(w) > 1]
+    return any(w in words for w in told) and all(w in OUTSIDE_WORDS or w in PLACE_WORDS for w in told)
+
+
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag and the place behind it; quotes count behind = alone, as browsers read them."""
+    found: dict[str, str] = {}
+    while at < len(page):
+        if page[at] == ">":
+            return found, at + 1
+        m = _ATTRIBUTE.match(page, at)
+        if m.end() == at:
+            at += 1
+            continue
+        if m[1]:
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        at = m.end()
+    return found, at
+
+
+def _behind(page: str, mark: str, at: int) -> int:
+    found = page.find(mark, at)
+    return len(page) if found < 0 else found + len(mark)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order; scripts, styles, comments and markup are gone."""
     state, at, end = _Page(), 0, len(page)
     while at < end:
-        found = _TOKEN.search(page, at)
+        found = _MARKUP.search(page, at)
         if found is None:
             state.text(page[at:])
             break
         state.text(page[at : found.start()])
-        at, tag = found.end(), (found[2] or "").lower()
-        if not tag:
-            continue
-        if found[1]:
-            state.end(tag)
-        elif tag in RAW_TAGS:
-            if not found[3].rstrip().endswith("/"):
-                closing = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-                at = closing.end() if closing else end
-            state.parts.append(" " if tag in ("svg", "math", "canvas", "iframe", "object", "audio", "video") else "")
+        mark, at = found[0], found.end()
+        if mark == "<!--":
+            at = at + 1 if page.startswith(">", at) else _behind(page, "-->", at)
+        elif mark == "<![CDATA[":
+            at = _behind(page, "]]>", at)
+        elif not mark[-1].isalpha():
+            at = _behind(page, ">", at)
         else:
-            state.start(tag, found[3])
+            name = _NAME.match(page, at - 1)
+            attributes, at = _attributes(page, name.end())
+            tag = name[0].lower()
+            if mark.startswith("</"):
+                state.end(tag)
+            elif tag in RAW_TAGS:
+                if page[at - 2 : at] != "/>":
+                    closing = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+                    at = closing.end() if closing else end
+                state.parts.append(" " if tag in ("svg", "math", "canvas", "iframe", "object", "audio", "video") else "")
+            else:
+                state.start(tag, attributes)
     state.close_block()
     return state.blocks
 
 
 def main_text(page: str | None) -> str:
-    """The blocks of the content paths, one a line."""
+    """The blocks of the content paths and of what belongs to them, one a line."""
     found = [b for b in blocks_of(page or "") if not b.outside]
     if not found:
         return ""
@@ -201,8 +269,12 @@ def main_text(page: str | None) -> str:
     per_path: dict[str, list[float]] = {}
     for b, x in zip(found, fused.tolist(), strict=True):
         per_path.setdefault(b.path, []).append(x)
-    chosen = {path for path, x in per_path.items() if sum(x) / len(x) >= floor and sums[path][3] < LINKED * sums[path][0]}
-    return "\n".join(b.text for b in found if b.path in chosen)
+    listed = {b.path for b in found if not (b.prose and b.main == best) and sums[b.path][3] >= LINKED * sums[b.path][0]}
+    passed = {path for path, x in per_path.items() if sum(x) / len(x) >= floor and path not in listed}
+    homes = {b.home for b in found if b.path in passed and b.main == best}
+    articles = {b.article for b in found if b.path in passed and b.article}
+    kept = (b for b in found if b.path not in listed and (b.path in passed or b.home in homes or b.article in articles))
+    return "\n".join(b.text for b in kept)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
