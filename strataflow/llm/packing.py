@@ -2,10 +2,11 @@
 
 A configuration is a multiset of lengths that fits one row. The covering program over the length
 histogram (at most ``capacity`` lengths, whatever the number of documents) is solved by multiplicative
-weights: lengths that are covered least weigh most, and a knapsack over the weights prices the next
-configuration. The fractional counts are rounded within what is left of each length, and the rest is
-placed by best fit. Only the histogram and the configurations reach the driver; pieces find their row
-and place by their number among the pieces of the same length.
+weights: a length whose covered share lags behind gains weight, one ahead of the others loses some, and
+a knapsack over the weights prices the next configurations. Every priced round covers a share of what
+is left, in whole rows and within a share of each length, so rounds grow with the logarithm of the
+counts. The last few pieces are placed by best fit. Only the histogram and the configurations reach the
+driver; pieces find their row and place by their number among the pieces of the same length.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ from strataflow.session import materialise
 from .tokens import END_ID, encoder
 
 CAPACITY = 1024
-ROUNDS = 200
-#: Share of a fractional count that is used at once; fuller rows than FULL of the capacity only.
-KEEP, FULL = 0.9, 0.995
-#: With so many pieces left, best fit ends the work.
-SINGLES = 200_000
+#: Share of the tokens left that one pricing covers, and of each length's pieces that it may use.
+COVER, USE = 0.125, 0.25
+#: How fast a length's weight follows its lag; how much more a token of a long piece is worth at first.
+RATE, LONG = 0.3, 1.0
+#: Rows worth less than this share of the first at the same prices wait for the next pricing.
+CLOSE = 0.95
+#: Best fit places the last pieces: this share of all, and no more than so many per length.
+LAST, LAST_PER_LENGTH = 0.05, 4
 #: Pieces of one length are numbered in so many groups, since one length may hold most of them.
 SALTS = 512
 
@@ -65,46 +69,85 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
 
 def knapsack(worth: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts per length of the most valuable row: unbounded knapsack by dynamic programming over the room used."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    """Per room the worth of the most valuable content: unbounded knapsack by dynamic programming."""
+    best = np.zeros(capacity + 1)
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
+        k = upto[room]
+        best[room] = max(best[room - 1], (worth[:k] + best[room - lengths[:k]]).max()) if k else best[room - 1]
+    return best
+
+
+def configuration(best: np.ndarray, worth: np.ndarray, lengths: np.ndarray, capacity: int, able: np.ndarray) -> tuple[dict[int, int], float]:
+    """A row read from the knapsack's table, with at most ``able`` pieces of each length, long ones first; and its worth.
+
+    Where lengths are used up, the table promises more than there is: the last pieces then give way to two that fill the row.
+    """
+    row: list[int] = []
+    room, free = capacity, able.copy()
+    usable = np.where(able > 0, worth, -np.inf)
+    while room:
         k = int(np.searchsorted(lengths, room, side="right"))
-        best[room] = best[room - 1]
-        if k:
-            gains = worth[:k] + best[room - lengths[:k]]
-            j = int(gains.argmax())
-            if gains[j] > best[room]:
-                best[room], took[room] = gains[j], j
-    counts, room = np.zeros(len(lengths), dtype=np.int64), capacity
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-        else:
-            counts[took[room]] += 1
-            room -= int(lengths[took[room]])
-    return counts
-
-
-def fractional(lengths: np.ndarray, wanted: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 6.0) -> dict[tuple[int, ...], float]:
-    """Configurations and how often each is used, by multiplicative weights on the covered share of each length."""
-    covered, used = np.zeros(len(lengths)), {}
-    size = float((lengths * wanted).sum()) / capacity
-    for _ in range(rounds):
-        share = covered / wanted
-        weight = np.exp(-rate * (share - share.min()))
-        weight[share >= 1.0] *= 1e-3
-        counts = knapsack(weight * lengths / wanted.clip(1) ** 0.25, lengths, capacity)
-        counts = np.minimum(counts, wanted)
-        held = counts > 0
-        if not held.any():
+        if not k:
+            break
+        gains = usable[:k] + best[room - lengths[:k]]
+        j = k - 1 - int(gains[::-1].argmax())
+        if gains[j] == -np.inf:
+            break
+        row.append(j)
+        free[j] -= 1
+        if not free[j]:
+            usable[j] = -np.inf
+        room -= int(lengths[j])
+    index = np.full(capacity + 1, -1)
+    for gone in range(1, min(3, len(row)) + 1) if room else ():
+        j = row[-gone]
+        free[j] += 1
+        room += int(lengths[j])
+        index[:] = -1
+        index[lengths[free > 0]] = np.flatnonzero(free > 0)
+        if index[room] >= 0:
+            row = [*row[:-gone], int(index[room])]
             break
-        step = min(float((wanted[held] / counts[held]).min()), max(1.0, 4.0 * size / rounds))
-        key = tuple(counts.tolist())
-        used[key] = used.get(key, 0.0) + step
-        covered += step * counts
-        if (covered >= wanted).all():
+        longer = np.arange(room - 1, room // 2, -1)
+        pairs = longer[(index[longer] >= 0) & (index[room - longer] >= 0)]
+        if len(pairs):
+            row = [*row[:-gone], int(index[pairs[0]]), int(index[room - pairs[0]])]
             break
-    return used
+    counts: dict[int, int] = {}
+    for j in row:
+        counts[j] = counts.get(j, 0) + 1
+    return counts, float(worth[row].sum())
+
+
+def covered(lengths: np.ndarray, wanted: np.ndarray, capacity: int) -> tuple[dict[tuple[tuple[int, int], ...], int], np.ndarray]:
+    """Configurations (length index, count) with their numbers of rows, and the pieces that best fit is to place."""
+    used: dict[tuple[tuple[int, int], ...], int] = {}
+    left = wanted.copy()
+    weight = lengths * (1.0 + LONG * lengths / capacity)
+    last = min(LAST * float(wanted.sum()), LAST_PER_LENGTH * len(lengths))
+    while left.sum() > last:
+        worth = np.where(left > 0, weight, 0.0)
+        best = knapsack(worth, lengths, capacity)
+        able, before = np.maximum(np.ceil(left * USE).astype(np.int64), np.minimum(left, capacity // lengths)), left.copy()
+        due = COVER * float((left * lengths).sum())
+        first = 0.0
+        while due > 0 and left.sum() > last:
+            counts, value = configuration(best, worth, lengths, capacity, able)
+            if not counts or value < CLOSE * first:
+                break
+            first = first or value
+            at, held = np.fromiter(counts, dtype=np.int64), np.fromiter(counts.values(), dtype=np.int64)
+            times = int((able[at] // held).min())
+            able[at] -= times * held
+            left[at] -= times * held
+            due -= times * float((held * lengths[at]).sum())
+            key = tuple(sorted(counts.items()))
+            used[key] = used.get(key, 0) + times
+        share = 1.0 - left / before.clip(1)  # of what this round found
+        mean = 1.0 - float((left * lengths).sum()) / float((before * lengths).sum())
+        weight = weight * np.exp(np.where(before > 0, RATE * (mean - share), 0.0))
+    return used, left
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[list[int]]:
@@ -142,46 +185,16 @@ class Plan:
     rows: int
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
-    """Rows for every piece of a length histogram. Its work depends on the capacity, not on the counts."""
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Rows for every piece of a length histogram. Its work grows with the capacity and the logarithm of the counts."""
     lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), dtype=np.int64)
     wanted = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
-    used: list[tuple[np.ndarray, int]] = []
-    left = wanted.copy()
-    # Each solution is used up to KEEP of its counts; what is left is a new, smaller histogram. Once single
-    # pieces are few (or nothing could be rounded), best fit places the rest.
-    while left.any():
-        last, before = int(left.sum()) <= SINGLES, left.copy()
-        some = np.flatnonzero(left)
-        found = fractional(lengths[some], left[some], capacity, rounds)
-        filled = lambda c: int((np.array(c) * lengths[some]).sum())
-        for config, x in sorted(found.items(), key=lambda cx: (-filled(cx[0]), -cx[1], cx[0])):
-            counts = np.zeros(len(lengths), dtype=np.int64)
-            counts[some] = config
-            held = counts > 0
-            times = min(int(x * KEEP), int((left[held] // counts[held]).min()))
-            if times and filled(config) >= FULL * capacity:
-                used.append((counts, times))
-                left = left - times * counts
-        if last:
-            break
-        if left.sum() > 0.7 * before.sum():  # lengths that fill no row: whole multiples of the bulkiest, with what fits beside them
-            while left.sum() > 0.7 * before.sum():
-                j = int((left * lengths).argmax())
-                counts, room = np.zeros(len(lengths), dtype=np.int64), capacity
-                for i in [j, *range(len(lengths) - 1, -1, -1)]:
-                    take = min(room // int(lengths[i]), int(left[i] - counts[i] + 1) // 2)
-                    counts[i] += take
-                    room -= take * int(lengths[i])
-                held = counts > 0
-                times = max(1, int((left[held] // counts[held]).min()))
-                used.append((counts, times))
-                left = left - times * counts
+    used, left = covered(lengths, wanted, capacity)
     singles: dict[tuple[int, ...], int] = {}
     for row in best_fit(lengths, left, capacity):
         singles[tuple(row)] = singles.get(tuple(row), 0) + 1
     slots, at = [], 0
-    for order, times in [*(([j for j in range(len(lengths)) for _ in range(int(c[j]))], t) for c, t in used), *((list(r), t) for r, t in singles.items())]:
+    for order, times in [*(([j for j, n in c for _ in range(n)], t) for c, t in used.items()), *((list(r), t) for r, t in singles.items())]:
         offset = 0
         for j in order:
             slots.append((int(lengths[j]), at, offset, times))
@@ -213,7 +226,7 @@ def _place(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
     return place
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, rounds: int = ROUNDS) -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts are empty documents of one id. Repeated rows are documents of their own. An empty
@@ -227,7 +240,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     for size, group, n in sorted((r["length"], r["salt"], r["n"]) for r in counts):
         bases.append((size, group, histogram.get(size, 0)))
         histogram[size] = histogram.get(size, 0) + n
-    plan = solve(histogram, capacity, rounds)
+    plan = solve(histogram, capacity)
     spark = docs.sparkSession
     base = spark.createDataFrame(bases, "length long, salt int, base long")
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "row", "start", "piece")

@@ -147,7 +147,7 @@ def test_packing(spark, odd):
     rng = np.random.default_rng(2)
     histogram = dict(collections.Counter(rng.integers(1, 1025, 3000).tolist()))
     bound = -(-sum(k * n for k, n in histogram.items()) // 1024)
-    assert packing.solve(histogram, rounds=60).rows <= 1.02 * bound + 1
+    assert packing.solve(histogram).rows <= 1.02 * bound + 1
 
 
 def test_token_store(spark, odd):
