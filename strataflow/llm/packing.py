@@ -28,9 +28,9 @@ CAPACITY = 1024
 #: Share of the tokens left that one pricing covers, and of each length's pieces that it may use.
 COVER, USE = 0.125, 0.25
 #: How fast a length's weight follows its lag; how much more a token of a long piece is worth at first.
-RATE, LONG = 0.3, 1.0
+RATE, LONG = 0.1, 3.0
 #: Rows worth less than this share of the first at the same prices wait for the next pricing.
-CLOSE = 0.95
+CLOSE = 0.97
 #: Best fit places the last pieces: this share of all, and no more than so many per length.
 LAST, LAST_PER_LENGTH = 0.05, 4
 #: Pieces of one length are numbered in so many groups, since one length may hold most of them.
