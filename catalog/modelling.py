@@ -145,11 +145,67 @@ def h07_full(spark, sf):
 @query("h08_fitted_ensemble")
 def h08(spark, sf):
     df = priced(spark, sf)
-    members = {"pcr": pressure.fit_pcr(df, _X, _Y, 3), "pls": pressure.fit_pls(df, _X, _Y, 2), "tree": supervised.fit_regressor(df, _X, _Y, "decision_tree")}
-    for name, model in members.items():
-        df = model.transform(df, output=name)
-    names = {m: m for m in members}
-    return ensemble.weighted_mean(df, names, ensemble.inverse_error_weights(df, _Y, names)).select("l_orderkey", "l_linenumber", *names, "prediction")
+    members = {
+        "pcr": lambda t: pressure.fit_pcr(t, _X, _Y, 3), "pls": lambda t: pressure.fit_pls(t, _X, _Y, 2),
+        "tree": lambda t: supervised.fit_regressor(t, _X, _Y, "decision_tree"),
+    }
+    fitted = ensemble.fit_weighted(df, members, _Y, ["l_orderkey", "l_linenumber"])
+    return fitted.transform(df).select("l_orderkey", "l_linenumber", *members, "prediction")
+
+
+_FOLDED = """
+WITH d AS (SELECT l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS a, l_tax::DOUBLE AS b,
+  (('0x' || substr(md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), 1, 13))::BIGINT % 5) AS fold FROM lineitem),
+f AS (SELECT g.i AS fold, regr_slope(y, a) AS sa, regr_intercept(y, a) AS ia, regr_slope(y, b) AS sb, regr_intercept(y, b) AS ib
+  FROM d JOIN range(5) g(i) ON d.fold <> g.i GROUP BY g.i),
+e AS (SELECT d.fold, y, ia + sa * a AS quantity, ib + sb * b AS tax FROM d JOIN f USING (fold))"""
+
+
+def _folded(spark, sf):
+    """Two one-input regressions, whose fits have a closed form in each fold."""
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_tax", _Y)])
+    fitters = {"quantity": lambda t: pressure.fit_pls(t, ["l_quantity"], _Y, 1), "tax": lambda t: pressure.fit_pls(t, ["l_tax"], _Y, 1)}
+    return df, fitters, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("h08_out_of_fold_weights", sql=f"""{_FOLDED},
+w AS (SELECT 1 / (avg(abs(y - quantity)) + 1e-8) AS q, 1 / (avg(abs(y - tax)) + 1e-8) AS t FROM e)
+SELECT 'quantity' AS model, {r('q / (q + t)', 6)} AS weight FROM w UNION ALL SELECT 'tax', {r('t / (q + t)', 6)} FROM w""")
+def h08_weights(spark, sf):
+    df, fitters, keys = _folded(spark, sf)
+    weights = ensemble.fit_weighted(df, fitters, _Y, keys).weights
+    cells = [F.struct(F.lit(m).alias("model"), F.lit(round(w, 6)).alias("weight")) for m, w in weights.items()]
+    return spark.range(1).select(F.inline(F.array(*cells)))
+
+
+@query("h20_compare_by_folds", sql=f"""{_FOLDED},
+s AS (SELECT fold, sqrt(avg((y - quantity) * (y - quantity))) AS quantity, sqrt(avg((y - tax) * (y - tax))) AS tax FROM e GROUP BY fold),
+u AS (UNPIVOT s ON quantity, tax INTO NAME model VALUE v)
+SELECT model, {r('avg(v)', 4)} AS mean_score, {r('stddev_pop(v)', 4)} AS std_score, {r('min(v)', 4)} AS min_score, {r('max(v)', 4)} AS max_score FROM u GROUP BY model""")
+def h20_folds(spark, sf):
+    df, fitters, keys = _folded(spark, sf)
+    return rounded(evaluate.compare_by_folds(df, fitters, _Y, keys), 4)
+
+
+@query("h20_compare_classifiers")
+def h20_classifiers(spark, sf):
+    df = flagged(spark, sf).withColumn("_row", F.concat_ws("|", "l_orderkey", *_K))
+    fitters = {
+        "logistic": lambda t: supervised.fit_classifier(t, _K[:3], "Kick", "logistic"),
+        "decision_tree": lambda t: supervised.fit_classifier(t, _K[:3], "Kick", "decision_tree"),
+        "pca": lambda t: anomaly.fit_pca_detector(t, _K, "Kick"),
+    }
+    return evaluate.compare_by_folds(df, fitters, "Kick", ["_row"], metric="f1")
+
+
+@query("h19_search_pcr", sql=f"""{_FOLDED},
+s AS (SELECT fold, sqrt(avg((y - quantity) * (y - quantity))) AS quantity, sqrt(avg((y - tax) * (y - tax))) AS tax FROM e GROUP BY fold)
+SELECT 0 AS trial, 'feature=l_quantity' AS parameters, 2 AS folds, {r('avg(quantity)', 4)} AS rmse FROM s WHERE fold < 2
+UNION ALL SELECT 1, 'feature=l_tax', 1, {r('avg(tax)', 4)} FROM s WHERE fold < 1""")
+def h19_trials(spark, sf):
+    df, _, keys = _folded(spark, sf)
+    fitter = lambda t, feature: pressure.fit_pcr(t, [feature], _Y, 1)
+    return rounded(evaluate.search_trials(df, fitter, [{"feature": "l_quantity"}, {"feature": "l_tax"}], _Y, keys)[1], 4)
 
 
 _SPE = """

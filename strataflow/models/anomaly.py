@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -287,18 +287,37 @@ class OneClassMargin:
         return OneClassMargin(**_load(path, spark))
 
 
+def _tree_sums(data: DataFrame, features: Sequence[str], part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all rows of an array that ``part`` makes of a batch: added up in the tasks, then by position."""
+
+    def summed(frames):
+        total = None
+        for frame in frames:
+            if len(frame):
+                own = part(frame[list(features)].to_numpy(float))
+                total = own if total is None else total + own
+        if total is not None:
+            yield pd.DataFrame({"g": [total.tolist()]})
+
+    rows = data.mapInPandas(summed, "g array<double>").select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("s")).collect()
+    return np.array([r["s"] for r in sorted(rows, key=lambda r: r["pos"])])
+
+
 def fit_one_class(
     df: DataFrame, features: Sequence[str], label: str | None = None, nu: float = 0.1, dimensions: int = 64,
-    gamma: float | None = None, rounds: int = 12, seed: int = 42,
+    gamma: float | None = None, rounds: int = 100, seed: int = 42, tolerance: float = 1e-6, smoothing: float = 0.01,
 ) -> OneClassMargin:
-    """Sub-gradient descent on the one-class objective.
+    """Newton's method on the one-class objective with a smoothed hinge, until the decrement is below ``tolerance``.
 
-    Every round sums the gradient inside the partitions and returns one row per
-    feature dimension; the training rows are kept cached between rounds.
+    The objective is |w|²/2 - r + mean(hinge(r - w·x)) / nu; smoothing the hinge over a width changes it by less than
+    that width / 2nu. Every round sums gradient, curvature and objective inside the partitions (a bounded array a task);
+    a round that made the objective worse halves its step. ``rounds`` only ends a search that does not converge.
     """
     features = list(features)
     data = _normal_rows(df, features, label)
     scaling: FittedScale = fit_scale(data, "standard", features)
+    if any(f not in scaling.parameters for f in features):
+        raise ValueError("no complete rows to fit on")
     centre = [float(scaling.parameters[f][0]) for f in features]
     width = [float(scaling.parameters[f][1]) or 1.0 for f in features]
     rng = np.random.default_rng(seed)
@@ -311,37 +330,44 @@ def fit_one_class(
     data = at_least_parallel(data).persist()
     try:
         fourier = model._map
-        weights, offset = np.zeros(dimensions), 0.0
-        for step in range(rounds):
-            w, rho = weights.copy(), offset
-
-            def partial(frames):
-                total, count, rows = np.zeros(dimensions), 0, 0
-                for pdf in frames:
-                    phi = fourier(pdf[features].to_numpy(float))
-                    inside = (phi @ w < rho) if step else np.ones(len(phi), dtype=bool)
-                    total += phi[inside].sum(axis=0)
-                    count += int(inside.sum())
-                    rows += len(phi)
-                yield pd.DataFrame({"g": [[*total.tolist(), float(count), float(rows)]]})
-
-            sums = (
-                data.mapInPandas(partial, "g array<double>").select(F.posexplode("g"))
-                .groupBy("pos").agg(F.sum("col").alias("s")).collect()
-            )
-            got = {r["pos"]: r["s"] for r in sums}
-            if not got.get(dimensions + 1):
-                raise ValueError("no complete rows to fit on")
-            gradient = np.array([got[i] for i in range(dimensions)])
-            count, n = got[dimensions], got[dimensions + 1]
-            if step == 0:
-                weights = gradient / n
-                offset = float(weights @ weights)
+        size = dimensions + 1
+        total = _tree_sums(data, features, lambda x: np.append(fourier(x).sum(axis=0), float(len(x))))
+        n = float(total[-1]) if len(total) else 0.0
+        if not n:
+            raise ValueError("no complete rows to fit on")
+        mean = total[:-1] / n
+        point = np.append(mean, float(mean @ mean))  # weights, then the offset
+        best, best_point, step, decrement = math.inf, point, None, math.inf
+        for _ in range(rounds):
+            at = point.copy()
+
+            def part(x: np.ndarray) -> np.ndarray:
+                rows = np.column_stack([-fourier(x), np.ones(len(x))])
+                short = rows @ at
+                slope = np.clip(short / smoothing, 0.0, 1.0)
+                bent = rows[(short > 0) & (short < smoothing)]
+                loss = np.where(short >= smoothing, short - smoothing / 2, slope * short / 2).sum()
+                return np.concatenate([[loss], slope @ rows, (bent.T @ bent).ravel()])
+
+            got = _tree_sums(data, features, part) / (nu * n)
+            value = float(at[:-1] @ at[:-1]) / 2 - float(at[-1]) + float(got[0])
+            if step is not None and value > best - 1e-4 * decrement:
+                step = step / 2
+                if float(np.abs(step).max()) < 1e-12:
+                    break
+                point = best_point + step
+                decrement /= 2
                 continue
-            rate = 1.0 / (step + 1)
-            weights = (1 - rate) * weights + rate * gradient / (nu * n)
-            offset = offset + rate * (1.0 - count / (nu * n)) * float(np.linalg.norm(weights)) * 0.1
-        model.weights = [float(v) for v in weights]
+            best, best_point = value, at
+            gradient = np.append(at[:-1], -1.0) + got[1:size + 1]
+            curve = np.diag(np.append(np.ones(dimensions), 1e-6)) + got[size + 1:].reshape(size, size) / smoothing
+            step = -np.linalg.solve(curve, gradient)
+            step *= min(1.0, 1.0 / float(np.linalg.norm(step)))
+            decrement = float(-gradient @ step)
+            if decrement < tolerance * max(1.0, abs(value)):
+                break
+            point = at + step
+        model.weights = [float(v) for v in best_point[:-1]]
         model.threshold = _score_quantile(model, data, 1 - nu)
     finally:
         data.unpersist()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -24,6 +25,30 @@ def inverse_error_weights(df: DataFrame, label: str, predictions: Mapping[str, s
     return {m: w / total if total else 0.0 for m, w in raw.items()}
 
 
+@dataclass
+class WeightedEnsemble:
+    """Fitted members and their weights; ``transform`` adds a column per member and the weighted mean."""
+
+    members: dict[str, object]
+    weights: dict[str, float]
+
+    def transform(self, df: DataFrame, output: str = "prediction") -> DataFrame:
+        for name, model in self.members.items():
+            df = model.transform(df, output=name)
+        return weighted_mean(df, {m: m for m in self.members}, self.weights, output)
+
+
+def fit_weighted(
+    df: DataFrame, fitters: Mapping[str, Callable[[DataFrame], object]], target: str, keys: Sequence[str], folds: int = 5
+) -> WeightedEnsemble:
+    """Members fitted on all rows, weighed by their error on rows that they had not seen (out-of-fold)."""
+    from .evaluate import out_of_fold
+
+    scored = out_of_fold(df, fitters, keys, folds, "_fold")
+    weights = inverse_error_weights(scored, target, {m: m for m in fitters})
+    return WeightedEnsemble({m: fitter(df) for m, fitter in fitters.items()}, weights)
+
+
 def _weights(members: Mapping[str, str], weights: Mapping[str, float] | None) -> dict[str, float]:
     chosen = {m: 1.0 for m in members} if weights is None else {m: weights.get(m, 0.0) for m in members}
     total = sum(chosen.values())

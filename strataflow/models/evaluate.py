@@ -158,6 +158,8 @@ def random_search(
     data = assemble(df.select(*features, F.col(target).cast("double").alias(target)), features)
     estimator = supervised._regressor(kind, target, data, {})
     draws = list(draws if draws is not None else sample_parameters(kind, trials))
+    if not draws:
+        raise ValueError("no parameters to try")
     maps = [{estimator.getParam(n): v for n, v in d.items()} for d in draws]
     found = TrainValidationSplit(
         estimator=estimator, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=target, metricName=metric),
@@ -191,6 +193,105 @@ def cross_validate(
     return literal_table(df.sparkSession, rows, "model string, mean_score double, std_score double, min_score double, max_score double")
 
 
+# ---- any kind of model: out-of-fold predictions, comparison, trials -----------------
+
+
+def fold_column(keys: Sequence[str], folds: int):
+    """The fold of a row, drawn from its keys."""
+    return F.pmod(hash_number(*keys), F.lit(folds)).cast("int")
+
+
+def out_of_fold(df: DataFrame, fitters: Mapping[str, Fit], keys: Sequence[str], folds: int = 5, name: str = "fold") -> DataFrame:
+    """All rows with their fold and a column per model, predicted by a fit on the other folds alone.
+
+    Works for whatever ``fitter(train)`` returns that has ``transform(df, output=...)``: regressors, classifiers,
+    detectors, models of the user's own. Rows are stored once, each is scored once per model.
+    """
+    kept = materialise(df.withColumn(name, fold_column(keys, folds)))
+    parts = None
+    for i in range(folds):
+        train, part = kept.where(F.col(name) != i).drop(name), kept.where(F.col(name) == i)
+        for model, fitter in fitters.items():
+            part = fitter(train).transform(part, output=model)
+        part = part.select(*kept.columns, *[F.col(m).cast("double").alias(m) for m in fitters])
+        parts = part if parts is None else parts.unionByName(part)
+    return materialise(parts)
+
+
+def _score(metric: str, target: str, prediction: str):
+    """A metric as an aggregate; classes are 0 and 1."""
+    y, p = F.col(target).cast("double"), F.col(prediction).cast("double")
+    hit, seen, true = F.count_if((y == 1) & (p == 1)), F.count_if(p == 1), F.count_if(y == 1)
+    known = {
+        "rmse": lambda: F.sqrt(mse(y, p)), "mse": lambda: mse(y, p), "mae": lambda: F.avg(F.abs(y - p)), "r2": lambda: r2(y, p),
+        "accuracy": lambda: F.avg((y == p).cast("double")),
+        "precision": lambda: F.coalesce(F.try_divide(hit, seen), F.lit(0.0)), "recall": lambda: F.coalesce(F.try_divide(hit, true), F.lit(0.0)),
+        "f1": lambda: F.coalesce(F.try_divide(2 * hit, seen + true), F.lit(0.0)),
+    }
+    if metric not in known:
+        raise ValueError(f"unknown metric {metric}")
+    return known[metric]().cast("double")
+
+
+def compare_by_folds(
+    df: DataFrame, fitters: Mapping[str, Fit], target: str, keys: Sequence[str], folds: int = 5, metric: str = "rmse",
+) -> DataFrame:
+    """Mean, deviation and range of the fold scores of models of any kind: one scored table, one aggregation."""
+    scored = out_of_fold(df, fitters, keys, folds, "_fold")
+    rows = scored.groupBy("_fold").agg(*[_score(metric, target, m).alias(m) for m in fitters]).collect()  # one row per fold
+    out = []
+    for m in fitters:
+        got = [r[m] for r in rows if r[m] is not None]
+        if got:
+            out.append((m, float(np.mean(got)), float(np.std(got)), float(min(got)), float(max(got))))
+    out.sort(key=lambda t: t[1] if metric in ("rmse", "mse", "mae") else -t[1])
+    return literal_table(df.sparkSession, out, "model string, mean_score double, std_score double, min_score double, max_score double")
+
+
+def search_trials(
+    df: DataFrame, fitter: Callable[..., object], draws: Sequence[Mapping], target: str, keys: Sequence[str], metric: str = "rmse",
+    folds: int = 5, keep: float = 0.5,
+) -> tuple[object, DataFrame]:
+    """(best model on all rows, history) over parameters of any kind of model, by successive halving on folds.
+
+    A trial is ``fitter(train, **draw)``. After each fold the best ``keep`` share of the trials, by mean score so far,
+    goes on to the next; the last one standing needs no further folds. History: trial, parameters, folds, score.
+    """
+    if not draws:
+        raise ValueError("no parameters to try")
+    kept = materialise(df.withColumn("_fold", fold_column(keys, folds)))
+    alive, scores = list(range(len(draws))), [[] for _ in draws]
+    sign = 1 if metric in ("rmse", "mse", "mae") else -1
+    mean = lambda i: sign * float(np.mean(scores[i])) if scores[i] else float("inf")
+    for i in range(folds):
+        train, part = kept.where(F.col("_fold") != i).drop("_fold"), kept.where(F.col("_fold") == i)
+        for t in alive:
+            part = fitter(train, **draws[t]).transform(part, output=f"_trial{t}")
+        got = gather(part, {str(t): _score(metric, target, f"_trial{t}") for t in alive})
+        for t in alive:
+            if got[str(t)] is not None:
+                scores[t].append(float(got[str(t)]))
+        if len(alive) == 1:
+            break
+        alive = sorted(alive, key=lambda t: (mean(t), t))[: max(1, int(np.ceil(len(alive) * keep)))]
+    best = min(alive, key=lambda t: (mean(t), t))
+    rows = [
+        (t, ", ".join(f"{k}={v}" for k, v in sorted(draws[t].items())), len(scores[t]), float(np.mean(scores[t])) if scores[t] else None)
+        for t in range(len(draws))
+    ]
+    model = fitter(df, **draws[best])
+    return model, literal_table(df.sparkSession, rows, f"trial int, parameters string, folds int, {metric} double")
+
+
+def search_model(
+    df: DataFrame, task: str, name: str, features: Sequence[str], target: str, keys: Sequence[str], trials: int = 10,
+    draws: Sequence[Mapping] | None = None, **how,
+) -> tuple[object, DataFrame]:
+    """``search_trials`` for a registered model of either task, with draws from its range unless given."""
+    draws = list(draws if draws is not None else sample_parameters(name, trials))
+    return search_trials(df, lambda train, **p: fit(task, name, train, features, target, **p), draws, target, keys, **how)
+
+
 def time_series_scores(df: DataFrame, series: SeriesLike, target: str, fitter: Fit, k: int = 5) -> DataFrame:
     """r2 and rmse on each expanding fold."""
     from ..operators.split import expanding_folds, fold_parts
