@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..channels import drop_nonfinite, numeric_columns, text_columns
 from ..quantiles import quantiles
+from ..session import materialise
 from ..stats import gather, moments, most_frequent
+from .donors import DonorTree
 
 
 @dataclass(frozen=True)
@@ -72,186 +71,66 @@ def fill_from_training(train: DataFrame, *others: DataFrame, columns: Sequence[s
     return [fitted.apply(part) for part in (train, *others)]
 
 
-# ---------------------------------------------------------------------------------
-# k nearest donors
-#
-# Donor space is cut into cells by quantiles of each gap column (a missing coordinate
-# is a cell of its own).  Cell sizes and bounding boxes form a table of bounded size.
-# For a receiver, adding up donors of cells in order of their farthest corner gives a
-# radius that surely holds k donors; only cells whose nearest corner lies within that
-# radius can contribute.  Receivers meet those cells' donors block by block, each block
-# keeps its k best, and the blocks are merged by a second top-k.
-# ---------------------------------------------------------------------------------
-
-CELL_BUDGET = 4096
+#: Different donors in a box of the tree, and receivers that meet a box in one group.
 ROWS_PER_CELL = 2_000
 BLOCK_ROWS = 20_000
 
 
 @dataclass(frozen=True)
 class KnnFill:
-    """Donor rows plus the cell table; ``apply`` fills gaps of new rows."""
+    """Donors in a tree of boxes; ``apply`` fills gaps of new rows."""
 
-    donors: DataFrame
+    tree: DonorTree | None
     columns: tuple[str, ...]
     k: int
     means: dict[str, float]
-    cells: pd.DataFrame
-    cuts: dict[str, list[float]]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return _knn_apply(self, df)
-
-
-def _cell_columns(cuts: dict[str, list[float]]):
-    parts = []
-    for c, edges in cuts.items():
-        place = F.lit(0)
-        for e in edges:
-            place = place + (F.col(c) > e).cast("int")
-        parts.append(F.when(F.col(c).isNull(), F.lit(-1)).otherwise(place))
-    return F.concat_ws("_", *[p.cast("string") for p in parts])
-
-
-def fit_knn(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5, cell_budget: int = CELL_BUDGET) -> KnnFill:
+        """Complete rows pass unshuffled; NaN and infinities are no neighbours and stay as they are."""
+        columns = list(self.columns)
+        if not columns or self.tree is None:
+            return df
+        gap = F.lit(False)
+        for c in columns:
+            gap = gap | F.col(c).isNull()
+        rows = df.withColumns({c: F.col(c).cast("double") for c in columns})
+        # equal receivers get equal answers, so each different row with gaps is solved once
+        own = rows.where(gap).select(*columns).distinct()
+        solved = materialise(own.withColumn("_rid", F.monotonically_increasing_id()))
+        finite = drop_nonfinite(solved, columns)
+        asked = finite.select(
+            F.col("_rid").alias("rid"), F.array(*columns).alias("x"),
+            F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(t)) for t, c in enumerate(columns)]))).alias("t"),
+        )
+        found = self.tree.nearest(materialise(asked), self.k, BLOCK_ROWS)
+        ranked = Window.partitionBy("rid", "t").orderBy("dist", "value")
+        upto = F.sum("copies").over(ranked.rowsBetween(Window.unboundedPreceding, 0))
+        used = F.greatest(F.lit(0), F.least(F.col("copies"), F.lit(self.k) - (F.col("upto") - F.col("copies"))))
+        fills = (
+            found.withColumn("upto", upto).withColumn("used", used).where("used > 0")
+            .groupBy("rid", "t").agg((F.sum(F.col("value") * F.col("used")) / F.sum("used")).alias("fill"))
+            .groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("t", "fill"))).alias("fills"))
+        )
+        whole = [f"_of_{i}" for i in range(len(columns))]
+        told = solved.join(fills, F.col("_rid") == F.col("rid"), "left").select(*[F.col(c).alias(w) for c, w in zip(columns, whole)], F.col("fills").alias("_fills"))
+        same = F.lit(True)
+        for c, w in zip(columns, whole):
+            same = same & F.col(c).eqNullSafe(F.col(w))
+        joined = rows.where(gap).join(told, same, "left")
+        final = {}
+        for t, c in enumerate(columns):
+            final[c] = F.coalesce(F.col(c), F.try_element_at("_fills", F.lit(t)), F.lit(self.means[c]).cast("double"))
+        return rows.where(~gap).unionByName(joined.withColumns(final).select(*df.columns))
+
+
+def fit_knn(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> KnnFill:
+    """The donors of ``df`` in a tree; without columns, or without columns that have gaps, nothing is filled."""
     columns = list(columns if columns is not None else columns_with_gaps(df, numeric_columns(df)))
-    donors = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     if not columns:
-        return KnnFill(donors, (), k, {}, pd.DataFrame(), {})
-    budget = min(cell_budget, max(1, donors.count() // ROWS_PER_CELL))
-    per_axis = max(1, int(budget ** (1 / len(columns))))
-    shares = [i / per_axis for i in range(1, per_axis)]
-    cuts: dict[str, list[float]] = {c: [] for c in columns}
-    if shares:
-        for c, found in zip(columns, donors.approxQuantile(columns, shares, 0.5 / per_axis)):
-            cuts[c] = sorted(set(found))
+        return KnnFill(None, (), k, {})
+    donors = drop_nonfinite(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns)
     means = {c: v["mean"] for c, v in moments(donors, columns, {"mean": F.avg}).items()}
-    summary = donors.withColumn("_cell", _cell_columns(cuts)).groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.min(c).alias(f"lo_{c}") for c in columns],
-        *[F.max(c).alias(f"hi_{c}") for c in columns],
-    )
-    return KnnFill(donors, tuple(columns), k, means, summary.toPandas(), cuts)
-
-
-def _candidate_cells(fit: KnnFill):
-    columns, k, cells = fit.columns, fit.k, fit.cells
-    low = cells[[f"lo_{c}" for c in columns]].to_numpy(float)
-    high = cells[[f"hi_{c}" for c in columns]].to_numpy(float)
-    count = cells["_n"].to_numpy()
-    names = cells["_cell"].to_numpy()
-    width = len(columns)
-
-    def search(frames):
-        for pdf in frames:
-            out_row, out_cell, out_target = [], [], []
-            values = pdf[list(columns)].to_numpy(float)
-            for r, x in zip(pdf["_rid"].to_numpy(), values):
-                known = ~np.isnan(x)
-                shared = known & ~np.isnan(low)
-                n_shared = shared.sum(axis=1)
-                gap = np.where(shared, np.maximum(np.maximum(low - x, x - high), 0.0), 0.0)
-                far = np.where(shared, np.maximum(np.abs(x - low), np.abs(x - high)), 0.0)
-                scale = width / np.maximum(n_shared, 1)
-                near_d = (gap**2).sum(axis=1) * scale
-                far_d = (far**2).sum(axis=1) * scale
-                for t in np.flatnonzero(~known):
-                    usable = ~np.isnan(low[:, t]) & (n_shared > 0)
-                    if not usable.any():
-                        continue
-                    order = np.argsort(far_d[usable], kind="stable")
-                    reach = np.cumsum(count[usable][order])
-                    at = min(int(np.searchsorted(reach, k)), len(order) - 1)
-                    radius = far_d[usable][order][at]
-                    for cell in names[usable & (near_d <= radius * (1 + 1e-12))]:
-                        out_row.append(r)
-                        out_cell.append(cell)
-                        out_target.append(int(t))
-            yield pd.DataFrame({"_rid": out_row, "_cell": out_cell, "_target": out_target}).astype(
-                {"_rid": "int64", "_cell": "object", "_target": "int32"}
-            )
-
-    return search
-
-
-def _parts(sizes: dict[str, int]):
-    """Number of blocks a cell is cut into, as an expression of ``_cell``."""
-    cut = {c: -(-n // BLOCK_ROWS) for c, n in sizes.items() if n > BLOCK_ROWS}
-    if not cut:
-        return F.lit(1)
-    table = F.create_map(*itertools.chain.from_iterable((F.lit(c), F.lit(b)) for c, b in cut.items()))
-    return F.coalesce(F.try_element_at(table, F.col("_cell")), F.lit(1))
-
-
-def _knn_apply(fit: KnnFill, df: DataFrame) -> DataFrame:
-    columns = list(fit.columns)
-    if not columns:
-        return df
-    incomplete = F.lit(False)
-    for c in columns:
-        incomplete = incomplete | F.col(c).isNull()
-    # equal receivers get equal answers, so each distinct gap pattern is solved once
-    rows = df.withColumns({c: F.col(c).cast("double") for c in columns})
-    rid = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
-    receivers = rows.where(incomplete).select(*columns).distinct().withColumn("_rid", rid)
-    wanted = receivers.mapInPandas(_candidate_cells(fit), "_rid long, _cell string, _target int")
-    # donor blocks: equal donors are counted, big cells are split by a hash of the values
-    counted = fit.donors.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", _cell_columns(fit.cuts))
-    per_cell = {c: int(n) for c, n in zip(fit.cells["_cell"], fit.cells["_n"])}
-    split = _parts(per_cell)
-    counted = counted.withColumn("_block", F.pmod(F.xxhash64(*columns), split).cast("int"))
-    slices = F.lit(1)
-    if receivers.count() > BLOCK_ROWS:
-        # at most one row per cell
-        slices = _parts({r[0]: r[1] for r in wanted.groupBy("_cell").count().collect()})
-    asked = (
-        wanted.join(receivers, "_rid")
-        .withColumn("_slice", F.pmod(F.col("_rid"), slices).cast("int"))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), split.cast("int") - 1)))
-    )
-    # the donors of a block travel once per receiver slice that really asks for the cell
-    slices = asked.select("_cell", "_block", "_slice").distinct()
-    offered = counted.join(slices, ["_cell", "_block"])
-    k, width = fit.k, len(columns)
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        donors = right[columns].to_numpy(float)
-        weight = right["_n"].to_numpy()
-        for r, t, x in zip(left["_rid"], left["_target"], left[columns].to_numpy(float)):
-            shared = ~np.isnan(donors) & ~np.isnan(x)
-            n = shared.sum(axis=1)
-            ok = np.flatnonzero((n > 0) & ~np.isnan(donors[:, t]))
-            if not len(ok):
-                continue
-            diff = np.where(shared[ok], donors[ok] - x, 0.0)
-            dist = (diff**2).sum(axis=1) * width / n[ok]
-            # ties in distance are ordered by value so that block cuts do not matter
-            best = np.lexsort((donors[ok, t], dist))[:k]
-            for b in best:
-                out.append((r, t, dist[b], donors[ok[b], t], min(int(weight[ok[b]]), k)))
-        return pd.DataFrame(out, columns=["_rid", "_target", "_dist", "_value", "_copies"])
-
-    offered = offered.toDF(*[f"donor_{c}" if c in ("_cell", "_block", "_slice") else c for c in offered.columns])
-    found = (
-        asked.groupBy("_cell", "_block", "_slice")
-        .cogroup(offered.groupBy("donor__cell", "donor__block", "donor__slice"))
-        .applyInPandas(nearest, "_rid long, _target int, _dist double, _value double, _copies long")
-    )
-    ranked = Window.partitionBy("_rid", "_target").orderBy("_dist", "_value")
-    upto = F.sum("_copies").over(ranked.rowsBetween(Window.unboundedPreceding, 0))
-    used = F.greatest(F.lit(0), F.least(F.col("_copies"), F.lit(k) - (F.col("_upto") - F.col("_copies"))))
-    filled = (
-        found.withColumn("_upto", upto).withColumn("_used", used).where("_used > 0")
-        .groupBy("_rid", "_target").agg((F.sum(F.col("_value") * F.col("_used")) / F.sum("_used")).alias("_fill"))
-        .groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("_target", "_fill"))).alias("_fills"))
-    )
-    joined = rows.withColumn("_rid", F.when(incomplete, rid)).join(filled, "_rid", "left")
-    final = {}
-    for t, c in enumerate(columns):
-        spare = F.lit(fit.means[c]) if fit.means[c] is not None else F.lit(None).cast("double")
-        final[c] = F.coalesce(F.col(c), F.try_element_at(F.col("_fills"), F.lit(t)), spare)
-    return joined.withColumns(final).select(*df.columns)
+    return KnnFill(DonorTree(donors, columns, ROWS_PER_CELL), tuple(columns), k, means)
 
 
 def impute_knn(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:

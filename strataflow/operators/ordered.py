@@ -218,11 +218,19 @@ def calendar_features(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+#: Rows of a series that each task keeps before the shuffle; for more, whole series are numbered.
+LATEST = 1000
+
+
 def latest_rows(df: DataFrame, series: SeriesLike, n: int) -> DataFrame:
-    """The last n rows of each series."""
-    return (
-        number_rows(df, series, "_at", "_of").where(F.col("_at") >= F.col("_of") - n).drop("_at", "_of")
-    )
+    """The last n rows of each series: every task passes on n rows of a series at most, however long it is."""
+    newest = [F.desc(c) for c in series.order]
+    if not series.keys:
+        return df.orderBy(*newest).limit(n)
+    if n > LATEST:
+        return number_rows(df, series, "_at", "_of").where(F.col("_at") >= F.col("_of") - n).drop("_at", "_of")
+    place = F.row_number().over(Window.partitionBy(*series.keys).orderBy(*newest))
+    return df.withColumn("_at", place).where(F.col("_at") <= n).drop("_at")
 
 
 def pit_volume_label(df: DataFrame, series: SeriesLike, column: str, share: float = 0.99, label: str = "Kick") -> DataFrame:

@@ -161,3 +161,14 @@ def test_smoothing_weights_are_the_published_ones():
 def test_one_shuffle_for_the_temporal_bundle(wells):
     plan = ordered.temporal_features(wells, BIG, ["x"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_latest_rows_are_cut_before_the_shuffle(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, F.lit(1)).otherwise(F.col("id") % 50).alias("well"))
+    out = ordered.latest_rows(df, Series("well", "id"), 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.rindex("Exchange") < plan.rindex("WindowGroupLimit")
+    rows = [(r.well, r.id) for r in out.collect()]
+    wells = {w for w, _ in rows}
+    assert all(sorted(i for w, i in rows if w == k) == sorted(i for i in range(5000) if (1 if i % 3 else i % 50) == k)[-4:] for k in wells) and len(wells) == 50
+    assert sorted(r.id for r in ordered.latest_rows(df, Series((), "id"), 3).collect()) == [4997, 4998, 4999]

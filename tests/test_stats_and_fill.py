@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strataflow.operators import impute
+from strataflow.operators import donors, impute
 from strataflow.quantiles import quantiles
 from strataflow.stats import most_frequent
 
@@ -102,3 +102,57 @@ def test_simple_fills(spark):
 def test_fill_with_means_cleans_infinities(spark):
     df = spark.createDataFrame([(1.0,), (float("inf"),), (float("nan"),), (3.0,)], "x double")
     assert [r.x for r in impute.fill_with_means(df).collect()] == [1.0, 2.0, 2.0, 3.0]
+
+
+def test_knn_in_many_columns_goes_down_several_levels(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = rng.normal(0, 1, (900, 2))
+    x = np.hstack([base @ rng.normal(0, 1, (2, 9)) + rng.normal(0, 0.02, (900, 9)), np.zeros((900, 1))])
+    x[500:640] = x[500]  # a hot group of copies
+    x[rng.random(x.shape) < 0.03] = np.nan
+    monkeypatch.setattr(impute, "ROWS_PER_CELL", 40)
+    monkeypatch.setattr(impute, "BLOCK_ROWS", 7)
+    for name, value in {"SAMPLE": 150, "LEAST": 8, "DEALT": 60}.items():
+        monkeypatch.setattr(donors, name, value)
+    names = [f"c{i}" for i in range(x.shape[1])]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=range(len(x))))
+    df = df.select("id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in names])
+    fit = impute.fit_knn(df, names)
+    assert len(fit.tree.levels) >= 3
+    assert fit.tree.members.agg(F.sum("n")).first()[0] == 900
+    got = fit.apply(df).orderBy("id").toPandas()[names].to_numpy()
+    assert np.allclose(got, brute_knn(x, 5))
+
+
+def test_receivers_meet_few_donors_however_many_there_are(spark, monkeypatch):
+    monkeypatch.setattr(impute, "ROWS_PER_CELL", 50)
+    visits = []
+    for n in (1_000, 8_000):
+        rng = np.random.default_rng(3)
+        t = rng.random((n, 2))
+        x = t @ np.ones((2, 15)) + t[:, :1] * np.arange(15) + rng.normal(0, 1e-3, (n, 15))
+        asked = spark.createDataFrame([(i, [float(v) if j else None for j, v in enumerate(x[i * 7])], 0) for i in range(20)], "rid long, x array<double>, t int")
+        names = [f"c{i}" for i in range(15)]
+        tree = donors.DonorTree(spark.createDataFrame(pd.DataFrame(x, columns=names)), names, 50)
+        seen = []
+        plain = donors.DonorTree._searched
+
+        def watched(self, boxes, k, rows, plain=plain, seen=seen):
+            seen.append(boxes.count())
+            return plain(self, boxes, k, rows)
+
+        monkeypatch.setattr(donors.DonorTree, "_searched", watched)
+        tree.nearest(asked, 5, 20_000)
+        monkeypatch.setattr(donors.DonorTree, "_searched", plain)
+        visits.append(sum(seen) / 20)
+    assert visits[1] <= 2 * visits[0] + 2 and visits[1] < 20
+
+
+def test_knn_leaves_nonfinite_values_and_tables_without_donors(spark):
+    rows = [(1, 1.0, 10.0), (2, None, 10.5), (3, float("nan"), 11.0), (4, float("inf"), None), (5, 3.0, None), (6, None, None)]
+    got = {r.id: (r.a, r.b) for r in impute.impute_knn(spark.createDataFrame(rows, "id int, a double, b double"), ["a", "b"], k=1).collect()}
+    assert got[2] == (1.0, 10.5) and np.isnan(got[3][0]) and got[5] == (3.0, 10.0)
+    assert got[4] == (float("inf"), pytest.approx(10.5)) and got[6] == (2.0, pytest.approx(10.5))
+    empty = spark.createDataFrame([], "id int, a double")
+    assert impute.impute_knn(empty, ["a"]).collect() == []
+    assert impute.impute_knn(spark.createDataFrame([(1, None)], "id int, a double"), ["a"]).first().a is None
