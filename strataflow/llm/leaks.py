@@ -3,11 +3,13 @@
 An item is cut into windows of consecutive words. For an exact containment of a window, one word of it is a necessary
 prefix: the rarest over all documents. Documents are searched for these anchor words in place; only where one
 stands, and only if the text has room for the window before and after it, a row with the words around it goes on to be
-verified word by word. The benchmark is taken in blocks of bounded size, so what is broadcast never grows.
+verified word by word. Which words are anchors is told by a bit table of their hashes, so one read of the documents serves
+a benchmark of any size; words that share a bit with an anchor are left behind by the join with the windows.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ from strataflow.session import materialise
 from .common import ascii_lower, unused
 
 WINDOW = 10
-#: Windows of the benchmark that are searched for at once.
+#: Windows of the benchmark that are sent to every task; more are shuffled to the places of their anchors.
 BLOCK = 20_000
+#: Bits for each anchor, and the fewest and most bits of the table: a full table costs time, never results.
+ANCHOR_BITS, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 24
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -45,43 +49,50 @@ def _anchored(windows: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     return windows.join(best, "words").select("words", "item_id", F.col("k.word").alias("anchor"), F.col("k.at").alias("at"), F.col("k.n").alias("n"))
 
 
+def _anchor_test(anchors: DataFrame, n: int):
+    """A test of a word: true for every anchor, and for few other words."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (ANCHOR_BITS * n - 1).bit_length()))
+    slot = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(bits // 64 - 1)).cast("int")
+    bit = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+    hashed = anchors.select(F.xxhash64("anchor").alias("h"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))
+    held = hashed.groupBy(slot(F.col("h")).alias("slot")).agg(F.bit_or(one).alias("bits")).collect()  # at most bits / 64 rows
+    table = np.zeros(bits // 64, dtype=np.int64)
+    for r in held:
+        table[r["slot"]] = r["bits"]
+    known = F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<bigint>")
+    return lambda w: F.getbit(F.get(known, slot(F.xxhash64(w))), bit(F.xxhash64(w))) == 1
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(doc_id, row, start, size, item_id): every occurrence of a window in a document; start counts words from 0."""
     anchored = materialise(_anchored(windows_of(items, window), docs, window).where(F.col("n") > 0))
-    different = anchored.select("words", "anchor", "at").distinct()
-    n = different.count()
-    blocks = max(1, -(-n // block))
-    place = F.pmod(F.xxhash64("words"), F.lit(blocks)).cast("int")
-    found = None
-    for k in range(blocks):
-        own = materialise(different.where(place == k))
-        anchors = sorted(r["anchor"] for r in own.select("anchor").distinct().collect())  # at most about BLOCK words
-        rows = docs.select("doc_id", F.xxhash64("text").alias("row"), words_of(F.col("text")).alias("w"))
-        held = F.filter(F.transform("w", lambda w, i: F.when(w.isin(anchors), i)), lambda i: i.isNotNull()) if anchors else F.array().cast("array<int>")
-        rows = rows.withColumn("held", held)
-        near = F.transform("held", lambda i: F.struct(
-            i.alias("i"), F.get("w", i).alias("anchor"), F.least(i, F.lit(window - 1)).alias("before"),
-            F.slice("w", F.greatest(i - (window - 1), F.lit(0)) + 1, F.lit(2 * window - 1) - (F.lit(window - 1) - F.least(i, F.lit(window - 1)))).alias("around"),
-        ))
-        seen = rows.where(F.size("held") > 0).select("doc_id", "row", F.explode(near).alias("c")).select("doc_id", "row", "c.*")
-        met = seen.join(F.broadcast(own), "anchor")
-        # room before and after the anchor, then the words themselves
-        first = F.col("before") - F.col("at")
-        exact = met.where((first >= 0) & (first + F.size("words") <= F.size("around"))).where(F.slice("around", first + 1, F.size("words")) == F.col("words"))
-        part = exact.select("doc_id", "row", (F.col("i") - F.col("at")).alias("start"), F.size("words").alias("size"), "words")
-        found = part if found is None else found.unionByName(part)
-    exact = materialise(found.distinct())
-    return exact.join(anchored.select("words", "item_id"), "words").select("doc_id", "row", "start", "size", "item_id")
+    different = materialise(anchored.select("words", "anchor", "at").distinct())
+    n, n_anchors = different.agg(F.count(F.lit(1)), F.count_distinct("anchor")).first()
+    is_anchor = _anchor_test(different, n_anchors)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), words_of(F.col("text")).alias("w"))
+    rows = rows.withColumn("held", F.filter(F.transform("w", lambda w, i: F.when(is_anchor(w), i)), lambda i: i.isNotNull()))
+    near = F.transform("held", lambda i: F.struct(
+        i.alias("i"), F.get("w", i).alias("anchor"), F.least(i, F.lit(window - 1)).alias("before"),
+        F.slice("w", F.greatest(i - (window - 1), F.lit(0)) + 1, F.lit(2 * window - 1) - (F.lit(window - 1) - F.least(i, F.lit(window - 1)))).alias("around"),
+    ))
+    seen = rows.where(F.size("held") > 0).select("doc_id", "row", F.explode(near).alias("c")).select("doc_id", "row", "c.*")
+    met = seen.join(F.broadcast(different) if n <= block else different, "anchor")
+    # room before and after the anchor, then the words themselves
+    first = F.col("before") - F.col("at")
+    exact = met.where((first >= 0) & (first + F.size("words") <= F.size("around"))).where(F.slice("around", first + 1, F.size("words")) == F.col("words"))
+    found = materialise(exact.select("doc_id", "row", (F.col("i") - F.col("at")).alias("start"), F.size("words").alias("size"), "words").distinct())
+    return found.join(anchored.select("words", "item_id"), "words").select("doc_id", "row", "start", "size", "item_id")
 
 
 def checked(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null has no words. Rows with equal doc_id and text get equal results and keep their number. Items without
-    words, and a null item_id (which has no name to report), are left out. Empty tables give no hits.
+    words are left out. An item with a null item_id hits words like any other, but has no name to count or list.
+    Empty tables give no hits.
     """
-    named = items.where(F.col("item_id").isNotNull())
-    own = materialise(hits(docs, named, window))
+    own = materialise(hits(docs, items, window))
     spans = own.select("doc_id", "row", "start", "size").distinct()
     covered = spans.select("doc_id", "row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("p")).distinct().groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n_hit"))
     listed = own.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
@@ -97,9 +108,9 @@ def checked(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any window of an item."""
+    """The documents without any window of an item, whether or not the item has an id."""
     columns = docs.columns
     row, other, key = (unused(columns, n) for n in ("_row", "_other", "_key"))
-    found = hits(docs, items.where(F.col("item_id").isNotNull()), window).select(F.col("doc_id").alias(other), F.col("row").alias(key)).distinct()
+    found = hits(docs, items, window).select(F.col("doc_id").alias(other), F.col("row").alias(key)).distinct()
     marked = docs.withColumn(row, F.xxhash64(F.col("text")))
     return marked.join(materialise(found), F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(row) == F.col(key)), "left_anti").select(columns)

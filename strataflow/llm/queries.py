@@ -110,7 +110,7 @@ def op13_centroid_clustering(spark, sf_dir):
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLES["op7_decontamination"] = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 iw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, w[p:p + 9] AS words
        FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS p FROM i WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT len(words) AS n FROM iw),

@@ -164,7 +164,7 @@ def test_token_store(spark, odd):
     assert tokens.stored_ids(odd.limit(0), path).count() == 0
 
 
-def test_leaks(spark, odd):
+def test_leaks(spark, odd, monkeypatch):
     items = spark.createDataFrame([(1, "One TWO three"), (2, " ".join(f"q{i}" for i in range(14))), (None, "a b"), (3, "!!"), (4, None), (10, "five")], "item_id long, text string")
     rows = [*ODD, (20, "x " + " ".join(f"Q{i}" for i in range(2, 13)) + ", y"), (21, "q1 q2 q3")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("w", F.lit(1))
@@ -175,9 +175,14 @@ def test_leaks(spark, odd):
     assert (got[4]["n_hit"], got[4]["items_sha256"], got[4]["contaminated"]) == (4, digest("1", "10"), True)
     assert (got[21]["n_hit"], got[21]["items_sha256"], got[21]["contaminated"]) == (0, digest(), False)
     assert got[1]["n_words"] == 0
-    assert sorted(str(r["doc_id"]) for r in leaks.keep_clean(docs, items).collect()) == sorted(str(d) for d, _ in rows if d not in (4, 20))
+    # the item without an id hits words and removes documents, but is not counted
+    assert [(got[d]["n_hit"], got[d]["n_items"], got[d]["items_sha256"], got[d]["contaminated"]) for d in (None, 7)] == [(2, 0, digest(), True)] * 2
+    assert sorted(str(r["doc_id"]) for r in leaks.keep_clean(docs, items).collect()) == sorted(str(d) for d, _ in rows if d not in (None, 4, 7, 20))
     assert leaks.checked(docs, items.limit(0)).where("contaminated").count() == 0 and leaks.checked(docs.limit(0), items).count() == 0
     few = leaks.hits(docs, items.where("item_id IS NOT NULL"), block=2)
+    monkeypatch.setattr(leaks, "LEAST_BITS", 64)
+    monkeypatch.setattr(leaks, "MOST_BITS", 64)  # a full table of bits
+    assert sorted(map(str, few.collect())) == sorted(map(str, leaks.hits(docs, items.where("item_id IS NOT NULL")).collect()))
     assert sorted(map(str, few.collect())) == sorted(map(str, leaks.hits(docs, items.where("item_id IS NOT NULL")).collect()))
 
 
