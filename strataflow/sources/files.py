@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,26 +153,35 @@ def read_jdbc(
 def read_las(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Well logs: one row per depth sample with the curves as a map.
 
-    Lines are read in parallel.  The few section titles of a file tell where its ``~A`` part begins:
-    every later line up to the next title is a sample, whose values are cast one by one, so text and NaN become null.
-    Lines before it give the curve names, missing marker, well and location.
+    A file may hold several logs one after another: a ``~V`` section that follows a ``~A`` section opens the next one.
+    Lines are read in parallel and ordered within the blocks they are read in; the section titles tell what a block begins
+    with.  A line of a ``~A`` section is a sample, whose values are cast one by one, so text and NaN become null.
+    The other lines of a log give the curve names, missing marker, well and location.
     Blank lines and comments are passed over; wrapped files (a sample spread over several lines) are rejected.
     """
+    title, letter = F.col("text").startswith("~"), F.upper(F.substring("text", 2, 1))
     lines = spark.read.text(paths).select(
         F.trim("value").alias("text"), F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"),
     )
-    at, title = F.struct("start", "id"), F.col("text").startswith("~")
     lines = lines.where((F.col("text") != "") & ~F.col("text").startswith("#"))
-    # the few titles of each file, in order; a line belongs to the last title before it
-    titles = lines.where(title).groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct(at.alias("at"), F.upper(F.substring("text", 2, 1)).alias("letter")))).alias("titles")
-    )
-    placed = lines.where(~title).join(titles, "path")
-    placed = placed.withColumn("section", F.try_element_at(F.filter("titles", lambda t: t["at"] < at), F.lit(-1))["letter"]).drop("titles")
+    # the titles of each file in order, with the number of their log
+    along = Window.partitionBy("path").orderBy("start", "id")
+    titles = lines.where(title).select("path", "source_file", "start", "id", letter.alias("section"))
+    opens = (F.col("section") == "V") & (F.count_if(F.col("section") == "A").over(along) > 0)
+    titles = titles.withColumn("opens", opens).withColumn("log", F.count_if("opens").over(along))
+    # a line belongs to the last title before it in its block, or else to the last one of the blocks before
+    last = titles.groupBy("path", "start").agg(F.max(F.struct("id", "section")).alias("last"))
+    blocks = lines.select("path", "start").distinct().join(last, ["path", "start"], "left")
+    passed = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "start", F.last("last", ignorenulls=True).over(passed).alias("before"))
+    inside = Window.partitionBy("path", "start").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.select("path", "start", "id", "text").withColumn("own", F.last(F.when(title, F.struct("id", letter.alias("section"))), ignorenulls=True).over(inside))
+    placed = placed.where(~title).join(blocks, ["path", "start"])
+    placed = placed.withColumn("title", F.coalesce("own", "before")).select("start", "id", "text", F.col("title.id").alias("at"), F.col("title.section").alias("section"))
     header = (
-        placed.where("section <> 'A'")
+        placed.where("section <> 'A'").join(titles.select(F.col("id").alias("at"), "path", "log"), "at")
         .withColumn("name", F.trim(F.split_part("text", F.lit("."), F.lit(1))))
         .withColumn("value", F.trim(F.regexp_extract("text", r"^[^.]*\.\S*\s*(.*?)\s*:[^:]*$", 1)))
     )
@@ -180,18 +189,19 @@ def read_las(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     def well_value(name: str):
         return F.max(F.when((F.col("section") == "W") & (F.upper("name") == name), F.col("value")))
 
-    about = header.groupBy("path").agg(
+    about = header.groupBy("path", "log").agg(
         F.array_sort(F.collect_list(F.when(F.col("section") == "C", F.struct("start", "id", "name")))).alias("c"),
         well_value("WELL").alias("well_name"), well_value("LOC").alias("location"), well_value("NULL").alias("missing"),
         F.max(F.when((F.col("section") == "V") & (F.upper("name") == "WRAP"), F.upper("value"))).alias("wrap"),
     )
     about = about.select(
-        "path", F.transform("c", lambda x: x["name"]).alias("names"), "well_name", "location",
+        "path", "log", F.transform("c", lambda x: x["name"]).alias("names"), "well_name", "location",
         F.coalesce(F.col("missing").try_cast("double"), F.lit(-999.25)).alias("missing"),
         F.when(F.col("wrap").startswith("YES"), F.raise_error(F.lit("wrapped LAS files are not supported"))).alias("_w"),
     )
-    samples = placed.where("section = 'A'").select("path", "source_file", F.split("text", r"\s+").alias("v"))
-    joined = samples.join(about, "path").where(F.col("_w").isNull())
+    about = about.join(titles.where("section = 'A'").select(F.col("id").alias("at"), "path", "log", "source_file"), ["path", "log"])
+    samples = placed.where("section = 'A'").select("at", F.split("text", r"\s+").alias("v"))
+    joined = samples.join(about, "at").where(F.col("_w").isNull())
     values = F.transform(
         "v", lambda x: F.when((x.try_cast("double") != F.col("missing")) & ~F.isnan(x.try_cast("double")), x.try_cast("double"))
     )

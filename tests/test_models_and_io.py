@@ -229,6 +229,24 @@ def test_las_samples_are_found_by_place(spark, tmp_path):
     assert [(r.depth, r.GR, r.RHOB) for r in rows[3:]] == [(101.5, None, 2.5), (102.0, None, 2.6), (102.5, 7.0, None)] and len(rows) == 6
 
 
+def test_las_logs_share_a_file(spark, tmp_path):
+    """Several logs in a file, also where a block that is read ends inside a header or a section."""
+    second = LAS.format(wrap="NO").replace("Anna 7", "Berta 8").replace("45.5", "46.5") + " 101.5  7  8\n" * 40
+    (tmp_path / "w.las").write_text(LAS.format(wrap="NO") + second + LAS.format(wrap="NO").replace("Anna 7", "Cleo 9"))
+    wide = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    for size in (wide, "100", "37"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = files.las_table(files.read_las(spark, str(tmp_path / "w.las")), ["GR", "RHOB"]).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", wide)
+        seen.append(sorted((r.well_name, r.depth, str(r.GR), r.RHOB or 0.0) for r in rows))
+    assert seen[0] == seen[1] == seen[2]
+    assert [w for w, *_ in seen[0]] == ["Anna 7"] * 3 + ["Berta 8"] * 43 + ["Cleo 9"] * 3
+    assert ("Berta 8", 100.0, "46.5", 2.35) in seen[0] and ("Cleo 9", 100.0, "45.5", 2.35) in seen[0]
+
+
 def test_many_files_have_their_own_encodings(spark, tmp_path):
     for name, code in (("a.csv", "utf-8"), ("b.csv", "iso-8859-1")):
         (tmp_path / name).write_bytes(f"id,place\n1,été {name}\n".encode(code))
