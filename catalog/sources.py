@@ -137,7 +137,7 @@ def a09_errors(spark, sf):
     told = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49), "much").otherwise(F.col("l_quantity").cast("string"))
     for flag in ("A", "N", "R"):
         own = df.where(F.col("l_returnflag") == flag).select("l_extendedprice", told.alias("l_quantity"))
-        own.coalesce(1).write.option("header", True).csv(f"{path}/{flag}.csv")
+        own.write.option("header", True).csv(f"{path}/{flag}.csv")
     df.select("l_extendedprice").limit(5).coalesce(1).write.option("header", True).csv(f"{path}/other.csv")
     model = LinearModel("pls", ["l_quantity"], "p", 1.0, [2.0])
     summary, errors = evaluate.score_csv_files(spark, f"{path}/*.csv", model, ["l_quantity"], folders=True)

@@ -10,11 +10,14 @@ from pyspark.sql import types as T
 
 from ..channels import LABEL_NAMES
 from ..operators.clean import basic_clean, parse_timestamps
+from ..session import materialise
 from ..stats import gather
 
 # fixed value: utf-8 is tried first; latin-1 (iso-8859-1) reads any byte, so it ends the search
 ENCODINGS = ["utf-8", "iso-8859-1"]
 FORMATS = ("csv", "parquet", "json")
+#: Files whose header lines are sent to every task.
+FEW_FILES = 100_000
 
 
 def detect_encoding(spark: SparkSession, paths: str | Sequence[str]) -> str:
@@ -55,13 +58,17 @@ def read_checked_csv(spark: SparkSession, pattern: str, numbers: Sequence[str],
     One read of all files as lines; every file's own header says where a column stands, so files may order them
     differently and have others besides. A file without one of the columns, or with a value in one that is no number,
     is an error as a whole (source_file, error). Empty values are null. A record stands on one line.
-    With ``folders`` the part files of a folder are told by the folder's name.
+    With ``folders`` a folder's part files are one file, told by the folder's name; each has a header of its own.
+    Only the table of headers, one row a file, meets the lines, which are neither sorted nor shuffled for it.
     """
     lines = spark.read.text(pattern).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"),
     ).where(F.trim("value") != "")
-    head = F.when(F.col("start") == 0, F.struct("id", "value"))
-    first = lines.groupBy("path").agg(F.min(head).alias("head")).select("path", F.col("head.id").alias("first"), F.col("head.value").alias("header"))
+    # numbers alone are compared: a minimum of whole lines would sort them all
+    first = materialise(lines.where("start = 0").groupBy("path").agg(F.min("id").alias("first")))
+    few = first.count() <= FEW_FILES
+    small = F.broadcast if few else (lambda df: df)
+    first = materialise(lines.select("id", "value").join(small(first), F.col("id") == F.col("first")).select("path", "first", F.col("value").alias("header")))
     widest = first.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
 
     def fields(line: Column) -> Column:
@@ -69,19 +76,22 @@ def read_checked_csv(spark: SparkSession, pattern: str, numbers: Sequence[str],
         parsed = F.from_csv(line, ", ".join(f"f{i} string" for i in range(widest)))
         return F.array(*[F.trim(parsed[f"f{i}"]) for i in range(widest)])
 
-    files = first.withColumn("names", fields(F.col("header"))).drop("header")
-    files = files.withColumn("lacking", F.array_except(F.array(*[F.lit(c) for c in numbers]), "names"))
-    values = lines.join(files.where(F.size("lacking") == 0), "path").where(F.col("id") != F.col("first")).withColumn("at", fields(F.col("value")))
-    told = values.select("path", *[F.get("at", F.array_position("names", c).cast("int") - 1).alias(c) for c in numbers])
+    whole = F.regexp_replace("path", "/[^/]*$", "") if folders else F.col("path")
+    asked = F.array(*[F.lit(c) for c in numbers])
+    files = first.withColumn("whole", whole).withColumn("names", fields(F.col("header"))).withColumn("lacking", F.array_except(asked, "names"))
+    absent = files.where(F.size("lacking") > 0).groupBy("whole").agg(F.array_intersect(asked, F.flatten(F.collect_set("lacking"))).alias("lacking"))
+    read = files.join(absent.select("whole"), "whole", "left_anti").select("path", "whole", "first", "names")
+    values = lines.join(small(read), "path").where(F.col("id") != F.col("first")).withColumn("at", fields(F.col("value")))
+    told = values.select("whole", *[F.get("at", F.array_position("names", c).cast("int") - 1).alias(c) for c in numbers])
     empty = lambda c: F.col(c).isNull() | (F.col(c) == "")
     wrong = F.lit(False)
     for c in numbers:
         wrong = wrong | (~empty(c) & F.expr(f"try_cast(`{c}` AS DOUBLE)").isNull())
-    name = F.element_at(F.split("path", "/"), -2 if folders else -1).alias("source_file")
-    bad = told.where(wrong).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    lacking = files.where(F.size("lacking") > 0).select(name, F.concat(F.lit("no column "), F.array_join("lacking", ", ")).alias("error"))
+    name = F.element_at(F.split("whole", "/"), -1).alias("source_file")
+    bad = told.where(wrong).groupBy("whole").agg(F.count(F.lit(1)).alias("n"))
+    lacking = absent.select(name, F.concat(F.lit("no column "), F.array_join("lacking", ", ")).alias("error"))
     errors = lacking.union(bad.select(name, F.concat("n", F.lit(" rows with values that are no numbers")).alias("error")))
-    sound = told.join(bad.select("path"), "path", "left_anti")
+    sound = told.join(small(bad.select("whole")), "whole", "left_anti")
     return sound.select(name, *[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) for c in numbers]), errors
 
 

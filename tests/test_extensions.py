@@ -57,6 +57,24 @@ def test_one_bad_file_takes_none_with_it(spark, tmp_path):
     assert got == {"a.csv": (2, 46.0), "b.csv": (1, 88.0), "odd.csv": (1, 24.0)}
 
 
+def test_a_folder_of_parts_is_one_file(spark, tmp_path):
+    """Parts have headers of their own; a bad part takes its whole folder with it. No line is sorted or shuffled by its file."""
+    parts = {
+        "good.csv": ["x,y\n1,2\n", "y,x\n5,4\n", ""], "words.csv": ["x,y\n1,2\n", "x,y\nmany,3\nmore,3\n", "x,y\nmuch,3\n"],
+        "lacks.csv": ["x,y\n1,2\n", "x\n1\nmany\n", "z\n1\n"],
+    }
+    for folder, texts in parts.items():
+        (tmp_path / folder).mkdir()
+        for i, text in enumerate(texts):
+            (tmp_path / folder / f"part-{i}.csv").write_text(text)
+    model = LinearModel("pls", ["x", "y"], "p", 1.0, [10.0, 1.0])
+    summary, errors = evaluate.score_csv_files(spark, f"{tmp_path}/*.csv", model, ["x", "y"], folders=True)
+    assert {r["source_file"]: r["error"] for r in errors.collect()} == {"words.csv": "3 rows with values that are no numbers", "lacks.csv": "no column x, y"}
+    assert {r["source_file"]: (r["count"], r["max"]) for r in summary.collect()} == {"good.csv": (2, 46.0)}
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
+
+
 def test_log_holds_a_batch_once(spark, tmp_path):
     rows = spark.range(10).select("id", F.lit("pcr").alias("model_type"), F.lit("success").alias("status"), F.lit(1.0).alias("latency_ms"))
     for batch in (0, 1, 1, 0):
