@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,20 +174,25 @@ def cross_validate(
     df: DataFrame, features: Sequence[str], target: str, kinds: Sequence[str], keys: Sequence[str], folds: int = 5,
     metric: str = "rmse", parallelism: int = 4,
 ) -> DataFrame:
-    """Mean, deviation and range of the fold scores per model, with folds drawn from the row keys."""
-    folded = df.withColumn("_fold", F.pmod(hash_number(*keys), F.lit(folds)).cast("int"))
-    data = assemble(folded.select(*features, F.col(target).cast("double").alias(target), "_fold"), features)
+    """Mean, deviation and range of the fold scores per model, with folds drawn from the row keys.
+
+    Rows are stored once with their fold; each model is fitted once on the other folds and scored once on its own.
+    """
+    folded = df.select(*features, F.col(target).cast("double").alias(target), fold_column(keys, folds).alias("_fold"))
+    data = assemble(materialise(folded), features)
+    evaluator = RegressionEvaluator(labelCol=target, metricName=metric)
+    estimators = {kind: supervised._regressor(kind, target, data, {}) for kind in kinds}
+
+    def score(work: tuple[str, int]) -> float:
+        kind, i = work
+        model = estimators[kind].fit(data.where(F.col("_fold") != i))
+        return evaluator.evaluate(model.transform(data.where(F.col("_fold") == i)))
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        found = list(pool.map(score, [(kind, i) for kind in kinds for i in range(folds)]))
     rows = []
-    for kind in kinds:
-        estimator = supervised._regressor(kind, target, data, {})
-        found = CrossValidator(
-            estimator=estimator, estimatorParamMaps=[{}], evaluator=RegressionEvaluator(labelCol=target, metricName=metric),
-            numFolds=folds, foldCol="_fold", parallelism=parallelism, collectSubModels=True,
-        ).fit(data)
-        scores = []
-        for i in range(folds):
-            part = found.subModels[i][0].transform(data.where(F.col("_fold") == i))
-            scores.append(RegressionEvaluator(labelCol=target, metricName=metric).evaluate(part))
+    for k, kind in enumerate(kinds):
+        scores = found[k * folds : (k + 1) * folds]
         rows.append((kind, float(np.mean(scores)), float(np.std(scores)), float(np.min(scores)), float(np.max(scores))))
     smaller = metric in ("rmse", "mse", "mae")
     rows.sort(key=lambda t: t[1] if smaller else -t[1])

@@ -95,3 +95,20 @@ def test_one_class_ends_by_convergence(spark):
     assert np.allclose(few, many)
     with pytest.raises(ValueError):
         anomaly.fit_one_class(df.limit(0), ["a"])
+
+
+def test_cross_validation_fits_each_fold_once(spark, monkeypatch):
+    from pyspark.ml.regression import LinearRegression
+
+    fits, fit = [], LinearRegression._fit
+    monkeypatch.setattr(LinearRegression, "_fit", lambda self, data: (fits.append(1), fit(self, data))[1])
+    df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 * 3 + F.col("id") % 2).cast("double").alias("y"))
+    got = evaluate.cross_validate(df, ["x"], "y", ["linear"], ["id"], folds=4).first()
+    assert len(fits) == 4
+    rows = df.withColumn("fold", evaluate.fold_column(["id"], 4)).toPandas()
+    scores = []
+    for i in range(4):
+        train, part = rows[rows.fold != i], rows[rows.fold == i]
+        a, b = np.polyfit(train.x, train.y, 1)
+        scores.append(np.sqrt(((part.y - a * part.x - b) ** 2).mean()))
+    assert np.allclose([got["mean_score"], got["std_score"], got["min_score"], got["max_score"]], [np.mean(scores), np.std(scores), min(scores), max(scores)])
