@@ -84,10 +84,10 @@ f AS (SELECT event_id, user_id, ts, {", ".join(f"lag(value, {k}) OVER ({_W}) AS
 SELECT * EXCLUDE (ts) FROM f WHERE ts IS NOT NULL""")
 def l03(spark, sf):
     events = stream(spark, sf)
-    last = table(spark, sf, "events").agg(F.max("ts")).first()[0]
+    last, user = table(spark, sf, "events").agg(F.max("ts"), F.max("user_id")).first()
     if last is not None:
         # a day's rows come out once the next day begins, those of the last day at the closing row
-        events = live.closed(events, "ts", last + timedelta(days=2), f"{workdir(spark)}/end")
+        events = live.closed(events, "ts", last + timedelta(days=2), f"{workdir(spark)}/end", user_id=user)
     out = ordered.ordered_features(events, "user_id", "ts", "event_id", "value", delay="0 seconds", slot="1 day")
     done = finish(spark, out).drop("at_micros", "value")
     return rounded(done.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c, t in done.dtypes if t == "double"}))
