@@ -16,6 +16,10 @@ from ..quantiles import quantile
 from .clean import forward_fill
 
 
+#: Tasks of a costly function for each core: enough to even out series of different lengths.
+TASKS_PER_CORE = 4
+
+
 def _complete(df: DataFrame, drop: bool, subset: Sequence[str] | None = None) -> DataFrame:
     return df.dropna(subset=list(subset) if subset else None) if drop else df
 
@@ -48,7 +52,11 @@ def rolling_apply(df: DataFrame, series: SeriesLike, columns: Sequence[str], win
     """``<column>_<name>_<window>``: a function of the user's own over the last ``window`` values; null in shorter windows.
 
     One pass serves all columns. On a long series the function sees the same windows, carried by its chunks.
+    The function is slow beside its rows' bytes, so series are dealt to as many tasks as there are cores to run them.
     """
+    series = series.measure(df)
+    if series.keys and not series.chunked and not df.isStreaming:
+        df = df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, *series.keys)
     return over_series(df, series, lambda f: {f"{c}_{name}_{window}": R.custom(f, c, window, function) for c in columns}, back=window - 1)
 
 
