@@ -10,6 +10,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from ..stats import gather
 
 FEATURES = "features"
@@ -67,6 +68,17 @@ def principal_axes(correlation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(values, 0.0), vectors * np.where(signs == 0, 1.0, signs)
 
 
+#: Rows of a task that fits trees: it holds them in memory.
+ROWS_PER_TASK = 500_000
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Rows that are read many times, written once and dealt to tasks of bounded size whatever the files' sizes."""
+    kept = materialise(df)
+    parts = -(-kept.count() // ROWS_PER_TASK)
+    return kept.repartition(parts) if parts > kept.rdd.getNumPartitions() else kept
+
+
 def at_least_parallel(df: DataFrame) -> DataFrame:
     """Spread rows for costly Python scoring when the input has fewer partitions than cores."""
     if df.isStreaming:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import require_columns
 from ..stats import gather, literal_table
-from .common import FEATURES, assemble
+from .common import FEATURES, assemble, stored
 
 # fixed values: published default hyper-parameters
 BOOSTING = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
@@ -122,12 +122,14 @@ def _classifier(kind: str, target: str, df: DataFrame, params: Mapping) -> Estim
 
 
 REGRESSORS = ["linear", "ridge", "lasso", "decision_tree", "random_forest", "gradient_boosting", "xgboost"]
+TREES = ["decision_tree", "random_forest", "gradient_boosting", "xgboost"]
 CLASSIFIERS = ["logistic", "decision_tree", "random_forest", "gradient_boosting", "xgboost", "svc"]
 
 
 def fit_regressor(df: DataFrame, features: Sequence[str], target: str, kind: str = "linear", **params) -> FittedModel:
     require_columns(df, [*features, target])
-    train = assemble(df.select(*features, F.col(target).cast("double").alias(target)), features)
+    rows = df.select(*features, F.col(target).cast("double").alias(target))
+    train = assemble(stored(rows) if kind in TREES else rows, features)
     return FittedModel(kind, list(features), _regressor(kind, target, train, params).fit(train), target)
 
 
@@ -141,6 +143,6 @@ def balanced_weights(df: DataFrame, label: str, name: str = "_weight") -> DataFr
 
 def fit_classifier(df: DataFrame, features: Sequence[str], label: str, kind: str = "logistic", **params) -> FittedModel:
     require_columns(df, [*features, label])
-    train = balanced_weights(df.select(*features, F.col(label).cast("double").alias(label)), label)
-    train = assemble(train, features)
+    rows = df.select(*features, F.col(label).cast("double").alias(label))
+    train = assemble(balanced_weights(stored(rows) if kind in TREES else rows, label), features)
     return FittedModel(kind, list(features), _classifier(kind, label, train, params).fit(train), label, True)

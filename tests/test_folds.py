@@ -112,3 +112,17 @@ def test_cross_validation_fits_each_fold_once(spark, monkeypatch):
         a, b = np.polyfit(train.x, train.y, 1)
         scores.append(np.sqrt(((part.y - a * part.x - b) ** 2).mean()))
     assert np.allclose([got["mean_score"], got["std_score"], got["min_score"], got["max_score"]], [np.mean(scores), np.std(scores), min(scores), max(scores)])
+
+
+def test_tree_fits_hold_bounded_parts(spark, monkeypatch):
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from strataflow.models import common
+
+    parts, fit = [], DecisionTreeRegressor._fit
+    monkeypatch.setattr(common, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(DecisionTreeRegressor, "_fit", lambda self, data: (parts.append(data.rdd.getNumPartitions()), fit(self, data))[1])
+    df = spark.range(400).coalesce(1).select((F.col("id") % 8).cast("double").alias("x"), (F.col("id") % 8 * 2).cast("double").alias("y"))
+    model = supervised.fit_regressor(df, ["x"], "y", "decision_tree")
+    assert parts == [8]
+    assert all(r["prediction"] == r["y"] for r in model.transform(df).collect())
