@@ -30,6 +30,8 @@ RARITY_BUCKETS = 1 << 18
 BROADCAST = 250_000
 #: Steps of the logarithm of a count: each is a factor of 2 ** (1 / STEPS).
 STEPS = 3
+#: Longs of the bitmap that pairs are compared by before their sets are; a power of 2.
+WIDTH = 8
 
 
 def _words(line: Column) -> Column:
@@ -83,7 +85,7 @@ def _overlap(a: Column, b: Column, similarity: float) -> Column:
 
 
 def _sets_of(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rare: Column) -> DataFrame:
-    """(x, first, ids): the whole sets of the lines in pairs (a, b), read from the documents again."""
+    """(x, first, ids, n, s0 ...): the whole sets of the lines in pairs (a, b), read from the documents again, and their bitmaps."""
     asked = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct().join(sets.select("x", "first"), "x")
     asked = materialise(asked.select("x", "first", F.xxhash64("first.doc_id", "first.row", "first.line").alias("_at")))
     own = _split(docs).withColumn("_at", F.xxhash64("doc_id", "row", "line"))
@@ -91,14 +93,30 @@ def _sets_of(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rare: Column) -
     wanted = F.broadcast(asked) if asked.count() <= BROADCAST else asked
     exact = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     found = own.join(wanted, "_at").where(exact).select("x", "first", "t").dropDuplicates(["x"])
-    return materialise(found.select("x", "first", _ids(F.col("t"), rare).alias("ids")))
+    found = found.select("x", "first", _ids(F.col("t"), rare).alias("ids"))
+    return materialise(found.select("x", "first", "ids", F.size("ids").alias("n"), *[_parity("ids", k, WIDTH).alias(f"s{k}") for k in range(WIDTH)]))
+
+
+def _parity(ids: str, part: int = 0, parts: int = 1) -> Column:
+    """64 bits: which of 64 * parts hash values, of those in this part, an odd number of words have."""
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    held = F.filter(ids, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(parts - 1)) == part) if parts > 1 else F.col(ids)
+    return F.aggregate(held, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(one(h)))
 
 
 def _later(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(x): of pairs (a, b) whose whole sets are similar, the later one."""
-    met = pairs.join(found.toDF("a", "fa", "ia"), "a").join(found.toDF("b", "fb", "ib"), "b")
-    alike = met.where(F.size(F.array_intersect("ia", "ib")) >= _overlap(F.size("ia"), F.size("ib"), similarity))
-    return alike.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("x")).distinct()
+    """(x): of pairs (a, b) whose whole sets are similar, the later one.
+
+    Wider bitmaps rule out most pairs before the sets themselves are sent to theirs.
+    """
+    marks = ["x", "n", *[f"s{k}" for k in range(WIDTH)]]
+    seen = lambda p, columns: found.select(*[F.col(c).alias(p if c == "x" else p + c) for c in columns])
+    need = _overlap(F.col("an"), F.col("bn"), similarity)
+    unlike = sum((F.bit_count(F.col(f"as{k}").bitwiseXOR(F.col(f"bs{k}"))) for k in range(WIDTH)), F.lit(0))
+    left = pairs.join(seen("a", marks), "a").join(seen("b", marks), "b").where(unlike <= F.col("an") + F.col("bn") - 2 * need).select("a", "b")
+    met = left.join(seen("a", ["x", "first", "ids"]), "a").join(seen("b", ["x", "first", "ids"]), "b")
+    alike = met.where(F.size(F.array_intersect("aids", "bids")) >= _overlap(F.size("aids"), F.size("bids"), similarity))
+    return alike.select(F.when(F.col("afirst") > F.col("bfirst"), F.col("a")).otherwise(F.col("b")).alias("x")).distinct()
 
 
 def later_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -110,21 +128,23 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rare = rarity(docs)
     n = F.size("ids")
     least = F.ceil(F.lit(similarity) * n - F.lit(1e-9)).cast("int")
-    parity = F.aggregate("ids", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
     # sets under this size are similar to none but themselves
     smallest = next(k for k in range(1, 10_000) if k / (k + 1) >= similarity - 1e-9)
     long = n >= smallest
     # rows that repeat a document list its lines again: an entry equal to the first one is never later than it
     lines = materialise(_lines(docs, rare).select(
-        "doc_id", "row", "line", F.xxhash64("ids").alias("x"), n.alias("n"), F.when(long, parity).alias("bits"),
+        "doc_id", "row", "line", F.xxhash64("ids").alias("x"), n.alias("n"), F.when(long, _parity("ids")).alias("bits"),
         # the join's key is a shorter hash of the word: what it confuses, the later filters tell apart
         F.when(long, F.transform(F.slice("ids", F.lit(1), n - least + 1), lambda h: F.hash(h))).alias("prefix"),
     ))
     sets = materialise(lines.groupBy("x").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
     order = F.coalesce("first.doc_id", F.lit(-(1 << 63)))
-    tokens = sets.where(F.col("prefix").isNotNull()).select("x", order.alias("d"), "n", "bits", F.posexplode("prefix").alias("at", "word"))
-    # n and place fit one number, which the shuffle carries in fewer bytes
-    tokens = tokens.select("word", "x", "d", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("na"))
+
+    def words(of: DataFrame) -> DataFrame:
+        """(word, x, d, bits, na): the prefixes' words; n and place fit one number, which the shuffle carries in fewer bytes."""
+        each = of.where(F.col("prefix").isNotNull()).select("x", order.alias("d"), "n", "bits", F.posexplode("prefix").alias("at", "word"))
+        return each.select("word", "x", "d", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("na"))
+
     size, place = lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))
 
     def may(p: str, q: str) -> Column:
@@ -133,18 +153,15 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         alike = F.bit_count(F.col(f"{p}bits").bitwiseXOR(F.col(f"{q}bits"))) <= na + nb - 2 * need
         return alike & (F.least(na, nb) >= F.lit(similarity) * F.greatest(na, nb) - F.lit(1e-9)) & (F.least(i, j) + F.least(na - i, nb - j) >= need)
 
-    def named(p: str) -> DataFrame:
-        return tokens.select("word", *[F.col(c).alias(p + c) for c in ("x", "d", "bits", "na")])
+    def named(p: str, of: DataFrame = sets) -> DataFrame:
+        return words(of).select("word", *[F.col(c).alias(p + c) for c in ("x", "d", "bits", "na")])
 
-    centres = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("d", "x", "bits", "na")).alias("c")).where("k > 1").select("word", "k", F.col("c.x").alias("cx"), F.col("c.bits").alias("cbits"), F.col("c.na").alias("cna"))
-    met = named("t").join(centres, "word").withColumn("near", (F.col("tx") != F.col("cx")) & may("t", "c"))
-    # where two sets meet under a word, one of them is the centre: only from three on are there other pairs
-    met = materialise(met.where(F.col("near") | (F.col("k") > 2)).select("word", "tx", "td", "tbits", "tna", "cx", "k", "near"))
-    near = materialise(met.where("near").select(F.col("tx").alias("a"), F.col("cx").alias("b")).distinct())
+    centres = words(sets).groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("d", "x", "bits", "na")).alias("c")).where("k > 1").select("word", F.col("c.x").alias("cx"), F.col("c.bits").alias("cbits"), F.col("c.na").alias("cna"))
+    met = named("t").join(centres, "word").where((F.col("tx") != F.col("cx")) & may("t", "c"))
+    near = materialise(met.select(F.col("tx").alias("a"), F.col("cx").alias("b")).distinct())
     done = materialise(_later(near, _sets_of(near, sets, docs, rare), similarity))
-    open_ = met.where("k > 2")
-    doubt = open_.select("word", *[F.col(f"t{c}").alias(f"p{c}") for c in ("x", "d", "bits", "na")]).join(done.withColumnRenamed("x", "px"), "px", "left_anti")
-    other = open_.select("word", *[F.col(f"t{c}").alias(f"q{c}") for c in ("x", "d", "bits", "na")])
+    # the words are made again from the sets: stored with their centres they would be the largest table here
+    doubt, other = named("p", sets.join(done, "x", "left_anti")), named("q")
     others = doubt.join(other, "word").where((F.col("px") != F.col("qx")) & (F.col("qd") <= F.col("pd")) & may("p", "q")).select(F.col("px").alias("a"), F.col("qx").alias("b")).distinct()
     fresh = materialise(others.join(near, ["a", "b"], "left_anti"))
     found = _sets_of(fresh, sets, docs, rare)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,12 +54,39 @@ def checkpoint_root(spark: SparkSession) -> str:
     return named
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _freeing = threading.Lock(), {}
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside give back their shuffle files when they end; the session's own setting follows the last of them."""
+    with _lock:
+        users, own = _freeing.get(spark, (0, None))
+        own = spark.conf.get(FREE_SHUFFLES, None) if not users else own
+        _freeing[spark] = (users + 1, own)
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            users, own = _freeing.pop(spark)
+            if users > 1:
+                _freeing[spark] = (users - 1, own)
+            elif own is None:
+                spark.conf.unset(FREE_SHUFFLES)
+            else:
+                spark.conf.set(FREE_SHUFFLES, own)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared checkpoint folder and go on from there.
 
     Used between the passes of long plans, so later passes read the table instead of
-    repeating its shuffles, and a lost executor costs only its own tasks.
+    repeating its shuffles, and a lost executor costs only its own tasks. Nothing reads the
+    write's shuffles again, so their files go with it and do not pile up from pass to pass.
     """
     path = f"{checkpoint_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -51,3 +51,26 @@ def test_hot_group_of_near_copies_and_edges(spark):
     assert sorted((o for o in out if o[0] in (None, 1, 2, 3, 5)), key=str) == sorted([(None, "a b"), (1, None), (2, ""), (3, " \t \n"), (5, "x " * 20_000)], key=str)
     assert [o for o in out if o[0] == 4] == [(4, ""), (4, "")]
     assert lines.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_stores_no_table_of_words_and_rules_pairs_out_before_their_sets_move(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+    # lines that share 30 of 40 words are compared with each other, but none is similar to another
+    rows = [(d, " ".join(base[:30] + [f"u{rng.randrange(10**6)}" for _ in range(10)])) for d in range(60)] + [(99, " ".join(base))]
+    stored = []
+    real = lines.materialise
+    monkeypatch.setattr(lines, "materialise", lambda df: stored.append(real(df)) or stored[-1])
+    got = lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == brute(rows, lines.SIMILARITY)
+    assert not any("word" in t.columns or "tx" in t.columns for t in stored)
+
+
+def test_wider_bitmaps_lose_no_pair(spark):
+    rng = random.Random(11)
+    for parts in (1, lines.WIDTH):
+        a = [rng.getrandbits(63) for _ in range(50)]
+        b = a[:45] + [rng.getrandbits(63) for _ in range(5)]
+        row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
+        differ = sum((F.bit_count(lines._parity("a", k, parts).bitwiseXOR(lines._parity("b", k, parts))) for k in range(parts)), F.lit(0))
+        assert row.select(differ).first()[0] <= 10
