@@ -48,7 +48,9 @@ def high(frame: Frame, c: str, n: int) -> Column:
 
 
 def middle(frame: Frame, c: str, n: int) -> Column:
-    return frame.whole(c, n, F.percentile(F.col(c), F.lit(0.5)).over(frame.last(n)))
+    # a full window holds n values and no NULL: sorting them costs far less than a percentile aggregate for every row
+    ranked = F.sort_array(F.collect_list(F.col(c).cast("double")).over(frame.last(n)))
+    return frame.whole(c, n, F.lit(0.5) * ranked[(n - 1) // 2] + F.lit(0.5) * ranked[n // 2])
 
 
 def slope(frame: Frame, c: str, n: int) -> Column:

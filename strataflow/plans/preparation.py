@@ -145,8 +145,8 @@ def drilling_features(df: DataFrame, series: SeriesLike, task: str = "formation"
         out = ordered.lag_features(out, layout, _channels(df, ["ActiveGL", "FIn", "FOut", "MRFlow"]), (1, 2, 3, 5))
     else:
         raise ValueError(f"unknown task {task}")
-    if layout.chunked:
-        out = materialise(out)
+    # read twice: for the means and for the result
+    out = materialise(out)
     return impute.fill_with_means(out, numeric_columns(out, frame))
 
 
