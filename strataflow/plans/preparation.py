@@ -36,9 +36,9 @@ def first_of_duplicates(df: DataFrame, series: SeriesLike, channels: Sequence[st
 
 
 def _settled(df: DataFrame, series: SeriesLike) -> tuple[DataFrame, Layout]:
-    """Measure the cleaned rows; large ones are written once, as several passes follow."""
-    layout = series.measure(df)
-    return (materialise(df) if layout.chunked else df), layout
+    """The cleaned rows, written once as several passes follow, and their measure."""
+    rows = materialise(df)
+    return rows, series.measure(rows)
 
 
 def _channels(df: DataFrame, wanted: Sequence[str]) -> list[str]:
@@ -113,6 +113,7 @@ def prepare_kick(
     chosen = _channels(data, derived)
     data = ordered.lag_features(data, layout, chosen, (1, 2, 3))
     data = ordered.rolling_features(data, layout, chosen, (5, 10, 20))
+    data = materialise(data)  # the windows, for the scaling's fit and for its result
     scaling = scale.fit_scale(data, "standard", numeric_columns(data, frame))
     kept = {c: p for c, p in scaling.parameters.items() if c in present}
     means = {c: float(p[0]) for c, p in kept.items()}

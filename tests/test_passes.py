@@ -16,7 +16,7 @@ def _samples(spark, n=240):
 
 def test_windows_are_not_computed_again_for_the_result(spark, capsys):
     df, series = _samples(spark), Series("well", "id")
-    for out in (preparation.drilling_features(df, series, "kick"),):
+    for out in (preparation.drilling_features(df, series, "kick"), preparation.prepare_kick(df, series, _CHANNELS[:6])[0]):
         capsys.readouterr()
         out.explain()
         assert "Window" not in capsys.readouterr().out
