@@ -3,7 +3,7 @@
 A line is the set of its lower-cased words. Words are ordered by rarity over all documents, then lines whose sets reach a
 Jaccard similarity of SIMILARITY share a word among their rarest few (the prefix). Pairs that meet under such a word
 pass length and positional filters and a bitmap filter (the sets' parity bitmaps differ in no more bits than the sets in
-words), and are then verified on the whole sets. A line goes if any earlier line (by doc_id, then line number) is as similar.
+words; long sets have wider bitmaps, as 64 bits tell few of them apart), and are then verified on the whole sets. A line goes if any earlier line (by doc_id, then line number) is as similar.
 
 Equal sets are one entry, so copies cost a row each. Where many similar lines meet under a word, each is first
 compared with the earliest one there; only lines that this leaves in doubt meet all others. Nothing is cut off.
@@ -16,8 +16,11 @@ be one and the same for all lines, so words that share a bucket cost time, never
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataflow.session import materialise
@@ -32,6 +35,11 @@ BROADCAST = 250_000
 STEPS = 3
 #: Longs of the bitmap that pairs are compared by before their sets are; a power of 2.
 WIDTH = 8
+#: Sets of more words than this meet with bitmaps of MARKS longs, others of one long.
+SHORT = 48
+MARKS = 4
+#: Parts of the prefixes' words that meet one after the other: only one part's shuffle files are on disk at a time.
+PASSES = 4
 
 
 def _words(line: Column) -> Column:
@@ -85,16 +93,16 @@ def _overlap(a: Column, b: Column, similarity: float) -> Column:
 
 
 def _sets_of(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rare: Column) -> DataFrame:
-    """(x, first, ids, n, s0 ...): the whole sets of the lines in pairs (a, b), read from the documents again, and their bitmaps."""
-    asked = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).distinct().join(sets.select("x", "first"), "x")
-    asked = materialise(asked.select("x", "first", F.xxhash64("first.doc_id", "first.row", "first.line").alias("_at")))
+    """(at, ids, n, s0 ...): the whole sets of the lines in pairs (a, b), read from the documents again, and their bitmaps."""
+    asked = pairs.select(F.col("a").alias("at")).union(pairs.select("b")).distinct().join(sets.select("at", "first"), "at")
+    asked = materialise(asked.select("at", "first", F.xxhash64("first.doc_id", "first.row", "first.line").alias("_at")))
     own = _split(docs).withColumn("_at", F.xxhash64("doc_id", "row", "line"))
     # few asked lines go to the documents; many meet them in a shuffle of (place, line)
     wanted = F.broadcast(asked) if asked.count() <= BROADCAST else asked
     exact = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    found = own.join(wanted, "_at").where(exact).select("x", "first", "t").dropDuplicates(["x"])
-    found = found.select("x", "first", _ids(F.col("t"), rare).alias("ids"))
-    return materialise(found.select("x", "first", "ids", F.size("ids").alias("n"), *[_parity("ids", k, WIDTH).alias(f"s{k}") for k in range(WIDTH)]))
+    found = own.join(wanted, "_at").where(exact).select("at", "t").dropDuplicates(["at"])
+    found = found.select("at", _ids(F.col("t"), rare).alias("ids"))
+    return materialise(found.select("at", "ids", F.size("ids").alias("n"), *[_parity("ids", k, WIDTH).alias(f"s{k}") for k in range(WIDTH)]))
 
 
 def _parity(ids: str, part: int = 0, parts: int = 1) -> Column:
@@ -104,19 +112,35 @@ def _parity(ids: str, part: int = 0, parts: int = 1) -> Column:
     return F.aggregate(held, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(one(h)))
 
 
+def _marks(ids: str, n: Column) -> list[Column]:
+    """A bitmap of MARKS longs for long sets; the one long of a short set is what the longs of a long one add up to, by XOR."""
+    parts = [_parity(ids, k, MARKS) for k in range(MARKS)]
+    none = F.lit(0).cast("long")
+    return [F.when(n > SHORT, part).otherwise(none if k else _parity(ids)) for k, part in enumerate(parts)]
+
+
+def _unlike(a: list[Column], b: list[Column], wide: Column) -> Column:
+    """In how many bits two bitmaps differ; two wide ones are compared whole, others as one long."""
+    differ = [x.bitwiseXOR(y) for x, y in zip(a, b)]
+    folded = differ[0]
+    for d in differ[1:]:
+        folded = folded.bitwiseXOR(d)
+    return F.when(wide, sum((F.bit_count(d) for d in differ), F.lit(0))).otherwise(F.bit_count(folded))
+
+
 def _later(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(x): of pairs (a, b) whose whole sets are similar, the later one.
+    """(at): of pairs (a, b), b the earlier, whose whole sets are similar, the later one.
 
     Wider bitmaps rule out most pairs before the sets themselves are sent to theirs.
     """
-    marks = ["x", "n", *[f"s{k}" for k in range(WIDTH)]]
-    seen = lambda p, columns: found.select(*[F.col(c).alias(p if c == "x" else p + c) for c in columns])
+    marks = ["at", "n", *[f"s{k}" for k in range(WIDTH)]]
+    seen = lambda p, columns: found.select(*[F.col(c).alias(p if c == "at" else p + c) for c in columns])
     need = _overlap(F.col("an"), F.col("bn"), similarity)
     unlike = sum((F.bit_count(F.col(f"as{k}").bitwiseXOR(F.col(f"bs{k}"))) for k in range(WIDTH)), F.lit(0))
     left = pairs.join(seen("a", marks), "a").join(seen("b", marks), "b").where(unlike <= F.col("an") + F.col("bn") - 2 * need).select("a", "b")
-    met = left.join(seen("a", ["x", "first", "ids"]), "a").join(seen("b", ["x", "first", "ids"]), "b")
+    met = left.join(seen("a", ["at", "ids"]), "a").join(seen("b", ["at", "ids"]), "b")
     alike = met.where(F.size(F.array_intersect("aids", "bids")) >= _overlap(F.size("aids"), F.size("bids"), similarity))
-    return alike.select(F.when(F.col("afirst") > F.col("bfirst"), F.col("a")).otherwise(F.col("b")).alias("x")).distinct()
+    return alike.select(F.col("a").alias("at")).distinct()
 
 
 def later_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -133,43 +157,58 @@ def later_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     long = n >= smallest
     # rows that repeat a document list its lines again: an entry equal to the first one is never later than it
     lines = materialise(_lines(docs, rare).select(
-        "doc_id", "row", "line", F.xxhash64("ids").alias("x"), n.alias("n"), F.when(long, _parity("ids")).alias("bits"),
+        "doc_id", "row", "line", F.xxhash64("ids").alias("x"), n.alias("n"),
+        *[F.when(long, c).alias(f"b{k}") for k, c in enumerate(_marks("ids", n))],
         # the join's key is a shorter hash of the word: what it confuses, the later filters tell apart
         F.when(long, F.transform(F.slice("ids", F.lit(1), n - least + 1), lambda h: F.hash(h))).alias("prefix"),
     ))
-    sets = materialise(lines.groupBy("x").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
-    order = F.coalesce("first.doc_id", F.lit(-(1 << 63)))
-
-    def words(of: DataFrame) -> DataFrame:
-        """(word, x, d, bits, na): the prefixes' words; n and place fit one number, which the shuffle carries in fewer bytes."""
-        each = of.where(F.col("prefix").isNotNull()).select("x", order.alias("d"), "n", "bits", F.posexplode("prefix").alias("at", "word"))
-        return each.select("word", "x", "d", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("na"))
+    bits = [f"b{k}" for k in range(MARKS)]
+    sets = lines.groupBy("x").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", *bits, "prefix")])
+    # the place of a set, in the order of the first lines: one small number, by which sets are named and ordered
+    sets = materialise(sets.orderBy("first").withColumn("at", F.monotonically_increasing_id()))
+    columns = ["at", *bits, "na"]
+
+    def words(of: DataFrame, turn: int, p: str = "") -> DataFrame:
+        """(word, at, b0 ..., na): the prefixes' words of one pass; n and place fit one number, which the shuffle carries in fewer bytes."""
+        each = of.where(F.col("prefix").isNotNull()).select("at", *bits, "n", F.posexplode("prefix").alias("i", "word")).where(F.pmod("word", F.lit(PASSES)) == turn)
+        na = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
+        return each.select("word", *[F.col(c).alias(p + c) for c in ("at", *bits)], na.alias(f"{p}na"))
 
     size, place = lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))
 
     def may(p: str, q: str) -> Column:
         na, nb, i, j = size(F.col(f"{p}na")), size(F.col(f"{q}na")), place(F.col(f"{p}na")), place(F.col(f"{q}na"))
         need = _overlap(na, nb, similarity)
-        alike = F.bit_count(F.col(f"{p}bits").bitwiseXOR(F.col(f"{q}bits"))) <= na + nb - 2 * need
-        return alike & (F.least(na, nb) >= F.lit(similarity) * F.greatest(na, nb) - F.lit(1e-9)) & (F.least(i, j) + F.least(na - i, nb - j) >= need)
+        alike = _unlike([F.col(p + c) for c in bits], [F.col(q + c) for c in bits], (na > SHORT) & (nb > SHORT)) <= na + nb - 2 * need
+        return (F.least(na, nb) >= F.lit(similarity) * F.greatest(na, nb) - F.lit(1e-9)) & (F.least(i, j) + F.least(na - i, nb - j) >= need) & alike
+
+    def in_passes(met: Callable[[int], DataFrame]) -> DataFrame:
+        """The pairs (a, b) of all passes, each once; b is the earlier line."""
+        parts = [materialise(met(turn).distinct()) for turn in range(PASSES)]
+        return reduce(DataFrame.union, parts).distinct()
+
+    def with_first(turn: int) -> DataFrame:
+        """Each word's lines meet its earliest one where the shuffle has brought them."""
+        own = Window.partitionBy("word")
+        met = words(sets, turn, "t").withColumn("c", F.min(F.struct(*[F.col(f"t{c}").alias(c) for c in columns])).over(own))
+        met = met.select(*[f"t{c}" for c in columns], *[F.col(f"c.{c}").alias(f"c{c}") for c in columns])
+        return met.where((F.col("tat") != F.col("cat")) & may("t", "c")).select(F.col("tat").alias("a"), F.col("cat").alias("b"))
+
+    near = materialise(in_passes(with_first))
+    done = materialise(_later(near, _sets_of(near, sets, docs, rare), similarity))
+    doubt = sets.join(done, "at", "left_anti")
 
-    def named(p: str, of: DataFrame = sets) -> DataFrame:
-        return words(of).select("word", *[F.col(c).alias(p + c) for c in ("x", "d", "bits", "na")])
+    def with_others(turn: int) -> DataFrame:
+        met = words(doubt, turn, "p").join(words(sets, turn, "q"), "word")
+        return met.where((F.col("qat") < F.col("pat")) & may("p", "q")).select(F.col("pat").alias("a"), F.col("qat").alias("b"))
 
-    centres = words(sets).groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("d", "x", "bits", "na")).alias("c")).where("k > 1").select("word", F.col("c.x").alias("cx"), F.col("c.bits").alias("cbits"), F.col("c.na").alias("cna"))
-    met = named("t").join(centres, "word").where((F.col("tx") != F.col("cx")) & may("t", "c"))
-    near = materialise(met.select(F.col("tx").alias("a"), F.col("cx").alias("b")).distinct())
-    done = materialise(_later(near, _sets_of(near, sets, docs, rare), similarity))
-    # the words are made again from the sets: stored with their centres they would be the largest table here
-    doubt, other = named("p", sets.join(done, "x", "left_anti")), named("q")
-    others = doubt.join(other, "word").where((F.col("px") != F.col("qx")) & (F.col("qd") <= F.col("pd")) & may("p", "q")).select(F.col("px").alias("a"), F.col("qx").alias("b")).distinct()
-    fresh = materialise(others.join(near, ["a", "b"], "left_anti"))
+    fresh = materialise(in_passes(with_others).join(near, ["a", "b"], "left_anti"))
     found = _sets_of(fresh, sets, docs, rare)
     # one pair of each line first: it mostly settles the line, and only the others need all of their pairs
     one = materialise(_later(fresh.groupBy("a").agg(F.min("b").alias("b")), found, similarity))
-    rest = _later(fresh.join(one.withColumnRenamed("x", "a"), "a", "left_anti"), found, similarity)
+    rest = _later(fresh.join(one.withColumnRenamed("at", "a"), "a", "left_anti"), found, similarity)
     gone = materialise(done.union(one).union(rest).distinct().withColumn("gone", F.lit(True)))
-    told = sets.where(F.col("copies") > 1).select("x", "first").join(gone, "x", "full_outer").select("x", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    told = sets.join(gone, "at", "left").where((F.col("copies") > 1) | F.col("gone")).select("x", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     return lines.select("doc_id", "row", "line", "x").join(told, "x").where(F.col("gone") | (F.struct("doc_id", "row", "line") > F.col("first"))).select("doc_id", "row", "line").distinct()
 
 

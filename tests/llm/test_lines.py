@@ -74,3 +74,17 @@ def test_wider_bitmaps_lose_no_pair(spark):
         row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
         differ = sum((F.bit_count(lines._parity("a", k, parts).bitwiseXOR(lines._parity("b", k, parts))) for k in range(parts)), F.lit(0))
         assert row.select(differ).first()[0] <= 10
+
+
+def test_long_unlike_lines_of_few_words_are_no_candidates_and_words_meet_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(d, " ".join(rng.sample(words, 150))) for d in range(80)]
+    stored = []
+    real = lines.materialise
+    monkeypatch.setattr(lines, "materialise", lambda df: stored.append(real(df)) or stored[-1])
+    got = lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == dict(rows)
+    pairs = [t for t in stored if set(t.columns) == {"a", "b"}]
+    # 64 bits differ by chance in as few as 150 words may; the lines' bitmaps are wider
+    assert len(pairs) >= 2 * lines.PASSES and sum(t.count() for t in pairs) == 0
