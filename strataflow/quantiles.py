@@ -83,36 +83,45 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
 
 
 def _narrowed(data: DataFrame, open_: dict[tuple[str, int], Bracket], found: dict) -> tuple[dict, dict]:
-    """Smaller brackets, and how many values can lie between their ends; ranks that fall on an end are found."""
-    brackets = sorted(set(open_.values()))
-    wanted = []
-    for q, lo, hi in brackets:
-        c = F.when(~F.isnan(q), F.col(q))
-        inner = F.when((c > lo) & (c < hi), c)
-        wanted += [F.count(F.when(c < lo, 1)), F.count(F.when(c == lo, 1)), F.count(inner), F.percentile_approx(inner, [i / GRID for i in range(GRID + 1)], ACCURACY)]
-    told = data.agg(*[w.alias(f"a{i}") for i, w in enumerate(wanted)]).first()
+    """Smaller brackets, and how many values can lie between their ends; ranks that fall on an end are found.
+
+    A value is looked at once, in the place between the ends where it lies, however many brackets there are.
+    """
+    names, ends, shown, rows = _places(data, open_, repeated=True)
+    inner = F.percentile_approx("v", [i / GRID for i in range(GRID + 1)], ACCURACY)
+    # a row per place: twice as many as there are brackets, and some
+    told = {(q, at): (n, grid) for q, at, n, grid in rows.groupBy("q", "place").agg(F.sum("n"), inner).collect()}
     left, inside = {}, {}
-    for (q, k), bracket in open_.items():
-        below, at_low, inner, grid = told[4 * brackets.index(bracket) : 4 * brackets.index(bracket) + 4]
-        _, lo, hi = bracket
-        r = k - below - at_low
-        if r < 0 or r >= inner:
-            found[q, k] = lo if r < 0 else hi
+    for q, k in open_:
+        below, e = 0, ends[q]
+        for at in range(2 * len(e) + 1):
+            n, grid = told.get((names.index(q), at), (0, None))
+            if k < below + n:
+                break
+            below += n
+        if at % 2:
+            found[q, k] = float(e[at // 2])
             continue
-        i = math.floor((r / inner - 2.0 / ACCURACY) * GRID) - 1
-        j = math.ceil(((r + 1) / inner + 2.0 / ACCURACY) * GRID) + 1
+        if not shown[q][at]:
+            raise ArithmeticError("a sketch bracket missed its quantile")
+        lo, hi, r = float(e[at // 2 - 1]), float(e[at // 2]), k - below
+        i = math.floor((r / n - 2.0 / ACCURACY) * GRID) - 1
+        j = math.ceil(((r + 1) / n + 2.0 / ACCURACY) * GRID) + 1
         new = (q, lo if i <= 0 else grid[i], hi if j >= GRID else grid[j])
-        left[q, k], inside[new] = new, inner * ((j - i) / GRID + 2.0 / ACCURACY)
-        if new == bracket and inner <= FEW:  # nothing more to gain
+        left[q, k], inside[new] = new, n * ((j - i) / GRID + 2.0 / ACCURACY)
+        if new == (q, lo, hi) and n <= FEW:  # nothing more to gain
             inside[new] = 0
     return left, inside
 
 
-def _listed(data: DataFrame, open_: dict[tuple[str, int], Bracket]) -> dict[tuple[str, int], float]:
-    """The value at each rank: counts of the places between and at the brackets' ends, and the values inside them."""
+def _places(data: DataFrame, open_: dict[tuple[str, int], Bracket], repeated: bool = False) -> tuple[list[str], dict, dict, DataFrame]:
+    """Columns, the brackets' ends, the places inside a bracket, and (q, place, v, n): how often a value inside a bracket occurs, and how many lie at other places.
+
+    Places are 2 i before end i and 2 i + 1 at end i. ``repeated`` gives values inside once each time they occur.
+    """
     names = data.columns
     ends = {q: np.array(sorted({x for c, lo, hi in open_.values() if c == q for x in (lo, hi)})) for q in names}
-    # places: 2 i before end i, 2 i + 1 at end i; even places between a bracket's ends are listed
+    # even places between a bracket's ends are listed
     shown = {q: np.zeros(2 * len(e) + 1, dtype=bool) for q, e in ends.items()}
     for q, lo, hi in set(open_.values()):
         i, j = np.searchsorted(ends[q], [lo, hi])
@@ -131,15 +140,26 @@ def _listed(data: DataFrame, open_: dict[tuple[str, int], Bracket]) -> dict[tupl
                 counts = np.bincount(at[~show[at]], minlength=len(show))
                 held = np.flatnonzero(counts)
                 rows.append((np.full(len(held), i), held, np.zeros(len(held)), counts[held]))
+                if repeated:
+                    v, spot = x[show[at]], at[show[at]]
+                    rows.append((np.full(len(v), i), spot, v, np.ones(len(v), dtype=np.int64)))
+                    continue
                 v, first, number = np.unique(x[show[at]], return_index=True, return_counts=True)
                 rows.append((np.full(len(v), i), at[show[at]][first], v, number))
             columns = [np.concatenate(c) for c in zip(*rows)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.int64()))], ["q", "place", "v", "n"])
 
-    told = data.mapInArrow(place, "q int, place int, v double, n long").groupBy("q", "place", "v").agg(F.sum("n").alias("n")).toPandas()
+    return names, ends, shown, data.mapInArrow(place, "q int, place int, v double, n long")
+
+
+def _listed(data: DataFrame, open_: dict[tuple[str, int], Bracket]) -> dict[tuple[str, int], float]:
+    """The value at each rank: counts of the places between and at the brackets' ends, and the values inside them."""
+    names, ends, shown, rows = _places(data, open_)
+    told = rows.groupBy("q", "place", "v").agg(F.sum("n").alias("n")).toPandas()
     out = {}
-    for i in chosen:
-        q = names[i]
+    for i, q in enumerate(names):
+        if not len(ends[q]):
+            continue
         own = told[told.q == i].sort_values(["place", "v"])
         at, n = own.place.to_numpy(), own.n.to_numpy()
         values = np.where(at % 2 == 1, ends[q][np.minimum(at // 2, len(ends[q]) - 1)], own.v.to_numpy())

@@ -156,3 +156,13 @@ def test_knn_leaves_nonfinite_values_and_tables_without_donors(spark):
     empty = spark.createDataFrame([], "id int, a double")
     assert impute.impute_knn(empty, ["a"]).collect() == []
     assert impute.impute_knn(spark.createDataFrame([(1, None)], "id int, a double"), ["a"]).first().a is None
+
+
+def test_narrowing_takes_one_sketch_however_many_brackets(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=6000), 2)
+    ps, calls, real = [i / 60 for i in range(61)], [], F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: calls.append(a) or real(*a))
+    got = quantiles(spark.createDataFrame([(float(v),) for v in x], "a double"), ["a"], ps, 3)
+    assert np.allclose(got["a"], np.percentile(x, [100 * p for p in ps]), atol=1e-12)
+    assert len(calls) < 10
