@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..channels import EPSILON
 from ..operators.scale import unit_range
 from ..quantiles import quantiles
+from ..session import materialise
 from ..stats import gather, literal_table
 from .common import linear
 
@@ -86,9 +87,9 @@ def vote(
 def mean_score(
     df: DataFrame, scores: Mapping[str, str], weights: Mapping[str, float] | None = None, name: str = "score"
 ) -> DataFrame:
-    """Weighted mean of the members' scores, each mapped to 0..1."""
+    """Weighted mean of the members' scores, each mapped to 0..1; rows are stored once, as the scores are read for their range first."""
     used = _weights(scores, weights)
-    work = unit_range(df, {scores[m]: f"_unit_{m}" for m in used})
+    work = unit_range(materialise(df), {scores[m]: f"_unit_{m}" for m in used})
     return work.withColumn(name, linear([(f"_unit_{m}", w) for m, w in used.items()])).drop(*[f"_unit_{m}" for m in used])
 
 

@@ -126,3 +126,16 @@ def test_tree_fits_hold_bounded_parts(spark, monkeypatch):
     model = supervised.fit_regressor(df, ["x"], "y", "decision_tree")
     assert parts == [8]
     assert all(r["prediction"] == r["y"] for r in model.transform(df).collect())
+
+
+def test_mean_score_computes_each_score_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(x):
+        seen.add(1)
+        return float(x)
+
+    df = spark.range(40).select("id", costly("id").alias("a"))
+    got = ensemble.mean_score(df, {"m": "a"}).orderBy("id").collect()
+    assert np.allclose([r["score"] for r in got], [i / 39 for i in range(40)], atol=1e-6) and seen.value == 40
