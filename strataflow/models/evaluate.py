@@ -207,18 +207,21 @@ def fold_column(keys: Sequence[str], folds: int):
     return F.pmod(hash_number(*keys), F.lit(folds)).cast("int")
 
 
-def out_of_fold(df: DataFrame, fitters: Mapping[str, Fit], keys: Sequence[str], folds: int = 5, name: str = "fold") -> DataFrame:
+def out_of_fold(df: DataFrame, fitters: Mapping[str, Fit], keys: Sequence[str], folds: int = 5, name: str = "fold", parallelism: int = 4) -> DataFrame:
     """All rows with their fold and a column per model, predicted by a fit on the other folds alone.
 
     Works for whatever ``fitter(train)`` returns that has ``transform(df, output=...)``: regressors, classifiers,
     detectors, models of the user's own. Rows are stored once, each is scored once per model.
     """
     kept = materialise(df.withColumn(name, fold_column(keys, folds)))
+    # fits wait for their slowest tasks many times; others run meanwhile
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        fitted = list(pool.map(lambda w: w[1](kept.where(F.col(name) != w[0]).drop(name)), [(i, fitter) for i in range(folds) for fitter in fitters.values()]))
     parts = None
     for i in range(folds):
-        train, part = kept.where(F.col(name) != i).drop(name), kept.where(F.col(name) == i)
-        for model, fitter in fitters.items():
-            part = fitter(train).transform(part, output=model)
+        part = kept.where(F.col(name) == i)
+        for k, model in enumerate(fitters):
+            part = fitted[i * len(fitters) + k].transform(part, output=model)
         part = part.select(*kept.columns, *[F.col(m).cast("double").alias(m) for m in fitters])
         parts = part if parts is None else parts.unionByName(part)
     return materialise(parts)

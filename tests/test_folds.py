@@ -128,6 +128,19 @@ def test_tree_fits_hold_bounded_parts(spark, monkeypatch):
     assert all(r["prediction"] == r["y"] for r in model.transform(df).collect())
 
 
+def test_folds_are_fitted_side_by_side(rows):
+    import threading
+
+    together, out = threading.Barrier(2), []
+
+    def fitter(train):
+        together.wait(60)  # nobody comes if fits run one after the other
+        return pressure.fit_pls(train, ["x"], "y", 1)
+
+    out = evaluate.out_of_fold(rows, {"line": fitter}, ["id"], folds=2, parallelism=2)
+    assert out.count() == rows.count()
+
+
 def test_mean_score_computes_each_score_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
