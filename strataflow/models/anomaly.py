@@ -263,8 +263,11 @@ class OneClassMargin:
     threshold: float
 
     def _map(self, x: np.ndarray) -> np.ndarray:
-        z = (x - np.array(self.centre)) / np.array(self.width)
-        return math.sqrt(2 / len(self.phases)) * np.cos(z @ np.array(self.frequencies) + np.array(self.phases))
+        waves = ((x - np.array(self.centre)) / np.array(self.width)) @ np.array(self.frequencies)
+        waves += np.array(self.phases)
+        np.cos(waves, out=waves)
+        waves *= math.sqrt(2 / len(self.phases))
+        return waves
 
     def transform(self, df: DataFrame, output: str = "prediction", score: str = "score") -> DataFrame:
         """The score is the negated margin, so larger means stranger."""
@@ -287,14 +290,21 @@ class OneClassMargin:
         return OneClassMargin(**_load(path, spark))
 
 
+#: Rows that are worked on at once: few enough for their features to stay in a core's cache.
+BLOCK = 1024
+#: From LARGE rows on, a search begins at the minimum over about START rows drawn from them.
+LARGE, START = 1_000_000, 100_000
+
+
 def _tree_sums(data: DataFrame, features: Sequence[str], part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum over all rows of an array that ``part`` makes of a batch: added up in the tasks, then by position."""
+    """Sum over all rows of an array that ``part`` makes of a block: added up in the tasks, then by position."""
 
     def summed(frames):
         total = None
         for frame in frames:
-            if len(frame):
-                own = part(frame[list(features)].to_numpy(float))
+            rows = frame[list(features)].to_numpy(float)
+            for at in range(0, len(rows), BLOCK):
+                own = part(rows[at : at + BLOCK])
                 total = own if total is None else total + own
         if total is not None:
             yield pd.DataFrame({"g": [total.tolist()]})
@@ -303,6 +313,47 @@ def _tree_sums(data: DataFrame, features: Sequence[str], part: Callable[[np.ndar
     return np.array([r["s"] for r in sorted(rows, key=lambda r: r["pos"])])
 
 
+def _least(
+    data: DataFrame, features: Sequence[str], fourier: Callable[[np.ndarray], np.ndarray], n: float, point: np.ndarray,
+    nu: float, rounds: int, tolerance: float, smoothing: float,
+) -> np.ndarray:
+    """Weights and offset that Newton's method reaches from ``point`` over the ``n`` rows of ``data``."""
+    size = len(point)
+    best, best_point, step, decrement = math.inf, point, None, math.inf
+    for _ in range(rounds):
+        at = point.copy()
+
+        def part(x: np.ndarray) -> np.ndarray:
+            waves = fourier(x)
+            short = at[-1] - waves @ at[:-1]
+            slope = np.clip(short / smoothing, 0.0, 1.0)
+            waves = waves[short > 0]  # the others add nothing
+            held = slope[short > 0]
+            bent = np.column_stack([-waves[held < 1.0], np.ones(int((held < 1.0).sum()))])
+            loss = np.where(short >= smoothing, short - smoothing / 2, slope * short / 2).sum()
+            return np.concatenate([[loss], -(held @ waves), [held.sum()], (bent.T @ bent).ravel()])
+
+        got = _tree_sums(data, features, part) / (nu * n)
+        value = float(at[:-1] @ at[:-1]) / 2 - float(at[-1]) + float(got[0])
+        if step is not None and value > best - 1e-4 * decrement:
+            step = step / 2
+            if float(np.abs(step).max()) < 1e-12:
+                break
+            point = best_point + step
+            decrement /= 2
+            continue
+        best, best_point = value, at
+        gradient = np.append(at[:-1], -1.0) + got[1:size + 1]
+        curve = np.diag(np.append(np.ones(size - 1), 1e-6)) + got[size + 1:].reshape(size, size) / smoothing
+        step = -np.linalg.solve(curve, gradient)
+        step *= min(1.0, 1.0 / float(np.linalg.norm(step)))
+        decrement = float(-gradient @ step)
+        if decrement < tolerance * max(1.0, abs(value)):
+            break
+        point = at + step
+    return best_point
+
+
 def fit_one_class(
     df: DataFrame, features: Sequence[str], label: str | None = None, nu: float = 0.1, dimensions: int = 64,
     gamma: float | None = None, rounds: int = 100, seed: int = 42, tolerance: float = 1e-6, smoothing: float = 0.01,
@@ -312,6 +363,7 @@ def fit_one_class(
     The objective is |w|²/2 - r + mean(hinge(r - w·x)) / nu; smoothing the hinge over a width changes it by less than
     that width / 2nu. Every round sums gradient, curvature and objective inside the partitions (a bounded array a task);
     a round that made the objective worse halves its step. ``rounds`` only ends a search that does not converge.
+    On LARGE tables the search begins where it ended over a sample; it ends by the same test over all rows.
     """
     features = list(features)
     data = _normal_rows(df, features, label)
@@ -330,43 +382,19 @@ def fit_one_class(
     data = at_least_parallel(data).persist()
     try:
         fourier = model._map
-        size = dimensions + 1
         total = _tree_sums(data, features, lambda x: np.append(fourier(x).sum(axis=0), float(len(x))))
         n = float(total[-1]) if len(total) else 0.0
         if not n:
             raise ValueError("no complete rows to fit on")
         mean = total[:-1] / n
         point = np.append(mean, float(mean @ mean))  # weights, then the offset
-        best, best_point, step, decrement = math.inf, point, None, math.inf
-        for _ in range(rounds):
-            at = point.copy()
-
-            def part(x: np.ndarray) -> np.ndarray:
-                rows = np.column_stack([-fourier(x), np.ones(len(x))])
-                short = rows @ at
-                slope = np.clip(short / smoothing, 0.0, 1.0)
-                bent = rows[(short > 0) & (short < smoothing)]
-                loss = np.where(short >= smoothing, short - smoothing / 2, slope * short / 2).sum()
-                return np.concatenate([[loss], slope @ rows, (bent.T @ bent).ravel()])
-
-            got = _tree_sums(data, features, part) / (nu * n)
-            value = float(at[:-1] @ at[:-1]) / 2 - float(at[-1]) + float(got[0])
-            if step is not None and value > best - 1e-4 * decrement:
-                step = step / 2
-                if float(np.abs(step).max()) < 1e-12:
-                    break
-                point = best_point + step
-                decrement /= 2
-                continue
-            best, best_point = value, at
-            gradient = np.append(at[:-1], -1.0) + got[1:size + 1]
-            curve = np.diag(np.append(np.ones(dimensions), 1e-6)) + got[size + 1:].reshape(size, size) / smoothing
-            step = -np.linalg.solve(curve, gradient)
-            step *= min(1.0, 1.0 / float(np.linalg.norm(step)))
-            decrement = float(-gradient @ step)
-            if decrement < tolerance * max(1.0, abs(value)):
-                break
-            point = at + step
+        if n >= LARGE:
+            drawn = data.sample(False, START / n, seed).persist()
+            try:
+                point = _least(drawn, features, fourier, float(drawn.count()), point, nu, rounds, tolerance, smoothing)
+            finally:
+                drawn.unpersist()
+        best_point = _least(data, features, fourier, n, point, nu, rounds, tolerance, smoothing)
         model.weights = [float(v) for v in best_point[:-1]]
         model.threshold = _score_quantile(model, data, 1 - nu)
     finally:
