@@ -13,6 +13,7 @@ system that Spark writes to will do.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from strataflow.session import checkpoint_root
 
 END_ID = 2
-#: Remembered units of one worker; beyond it the memory starts anew.
-UNITS = 900_000
+#: Units remembered by one worker; then they become the past, from which those still in use are taken over.
+UNITS = 600_000
 #: A block closes once it holds so many ids.
 BLOCK_IDS = 1 << 20
 
@@ -45,6 +46,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_MARKS = (".", ",", b".", b",")
+
+
+def _four_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Units(dict):
@@ -54,28 +60,42 @@ class Units(dict):
         super().__init__()
         self.tokenizer, self.model, self.before, self.lower = tokenizer, tokenizer.model, before, lower
         self.plain = self if plain is None else plain
+        self.past: dict[str | bytes, bytes] = {}
+        self.prefix = before.encode().decode("latin-1").translate(_LETTERS)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _four_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def piece(self, letters: str) -> bytes:
+        """Letters alone are one piece, which goes to the vocabulary's merges directly; ``letters`` as the vocabulary writes them."""
+        return _four_bytes([t.id for t in self.model.tokenize(self.prefix + letters)])
 
     def __missing__(self, key: str | bytes) -> bytes:
-        if len(self) > UNITS:
-            self.clear()
-        word = key.decode() if isinstance(key, bytes) else key
-        stem = word[:-1] if word[-1:] in (".", ",") else word
-        cased = stem.lower() if self.lower else stem
-        if cased.isalpha() and max(cased) < "\u0250":
-            if stem is not word:  # letters and a mark after them are never merged
-                found = self[key[:-1]] + self.plain[key[-1:]]
-            else:  # letters alone are one piece, which goes to the vocabulary's merges directly
-                piece = (self.before + cased).encode().decode("latin-1").translate(_LETTERS)
-                found = np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
-        else:
-            found = self.whole(self.before + word)
-        if len(word) <= 64:
+        found = self.past.get(key)
+        if found is None:
+            found = self.encoded(key)
+        if len(key) <= 64:
+            if len(self) >= UNITS:
+                self.past = dict(self)
+                self.clear()
             self[key] = found
         return found
 
+    def encoded(self, key: str | bytes) -> bytes:
+        last = key[-1:]
+        stem = key[:-1] if last in _MARKS else key
+        # most words are ASCII letters, which the vocabulary writes as themselves
+        if stem.isascii() and stem.isalpha():
+            if stem is not key:  # letters and a mark after them are never merged
+                return self[stem] + self.plain[last]
+            cased = key.lower() if self.lower else key
+            return self.piece(cased.decode() if isinstance(cased, bytes) else cased)
+        word = stem.decode() if isinstance(stem, bytes) else stem
+        cased = word.lower() if self.lower else word
+        if cased.isalpha() and max(cased) < "\u0250":
+            return self[stem] + self.plain[last] if stem is not key else self.piece(cased.encode().decode("latin-1").translate(_LETTERS))
+        return self.whole(self.before + (key.decode() if isinstance(key, bytes) else key))
+
 
 class Encoder:
     """Ids of whole texts with one vocabulary file of the tokenizers library."""
@@ -123,8 +143,10 @@ def encoder(path: str) -> Encoder:
 
 # ---- the byte-aligned code ------------------------------------------------------
 
-#: For each control byte, the byte counts of its four values.
-_COUNTS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
+#: For each control byte, the byte counts of its four values, less one.
+_COUNTS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
+#: For each byte count less one, which of a value's four bytes are held: four flags, read as one number.
+_HELD = (np.arange(4) <= np.arange(4)[:, None]).view("u4").reshape(-1)
 
 
 def rank_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,20 +169,20 @@ def rank_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes (two bits a value) and data bytes (one to four a value, lowest first)."""
-    counts = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    more = (values > 0xFF).view(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
     padded = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
-    padded[: len(values)] = counts - 1
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    octets = values.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), octets[np.arange(4) < counts[:, None]].tobytes()
+    padded[: len(values)] = more
+    control = padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
+    octets = values.astype("<u4", copy=False).view(np.uint8)
+    return control.tobytes(), octets[_HELD[more].view(bool)].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The values again: byte counts by table lookup, then one masked gather."""
     counts = _COUNTS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    octets = np.zeros((n, 4), dtype=np.uint8)
-    octets[np.arange(4) < counts[:, None]] = np.frombuffer(data, dtype=np.uint8)
-    return octets.view("<u4").reshape(-1)
+    octets = np.zeros(4 * n, dtype=np.uint8)
+    octets[_HELD[counts].view(bool)] = np.frombuffer(data, dtype=np.uint8)
+    return octets.view("<u4")
 
 
 _BLOCK = "shard int, block int, n_ids long, doc_ids binary, lengths binary, ranked binary, control binary, data binary"
