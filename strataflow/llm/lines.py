@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 RARITY_BUCKETS = 1 << 18
 #: Places of lines, of 40 bytes each, that are sent to every task.
 BROADCAST = 250_000
+#: Bits, at most, that tell lines which are asked for from others.
+MOST_BITS = 1 << 27
 #: Steps of the logarithm of a count: each is a factor of 2 ** (1 / STEPS).
 STEPS = 3
 #: Longs of the bitmap that pairs are compared by before their sets are; a power of 2.
@@ -92,13 +94,30 @@ def _overlap(a: Column, b: Column, similarity: float) -> Column:
     return F.ceil(F.lit(similarity / (1 + similarity)) * (a + b) - F.lit(1e-9))
 
 
+def _likely(rows: DataFrame, asked: DataFrame, n: int, key: str) -> DataFrame:
+    """The rows whose key, a hash, may be among the ``n`` asked ones: a bit stands for every asked key, 8 bits a key up to MOST_BITS.
+
+    Rows of asked keys all stay, so a join that follows finds the same; the bits are sent to every task in bitmaps of 4 KB.
+    """
+    size = min(MOST_BITS, 1 << max(15, (8 * n - 1).bit_length()))
+    place = F.pmod(F.col(key), F.lit(size))
+    held, bits, bucket = (unused([*rows.columns, *asked.columns], c) for c in ("_held", "_bits", "_bucket"))
+    maps = asked.select(place.alias(held)).groupBy(F.bitmap_bucket_number(held).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(held)).alias(bits))
+    met = rows.withColumn(held, place).join(F.broadcast(maps), F.bitmap_bucket_number(held) == F.col(bucket))
+    at = F.bitmap_bit_position(held).cast("int")
+    octet = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.call_function("shiftright", octet, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
 def _sets_of(pairs: DataFrame, sets: DataFrame, docs: DataFrame, rare: Column) -> DataFrame:
     """(at, ids, n, s0 ...): the whole sets of the lines in pairs (a, b), read from the documents again, and their bitmaps."""
     asked = pairs.select(F.col("a").alias("at")).union(pairs.select("b")).distinct().join(sets.select("at", "first"), "at")
     asked = materialise(asked.select("at", "first", F.xxhash64("first.doc_id", "first.row", "first.line").alias("_at")))
     own = _split(docs).withColumn("_at", F.xxhash64("doc_id", "row", "line"))
-    # few asked lines go to the documents; many meet them in a shuffle of (place, line)
-    wanted = F.broadcast(asked) if asked.count() <= BROADCAST else asked
+    # few asked lines go to the documents; many meet them in a shuffle of (place, line), which few others enter
+    n = asked.count()
+    wanted = F.broadcast(asked) if n <= BROADCAST else asked
+    own = own if n <= BROADCAST else _likely(own, asked, n, "_at")
     exact = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     found = own.join(wanted, "_at").where(exact).select("at", "t").dropDuplicates(["at"])
     found = found.select("at", _ids(F.col("t"), rare).alias("ids"))
