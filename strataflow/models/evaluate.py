@@ -327,6 +327,10 @@ def time_series_scores(df: DataFrame, series: SeriesLike, target: str, fitter: F
 # ---- importance, robustness, confidence --------------------------------------------
 
 
+#: Copies of rows, one for each feature and repeat, that a task scores.
+COPIES_PER_TASK = 2_000_000
+
+
 def permutation_importance(
     df: DataFrame, model, target: str, keys: Sequence[str], repeats: int = 5, rows: int | None = None, seed: int = supervised.SEED
 ) -> DataFrame:
@@ -342,25 +346,27 @@ def permutation_importance(
     order = Series((), ("_hash", *keys))
     numbered = materialise(number_rows(base.withColumn("_hash", hash_number(*keys)), order, "_i", "_n").select(*features, target, "_i", "_n"))
     rng = random.Random(seed)
-    cells = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.lit(k).alias("repeat"), F.lit(rng.random()).alias("share")) for f in features for k in range(repeats)
-    ])
+    # a cell is a feature and a repeat, as one number; the rows as they are have cell -1
+    cells = F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(rng.random()).alias("share")) for c in range(len(features) * repeats)])
     copies = numbered.withColumn("_c", F.explode(cells)).select("*", "_c.*").drop("_c")
     step = F.lit(1) + F.floor(F.col("share") * (F.col("_n") - F.lit(1)))
-    copies = copies.withColumn("_from", F.pmod(F.col("_i") + step, F.col("_n")))
+    copies = copies.select("cell", *features, target, F.pmod(F.col("_i") + step, F.col("_n")).alias("_from"))
     givers = numbered.select(F.col("_i").alias("_from"), *[F.col(f).alias(f"_g_{f}") for f in features])
-    shuffled = copies.join(givers, "_from").withColumns(
-        {f: F.when(F.col("feature") == f, F.col(f"_g_{f}")).otherwise(F.col(f)) for f in features}
+    # tasks of bounded size: each keeps its givers in a small table, and the many copies need no sort
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-numbered.count() * len(features) * repeats // COPIES_PER_TASK))
+    met = copies.repartition(parts, "_from").join(givers.repartition(parts, "_from").hint("shuffle_hash"), "_from")
+    shuffled = met.withColumns(
+        {f: F.when(F.floor(F.col("cell") / repeats) == i, F.col(f"_g_{f}")).otherwise(F.col(f)) for i, f in enumerate(features)}
     )
-    plain = numbered.select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), *features, target)
-    both = plain.unionByName(shuffled.select("feature", "repeat", *features, target))
+    plain = numbered.select(F.lit(-1).alias("cell"), *features, target)
+    both = plain.unionByName(shuffled.select("cell", *features, target))
     scored = model.transform(both)
     # one row per feature and repeat
-    errors = scored.groupBy("feature", "repeat").agg(mse(F.col(target).cast("double"), F.col("prediction")).alias("e")).collect()
-    start = next((r["e"] for r in errors if r["feature"] == ""), None)
+    errors = scored.groupBy("cell").agg(mse(F.col(target).cast("double"), F.col("prediction")).alias("e")).collect()
+    start = next((r["e"] for r in errors if r["cell"] == -1), None)
     out = []
-    for f in features:
-        rises = [r["e"] - start for r in errors if r["feature"] == f and r["e"] is not None]
+    for i, f in enumerate(features):
+        rises = [r["e"] - start for r in sorted(errors, key=lambda r: r["cell"]) if r["cell"] >= 0 and r["cell"] // repeats == i and r["e"] is not None]
         if rises:
             out.append((f, float(np.mean(rises)), float(np.std(rises))))
     out.sort(key=lambda t: -t[1])
