@@ -10,6 +10,8 @@ from strataflow.session import materialise
 
 #: Rows of a small table that one task takes.
 ROWS_A_TASK = 20_000
+#: Links, at most, of which a round may send a side to every task; files of many repeated nodes are much smaller than their rows.
+BROADCAST = 250_000
 
 
 def gathered(df: DataFrame, rows: int) -> DataFrame:
@@ -37,9 +39,10 @@ def components(links: DataFrame) -> DataFrame:
         pairs = gathered(pairs, rows)
         both = pairs.union(pairs.select(F.col("b"), F.col("a"))).toDF("u", "v").coalesce(max(1, -(-rows // ROWS_A_TASK)))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = least.hint("merge") if rows > BROADCAST else least
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = gathered(materialise(gathered(large, rows)), rows)
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(smallest, "a").select("b", "m").where(F.col("b") != F.col("m")).toDF("a", "b")
+        joined = large.join(smallest.hint("merge") if rows > BROADCAST else smallest, "a").select("b", "m").where(F.col("b") != F.col("m")).toDF("a", "b")
         pairs = materialise(gathered(joined.union(smallest.select("a", F.col("m").alias("b"))).distinct(), rows))
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select("b", "b").distinct())

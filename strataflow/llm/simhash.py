@@ -75,6 +75,15 @@ def _keyed(prints: DataFrame) -> DataFrame:
     return cut.select(key.alias("key"), "fp")
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that shuffles and sorts, whatever size it is taken for.
+
+    An explode's rows are not in Spark's estimate of its size: 66 keys a print, or four bytes a key, look like one row.
+    A table that looks small would be sent to the driver whole.
+    """
+    return df.hint("merge")
+
+
 def _near(a: str, b: str, bits: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
 
@@ -89,18 +98,18 @@ def linked(prints: DataFrame, bits: int = BITS) -> DataFrame:
     # a small table still makes 66 rows a print: spread it over all tasks
     keyed = _keyed(prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("c0"), F.max("fp").alias("c1"), F.min_by("fp", F.xxhash64("fp")).alias("c2")).where(F.col("n") > 1)
-    met = materialise(keyed.join(counts.select("key", *[f"c{i}" for i in range(CENTRES)]), "key"))
+    met = materialise(keyed.join(_merged(counts.select("key", *[f"c{i}" for i in range(CENTRES)])), "key"))
     stars = [met.where((F.col("fp") != F.col(f"c{i}")) & _near("fp", f"c{i}", bits)).select(F.col("fp").alias("a"), F.col(f"c{i}").alias("b")) for i in range(CENTRES)]
     links = materialise(stars[0].union(stars[1]).union(stars[2]).distinct())
     known = materialise(components(links))
-    named = met.select("key", "fp").join(known.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
+    named = met.select("key", "fp").join(_merged(known.withColumnRenamed("node", "fp")), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
     named = materialise(named)
     mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
     other = F.when(F.shiftright("key", 32) < 33, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     byte = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.shiftleft(i, 8).bitwiseOR(F.call_function("shiftright", F.col("other"), i * 8).bitwiseAND(F.lit(255)).cast("int"))))
-    open_keys = named.join(mixed, "key").withColumn("other", other).select("key", byte.alias("byte"), "fp", "c")
+    open_keys = named.join(_merged(mixed), "key").withColumn("other", other).select("key", byte.alias("byte"), "fp", "c")
     left, right = open_keys.toDF("key", "byte", "a", "ca"), open_keys.toDF("key", "byte", "b", "cb")
-    more = left.join(right, ["key", "byte"]).where((F.col("ca") < F.col("cb")) & _near("a", "b", bits)).select("ca", "cb").distinct().toDF("a", "b")
+    more = left.join(_merged(right), ["key", "byte"]).where((F.col("ca") < F.col("cb")) & _near("a", "b", bits)).select("ca", "cb").distinct().toDF("a", "b")
     more = materialise(more)
     if more.limit(1).count() == 0:
         return known
