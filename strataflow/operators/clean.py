@@ -92,8 +92,10 @@ def _all_of(conditions: list[Column]) -> Column:
     return kept
 
 
-def remove_iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, factor: float = 1.5) -> DataFrame:
-    """Keep rows inside the bounds of every column; a NULL counts as outside.
+def remove_iqr_outliers(
+    df: DataFrame, columns: Sequence[str] | None = None, factor: float = 1.5, keep_gaps: bool = False
+) -> DataFrame:
+    """Keep rows inside the bounds of every column; a NULL counts as outside, or as inside with ``keep_gaps``.
 
     A column with no values at all has no bounds and removes every row, as a
     comparison with missing bounds is never true.
@@ -101,6 +103,8 @@ def remove_iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, fac
     columns = list(columns if columns is not None else numeric_columns(df))
     bounds = iqr_bounds(df, columns, factor)
     tests = [F.col(c).between(*bounds[c]) if c in bounds else F.lit(False) for c in columns]
+    if keep_gaps:
+        tests = [F.col(c).isNull() | t for c, t in zip(columns, tests)]
     return df.where(_all_of(tests))
 
 

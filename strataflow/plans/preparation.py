@@ -103,13 +103,14 @@ def prepare_kick(
     values = [c for c in dict.fromkeys(channels)]
     data = clean.require_columns(df, [*frame, *[c for c in values if c not in frame]])
     data = first_of_duplicates(data, series, values)
-    data, layout = _settled(clean.remove_iqr_outliers(data, values, 2.0), series)
+    # rows with gaps stay: the nearest donors fill them
+    data, layout = _settled(clean.remove_iqr_outliers(data, values, 2.0, keep_gaps=True), series)
     constant = [c for c in clean.constant_columns(data, values) if c not in frame]
     data = data.drop(*constant)
     present = _channels(data, values)
     gaps = impute.columns_with_gaps(data, present)
     if gaps:
-        data = impute.impute_knn(data, gaps)
+        data = materialise(impute.impute_knn(data, gaps))
     chosen = _channels(data, derived)
     data = ordered.lag_features(data, layout, chosen, (1, 2, 3))
     data = ordered.rolling_features(data, layout, chosen, (5, 10, 20))
