@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.metrics import mse, r2, regression_columns
 from ..operators.split import hash_number, random_sample
 from ..series import Series, SeriesLike, number_rows
-from ..session import materialise
+from ..session import materialise, shuffles_freed
 from ..sources.files import read_checked_csv
 from ..stats import gather, literal_table
 from . import supervised
@@ -329,6 +330,43 @@ def time_series_scores(df: DataFrame, series: SeriesLike, target: str, fitter: F
 
 #: Copies of rows, one for each feature and repeat, that a task scores.
 COPIES_PER_TASK = 2_000_000
+#: Copies whose shuffle files are on disk at one time; a pass has one cell at least.
+COPIES_PER_PASS = 200_000_000
+#: Rows of a block: values move as slices of blocks.
+BLOCK_ROWS = 1024
+
+
+def _blocks(numbered: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(_block, columns): the values of BLOCK_ROWS rows that follow each other, a list for each column, in their order."""
+    block = F.floor(F.col("_i") / F.lit(BLOCK_ROWS)).cast("long").alias("_block")
+    held = numbered.groupBy(block).agg(F.sort_array(F.collect_list(F.struct("_i", *columns))).alias("_rows"))
+    return held.select("_block", *[F.col(f"_rows.{c}").alias(c) for c in columns])
+
+
+def _slices(blocks: DataFrame, shifts: Sequence[tuple[int, int, int]], features: Sequence[str], n: int) -> DataFrame:
+    """(_block, cell, _f, _from, _given): what a block's rows, from its row ``_from`` on, are given in a cell, for its feature.
+
+    ``shifts`` has a cell, its feature, and how much further on, around the end of the n rows, its values stand.
+    """
+    size = F.lit(BLOCK_ROWS)
+    cells = F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(f).alias("_f"), F.lit(s).cast("long").alias("_s")) for c, f, s in shifts])
+    out = blocks.select(F.col("_block").alias("_b"), *features, F.explode(cells).alias("_c")).select("_b", *features, "_c.*")
+    low = F.col("_b") * size
+    high = F.least(low + size, F.lit(n))
+    # givers below the distance serve rows before the end, the others rows from the beginning on
+    turn = F.least(F.greatest(F.col("_s"), low), high)
+    part = lambda at, to, off: F.struct(at.alias("at"), to.alias("to"), (F.col("_s") - off).alias("off"))
+    parts = F.filter(F.array(part(low, turn, F.lit(n)), part(turn, high, F.lit(0))), lambda p: p["at"] < p["to"])
+    out = out.select("*", F.explode(parts).alias("_p"))
+    first, last = F.col("_p.at") - F.col("_p.off"), F.col("_p.to") - F.col("_p.off")
+    served = F.sequence(F.floor(first / size).cast("long"), F.floor((last - 1) / size).cast("long"))
+    out = out.select("*", first.alias("_first"), last.alias("_last"), F.explode(served).alias("_block"))
+    start, end = F.greatest(F.col("_first"), F.col("_block") * size), F.least(F.col("_last"), (F.col("_block") + 1) * size)
+    given = F.lit(None)
+    for i, f in enumerate(features):
+        at = (start + F.col("_p.off") - low + 1).cast("int")
+        given = F.when(F.col("_f") == i, F.slice(F.col(f).cast("array<double>"), at, (end - start).cast("int"))).otherwise(given)
+    return out.select("_block", "cell", "_f", (start - F.col("_block") * size).cast("int").alias("_from"), given.alias("_given"))
 
 
 def permutation_importance(
@@ -338,31 +376,39 @@ def permutation_importance(
 
     Rows are numbered once in the order of a hash of their keys. Each repeat takes a feature's values from the rows
     a drawn distance further on, around the end, so every value is used once and no repeat needs a sort of its own.
+    Only that feature's values move, as slices of blocks, and those of a bounded number of copies at a time.
     """
     features = list(model.features)
     base = df.select(*dict.fromkeys([*keys, *features, target]))
     if rows is not None:
         base = random_sample(base, keys, rows)
     order = Series((), ("_hash", *keys))
-    numbered = materialise(number_rows(base.withColumn("_hash", hash_number(*keys)), order, "_i", "_n").select(*features, target, "_i", "_n"))
+    numbered = number_rows(base.withColumn("_hash", hash_number(*keys)), order, "_i")
+    columns = list(dict.fromkeys([*features, target]))
+    blocks = materialise(_blocks(numbered.select("_i", *columns), columns))
+    n = gather(blocks, {"n": F.sum(F.size(target))})["n"] or 0
     rng = random.Random(seed)
     # a cell is a feature and a repeat, as one number; the rows as they are have cell -1
-    cells = F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(rng.random()).alias("share")) for c in range(len(features) * repeats)])
-    copies = numbered.withColumn("_c", F.explode(cells)).select("*", "_c.*").drop("_c")
-    step = F.lit(1) + F.floor(F.col("share") * (F.col("_n") - F.lit(1)))
-    copies = copies.select("cell", *features, target, F.pmod(F.col("_i") + step, F.col("_n")).alias("_from"))
-    givers = numbered.select(F.col("_i").alias("_from"), *[F.col(f).alias(f"_g_{f}") for f in features])
-    # tasks of bounded size: each keeps its givers in a small table, and the many copies need no sort
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-numbered.count() * len(features) * repeats // COPIES_PER_TASK))
-    met = copies.repartition(parts, "_from").join(givers.repartition(parts, "_from").hint("shuffle_hash"), "_from")
-    shuffled = met.withColumns(
-        {f: F.when(F.floor(F.col("cell") / repeats) == i, F.col(f"_g_{f}")).otherwise(F.col(f)) for i, f in enumerate(features)}
-    )
-    plain = numbered.select(F.lit(-1).alias("cell"), *features, target)
-    both = plain.unionByName(shuffled.select("cell", *features, target))
-    scored = model.transform(both)
-    # one row per feature and repeat
-    errors = scored.groupBy("cell").agg(mse(F.col(target).cast("double"), F.col("prediction")).alias("e")).collect()
+    shifts = [(c, c // repeats, (1 + math.floor(rng.random() * (n - 1))) % n if n else 0) for c in range(len(features) * repeats)]
+    # tasks of bounded size: each keeps its blocks in a small table, and the many copies need no sort
+    spark = df.sparkSession
+    each = max(1, COPIES_PER_PASS // max(1, n))
+    held = blocks.select("_block", *[F.col(c).alias(f"_of_{i}") for i, c in enumerate(columns)])
+    plain = blocks.select(F.lit(-1).alias("cell"), F.explode(F.arrays_zip(*columns)).alias("_r")).select("cell", "_r.*")
+    errors = []
+    for at in range(0, len(shifts), each):
+        now = shifts[at : at + each]
+        parts = max(spark.sparkContext.defaultParallelism, -(-n * len(now) // COPIES_PER_TASK))
+        given = _slices(blocks.select("_block", *features), now, features, n)
+        met = given.repartition(parts, "_block").join(held.repartition(parts, "_block").hint("shuffle_hash"), "_block")
+        copies = met.select("*", F.posexplode("_given").alias("_at", "_new"))
+        own = [F.get(f"_of_{i}", F.col("_from") + F.col("_at")) for i in range(len(columns))]
+        taken = [F.when(F.col("_f") == i, F.col("_new")).otherwise(own[i]) if c in features else own[i] for i, c in enumerate(columns)]
+        copies = copies.select("cell", *[v.alias(c) for v, c in zip(taken, columns)])
+        scored = model.transform(copies if at else plain.unionByName(copies))
+        # one row per feature and repeat
+        with shuffles_freed(spark):
+            errors += scored.groupBy("cell").agg(mse(F.col(target).cast("double"), F.col("prediction")).alias("e")).collect()
     start = next((r["e"] for r in errors if r["cell"] == -1), None)
     out = []
     for i, f in enumerate(features):
