@@ -49,6 +49,15 @@ def test_keys_of_prints_meet_in_a_shuffle(spark, plans):
     assert _joined(plans, "byte#")
 
 
+def test_near_duplicates_of_documents_meet_in_a_shuffle(spark, plans):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, f"{text} tail{i % 3}", "en") for i in range(6)] + [(9, "something else altogether", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert 9 in {r.doc_id for r in simhash.keep_one(docs).collect()}
+    keyed = _joined(plans, "c0#", "c1#", "c2#")
+    assert keyed and all("BroadcastExchange" not in p for p in keyed)
+
+
 def test_rounds_of_many_links_meet_in_a_shuffle(spark, plans, monkeypatch):
     links = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     few = {r.node: r.component for r in graph.components(links).collect()}
